@@ -277,7 +277,7 @@ def decorator_edits() -> str:
       aggregate(ops,
         named_struct('cal', name, 'ev', {_EVENTS},
           'ds', transform(filter(rows, x -> x.tok = '@'),
-                          x -> named_struct('at', x.pos, 'name', x.next1, 'dead', {_NULL_INT}))),
+                          x -> named_struct('at', nullif(x.pos, -1), 'name', x.next1, 'dead', {_NULL_INT}))),
         (s, r) -> named_struct(
           'cal', if({_REN} and {mine}, r.b, s.cal),
           'ev', case
