@@ -266,7 +266,7 @@ _TOKEN_OUT = """
               regexp_extract(p, '^[^\\\\r\\\\n]*(?:\\\\r\\\\n|\\\\n|\\\\r)?', 0), d.deco,
               regexp_replace(p, '^[^\\\\r\\\\n]*(?:\\\\r\\\\n|\\\\n|\\\\r)?', '')))), '', (v, p1) ->
           aggregate(array(if(d.cut_line, regexp_replace(p1, '^[^\\\\r\\\\n]*(?:\\\\r\\\\n|\\\\n|\\\\r)?', ''), p1)), '',
-            (w, p2) -> if(d.cut_indent, regexp_replace(p2, '[^\\\\r\\\\n]*$', ''), p2)))),
+            (w, p2) -> if(d.cut_indent, regexp_replace(p2, '[^\\\\r\\\\n]*\\\\z', ''), p2)))),
       d.before,
       if(d.cut_indent, '', coalesce(d.tok, t.tok)),
       coalesce(d.after, ''))

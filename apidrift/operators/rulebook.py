@@ -145,7 +145,7 @@ def with_rounds(path_rules: DataFrame) -> DataFrame:
         F.coalesce("function_name", "old_name"),
     )
     op = _op_of(F.col("change_type"))
-    plain = lambda c: F.col(c).rlike(r"^[\p{L}\p{Nl}_][\p{L}\p{Nl}\p{M}\p{N}_]*$")
+    plain = lambda c: F.col(c).rlike(r"^[\p{L}\p{Nl}_][\p{L}\p{Nl}\p{M}\p{N}_]*\z")
     new_syntax = (
         (op.isin("rename", "rename_attr", "import", "property") & ~plain("new_name"))
         | ((op == "rename_arg") & ~plain("new_argument_name"))
@@ -224,7 +224,7 @@ def compile_rules(path_rules: DataFrame) -> Rulebook:
         filter(array_distinct(flatten(transform(ops, r ->
           filter(flatten(array(array(r.a, r.b, r.c), coalesce(r.order, array()), coalesce(r.toks, array()))),
                  w -> w is not null)))),
-               w -> w rlike '^[\\\\p{L}\\\\p{Nl}_][\\\\p{L}\\\\p{Nl}\\\\p{M}\\\\p{N}_]*$')
+               w -> w rlike '^[\\\\p{L}\\\\p{Nl}_][\\\\p{L}\\\\p{Nl}\\\\p{M}\\\\p{N}_]*\\\\z')
     """)
     module_words = F.expr(
         "flatten(transform(filter(ops, r -> r.op in ('import','move')), r -> split(r.c, '[.]')))"

@@ -83,7 +83,7 @@ def structure(toks: DataFrame, key=KEY) -> DataFrame:
         _last(c("ls"), "pos").over(run).alias("line_pos"),
         _last(c("ls"), "tok").over(run).alias("line_tok"),
         _last(c("ls"), "next1").over(run).alias("line_tok2"),
-        _last(c("ls"), F.regexp_extract("pre", r"[^\r\n]*$", 0)).over(run).alias("line_indent"),
+        _last(c("ls"), F.regexp_extract("pre", r"[^\r\n]*\z", 0)).over(run).alias("line_indent"),
         _last(c("ss"), "pos").over(run).alias("stmt_pos"),
         _last(c("ss"), "tok").over(run).alias("stmt_tok"),
         F.sum("spoils").over(run).alias("spoiled"),
