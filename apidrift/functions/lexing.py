@@ -69,6 +69,11 @@ def token_texts(content: Column) -> Column:
     return F.regexp_extract_all(content, F.lit(TOKEN), F.lit(2))
 
 
+def token_pieces(content: Column) -> Column:
+    """Each token together with the trivia before it; the pieces concatenate to the text."""
+    return F.regexp_extract_all(content, F.lit(TOKEN), F.lit(0))
+
+
 def identifiers(content: Column) -> Column:
     """All identifier-shaped words, wherever they occur (cheap superset of tokens)."""
     return F.regexp_extract_all(content, F.lit(NAME), F.lit(0))

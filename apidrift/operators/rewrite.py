@@ -12,12 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from apidrift.functions.lexing import identifiers, is_name, lexically_valid, token_texts, token_trivia
+from apidrift.functions.lexing import TRIVIA, identifiers, is_name, lexically_valid, token_pieces
 from apidrift.operators import entities
 from apidrift.operators.rulebook import (
     ATTR_CALL, ATTR_HIT, DEF, HANDLERS, PARAM, PLAIN_CALL, PLAIN_HIT, Rulebook, compile_rules,
 )
-from apidrift.operators.structure import KEY, enclosing, is_compound_line, structure, tokens
+from apidrift.operators.structure import (
+    HEAD_CALL, HEAD_DEF, HEAD_PARAMS, KEY, LINE_COMPOUND, LINE_DECORATOR, LINE_DEF, enclosing, structure, tokens,
+)
 
 CALL_OPS = {"add_arg", "remove_arg", "rename_arg", "deprecate", "property"}
 IMPORT_OPS = {"import", "move"}
@@ -39,6 +41,21 @@ def candidates(files: DataFrame) -> Column:
     )
 
 
+def _needs(kinds: frozenset) -> frozenset:
+    need = {"names"}
+    if kinds & (CALL_OPS | {"reorder", "default"}):
+        need.add("depth")
+    if "deprecate" in kinds:
+        need.add("alone")
+    if kinds & {"reorder", "default"}:
+        need.add("definitions")
+    if kinds & DECORATOR_OPS:
+        need.add("blocks")
+    if kinds & IMPORT_OPS:
+        need.add("statements")
+    return frozenset(need)
+
+
 def occurrences(files: DataFrame, book: Rulebook, round_: int = 0) -> DataFrame:
     """Syntax entities some rule can touch: one row per entity with its tokens."""
     c = F.col
@@ -51,17 +68,21 @@ def occurrences(files: DataFrame, book: Rulebook, round_: int = 0) -> DataFrame:
     toks = toks.join(flags.withColumnRenamed("name", "tok"), ["path_id", "tok"], "left").withColumn(
         "fl", F.coalesce("fl", F.lit(0))
     )
-    rows = structure(toks)
+    need = _needs(kinds)
+    rows = structure(toks, need=need)
 
-    soft = c("tok").isin("match", "case", "type") & c("ss") & c("next1").rlike(
-        r"^[\p{L}\p{Nl}_0-9\"']") & ~c("next1").isin("in", "is", "and", "or", "if", "else", "not")
+    # an operand right after one of these words makes it a statement keyword
+    soft = c("tok").isin("match", "case", "type") & c("next1").rlike(
+        r"^[\p{L}\p{Nl}_0-9\"']") & ~c("next1").isin("in", "is", "and", "or", "if", "else", "for", "as", "async")
     named = c("word") & ~soft & F.when(c("is_attr"), _bit("fl", ATTR_HIT)).otherwise(_bit("fl", PLAIN_HIT))
     kind_list = [F.when(named, F.struct(F.lit("n").alias("kind"), c("pos").alias("gid")))]
-    name, attr, ok = c("tok"), c("is_attr"), F.lit(None).cast("boolean")
-    x1 = x2 = F.lit(None).cast("int")
-    keep = named
+    none = F.lit(None).cast("int")
+    # per kind: the name the rules are looked up by, whether it is an attribute, details
+    name, attr, x1, x2 = {"n": c("tok")}, {"n": c("is_attr")}, {}, {}
+    ok, indent, keep = F.lit(None).cast("boolean"), F.lit(None).cast("string"), named
+    line_pos = c("line_pos") if "line_pos" in rows.columns else none
 
-    brackets = bool(kinds & (CALL_OPS | {"reorder", "default"}))
+    brackets = "depth" in need
     if brackets:
         has_default = _bit("bits", _DEFAULT) if "default" in kinds else F.lit(False)
         marks = ["(", "[", "{", ")", "]", "}", ",", "lambda", ":"]
@@ -70,28 +91,24 @@ def occurrences(files: DataFrame, book: Rulebook, round_: int = 0) -> DataFrame:
             | _bit("bits", _CALL + _DEF) & c("tok").isin(*marks) & (c("lvl") > 0),
             c("lvl"),
         )
-        callee_attr = c("prev2") == "."
         is_call = (
             (c("tok") == "(") & ~c("prev2").isin("def", "class")
-            & F.when(callee_attr, _bit("fl_prev", ATTR_CALL)).otherwise(_bit("fl_prev", PLAIN_CALL))
-        )
-        def_paren = (
-            (c("tok") == "(") & (c("outer") == 0) & c("line_tok").isin("def", "async")
-            & (c("dn.pos") > c("line_pos")) & (c("parens") == c("dn.parens") + 1)
-        )
-        head = F.struct(
-            "pos",
-            F.when(is_call, c("prev1")).otherwise(c("dn.tok")).alias("name"),
-            callee_attr.alias("attr"), is_call.alias("call"),
-            F.coalesce(def_paren & _bit("dn.fl", DEF), F.lit(False)).alias("def"),
-            F.coalesce(def_paren, F.lit(False)).alias("params"),
-            ((c("outer") == 0) & (c("spoiled") == c("spoiled0")) & ~is_compound_line()).alias("alone"),
+            & F.when(c("prev2") == ".", _bit("fl_prev", ATTR_CALL)).otherwise(_bit("fl_prev", PLAIN_CALL))
         )
+        head = is_call.cast("long") * HEAD_CALL
+        if "definitions" in need:
+            def_paren = (
+                (c("tok") == "(") & (c("outer") == 0) & _bit("line", LINE_DEF)
+                & (F.shiftright("dn", 6) > c("line_pos")) & (c("parens") == c("dn_parens") + 1)
+            )
+            head = (
+                head + F.coalesce(def_paren, F.lit(False)).cast("long") * HEAD_PARAMS
+                + F.coalesce(def_paren & _bit("dn", DEF), F.lit(False)).cast("long") * HEAD_DEF
+            )
         rows = rows.withColumn("head", F.when(c("tok").isin("(", "[", "{"), head))
         keep = keep | on_level.isNotNull()
         rows = rows.withColumn("lvl", on_level)
 
-    deco = F.lit(False)
     if kinds & DECORATOR_OPS:
         def_fl = F.when(c("tok") == "async", c("fl_next2")).otherwise(c("fl_next1"))
         def_line = c("ls") & ((c("tok") == "def") | ((c("tok") == "async") & (c("next1") == "def")))
@@ -99,68 +116,78 @@ def occurrences(files: DataFrame, book: Rulebook, round_: int = 0) -> DataFrame:
         deco = _bit("bits", _DECO) & (bare | (def_line & _bit(def_fl, DEF)))
         gid = F.when(c("tok") == "@", c("blocks")).otherwise(c("blocks") - 1)
         kind_list.append(F.when(deco, F.struct(F.lit("e").alias("kind"), gid.cast("int").alias("gid"))))
-        def_name = F.when(c("tok") == "async", c("next2")).when(c("tok") == "def", c("next1"))
-        name = F.when(c("kind") == "e", def_name).otherwise(name)
-        attr = F.when(c("kind") == "e", F.lit(False)).otherwise(attr)
-        x1 = F.when(c("kind") == "e", (c("prev_line_tok") == "@").cast("int")).otherwise(x1)
+        name["e"] = F.when(c("tok") == "async", c("next2")).when(c("tok") == "def", c("next1"))
+        x1["e"] = _bit("prev_line", LINE_DECORATOR).cast("int")
+        indent = F.when((c("kind") == "e") & (c("tok") != "@"), F.regexp_extract("pre", r"[^\r\n]*\z", 0))
         keep = keep | deco
 
     if kinds & IMPORT_OPS:
-        imported = _bit("bits", _IMPORT) & (c("stmt_tok") == "from")
-        kind_list.append(F.when(imported, F.struct(F.lit("i").alias("kind"), c("stmt_pos").alias("gid"))))
-        name = F.when(c("kind") == "i", F.lit("")).otherwise(name)
-        attr = F.when(c("kind") == "i", F.lit(False)).otherwise(attr)
+        imported = _bit("bits", _IMPORT) & _bit("stmt", 1)
+        kind_list.append(F.when(imported, F.struct(
+            F.lit("i").alias("kind"), F.shiftright("stmt", 1).cast("int").alias("gid"))))
+        name["i"] = F.lit("")
         keep = keep | imported
 
     rows = rows.where(keep)
     if brackets:
         rows = enclosing(rows)
+        open_pos = F.shiftright("open", 3).cast("int")
         group = c("lvl").isNotNull() & c("tok").isin("(", ",", ")") & (c("lam") == 0)
-        if kinds & CALL_OPS:
-            kind_list.append(F.when(group & c("open.call"), F.struct(
-                F.lit("c").alias("kind"), c("open.pos").alias("gid"))))
-            ends = (c("tok") == ")") & (c("outer") == 0) & (c("next1").isin("", ";") | c("nl1"))
-            ok = F.when(c("kind") == "c", F.when(c("tok") == ")", ends).when(c("tok") == "(", c("open.alone")))
+        kind_list.append(F.when(group & _bit("open", HEAD_CALL), F.struct(
+            F.lit("c").alias("kind"), open_pos.alias("gid"))))
+        name["c"] = F.when(c("tok") == "(", c("prev1"))
+        attr["c"] = F.when(c("tok") == "(", c("prev2") == ".")
+        if "deprecate" in kinds:
+            alone = (c("outer") == 0) & (c("spoiled") == c("spoiled0")) & ~_bit("line", LINE_COMPOUND)
+            ends = (c("outer") == 0) & (c("next1").isin("", ";") | c("nl1"))
+            ok = F.when(c("kind") == "c", F.when(c("tok") == ")", ends).when(c("tok") == "(", alone))
+            indent = F.when((c("kind") == "c") & (c("tok") == "("), c("line_indent")).otherwise(indent)
         if "reorder" in kinds:
-            kind_list.append(F.when(group & c("open.def"), F.struct(
-                F.lit("d").alias("kind"), c("open.pos").alias("gid"))))
-        name = F.when(c("kind").isin("c", "d"), c("open.name")).otherwise(name)
-        attr = F.when(c("kind") == "c", c("open.attr")).when(c("kind") == "d", F.lit(False)).otherwise(attr)
+            kind_list.append(F.when(group & _bit("open", HEAD_DEF), F.struct(
+                F.lit("d").alias("kind"), open_pos.alias("gid"))))
+            name["d"] = F.when(c("tok") == "(", c("dn_name"))
         if "default" in kinds:
             listed = c("lvl").isNotNull() & (
-                (c("lam") == 0) & c("open.params") & (c("lvl") > 0) & c("tok").isin("(", ",", "=", ")")
+                (c("lam") == 0) & _bit("open", HEAD_PARAMS) & (c("lvl") > 0) & c("tok").isin("(", ",", "=", ")")
                 | (c("lam") > 0) & c("tok").isin("lambda", ",", "=", ":")
             )
             order = Window.partitionBy(*KEY, "plvl", "plam").orderBy("pos")
+            coded = c("pos").cast("long") * 2 + (c("tok") == "=").cast("long")
             rows = rows.select(
                 "*", F.when(listed, c("lvl")).alias("plvl"), F.when(listed, c("lam")).alias("plam")
             ).select(
-                "*",
-                F.lead(F.struct("tok", "pos"), 1).over(order).alias("after1"),
-                F.lead(F.struct("tok", "pos"), 2).over(order).alias("after2"),
+                "*", F.lead(coded, 1).over(order).alias("after1"), F.lead(coded, 2).over(order).alias("after2")
             )
             starred = c("next1").isin("*", "**")
             param = (
                 c("plvl").isNotNull() & c("tok").isin("(", ",", "lambda")
                 & F.when(starred, _bit("fl_next2", PARAM)).otherwise(_bit("fl_next1", PARAM))
             )
-            has_eq = c("after1.tok") == "="
+            after = lambda n: F.shiftright(f"after{n}", 1).cast("int")
+            has_eq = _bit("after1", 1)
             kind_list.append(F.when(param, F.struct(F.lit("p").alias("kind"), c("pos").alias("gid"))))
-            name = F.when(c("kind") == "p", F.when(starred, c("next2")).otherwise(c("next1"))).otherwise(name)
-            attr = F.when(c("kind") == "p", F.lit(False)).otherwise(attr)
-            x1 = F.when(c("kind") == "p", F.when(has_eq, c("after1.pos"))).otherwise(x1)
-            x2 = F.when(
-                c("kind") == "p", F.when(has_eq, c("after2.pos")).otherwise(c("after1.pos")) - 1
-            ).otherwise(x2)
-
-    grouped = (
+            name["p"] = F.when(starred, c("next2")).otherwise(c("next1"))
+            x1["p"] = F.when(has_eq, after(1))
+            x2["p"] = F.when(has_eq, after(2)).otherwise(after(1)) - 1
+
+    optional = lambda n: c(n) if n in rows.columns else F.lit(None).cast("string")
+
+    def by_kind(values: dict, default: Column) -> Column:
+        out = F.when(F.lit(False), default)
+        for kind, value in values.items():
+            out = out.when(c("kind") == kind, value)
+        return out.otherwise(default)
+
+    return (
         rows.select("*", F.explode(F.filter(F.array(*kind_list), lambda k: k.isNotNull())).alias("g"))
         .select("*", c("g.kind").alias("kind"), c("g.gid").alias("gid"))
         .select(
-            *KEY, "kind", "gid", name.alias("name"), attr.alias("is_attr"), ok.alias("ok"),
-            "line_pos", "line_indent",
-            F.struct("pos", "tok", "pre", "prev1", "next1", "next2", "next_pre", "word",
-                     x1.alias("x1"), x2.alias("x2")).alias("row"),
+            *KEY, "kind", "gid", by_kind(name, F.lit(None).cast("string")).alias("name"),
+            by_kind(attr, F.when(~c("kind").isin("n", "c"), F.lit(False))).alias("is_attr"),
+            ok.alias("ok"), line_pos.alias("line_pos"), indent.alias("line_indent"),
+            F.struct("pos", "tok", "pre", "prev1", "next1", optional("next2").alias("next2"),
+                     optional("next_pre").alias("next_pre"), "word",
+                     by_kind(x1, none).alias("x1"), by_kind(x2, none).alias("x2")).alias("row"),
         )
         .groupBy(*KEY, "kind", "gid")
         .agg(
@@ -170,7 +197,6 @@ def occurrences(files: DataFrame, book: Rulebook, round_: int = 0) -> DataFrame:
             F.max("line_pos").alias("line_pos"), F.max("line_indent").alias("indent"),
         )
     )
-    return grouped
 
 
 def entity_edits(groups: DataFrame, book: Rulebook, round_: int = 0) -> DataFrame:
@@ -196,40 +222,30 @@ def file_edits(edits: DataFrame) -> DataFrame:
     """Merge the edits of a file: text segments by position, rule hits, removed ranges."""
     c = F.col
     span = c("k").isin("x", "r")
-    inside = (
+    before = (
         Window.partitionBy(*KEY)
-        .orderBy("pos", F.when(span, 0).otherwise(1), F.desc("end"))
+        .orderBy("pos", F.when(span, 0).when(c("k") == "T", 1).otherwise(2), F.desc("end"))
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    edits = edits.withColumn(
-        "covered", F.coalesce(F.max(F.when(span, c("end"))).over(inside) >= c("pos"), F.lit(False))
-    )
+    edits = edits.select(
+        "*",
+        F.coalesce(F.max(F.when(span, c("end"))).over(before) >= c("pos"), F.lit(False)).alias("covered"),
+        F.coalesce(F.max(F.when(c("k") == "T", c("pos"))).over(before) == c("pos"), F.lit(False)).alias("over"),
+    ).where(~((c("k") == "h") & c("over")))
     bare = ~c("covered")
     pick = lambda k, v="txt": F.max(F.when((c("k") == k) & bare, c(v)))
     there = lambda k: F.coalesce(F.bool_or((c("k") == k) & bare), F.lit(False))
-    ordered = lambda k: F.array_join(
-        F.transform(
-            F.array_sort(F.collect_set(F.when((c("k") == k) & bare, F.struct("o", "txt")))),
-            lambda s: s["txt"],
-        ),
-        "",
-    )
+    ordered = "array_join(transform(array_sort(array_distinct(filter(noted, h -> h.k = 'b' and not h.covered))), h -> h.txt), '')"
     at = edits.groupBy(*KEY, "pos").agg(
         F.coalesce(pick("r"), pick("T"), pick("t")).alias("tok"),
         F.max(F.when(span & bare, c("end"))).alias("end"),
         there("x").alias("gone"),
-        pick("q").alias("pre"), pick("w").alias("first"), ordered("b").alias("before"),
-        pick("a").alias("after"), pick("g").alias("deco"), there("l").alias("cut_line"),
-        there("d").alias("cut_indent"),
+        pick("q").alias("pre"), pick("w").alias("first"), pick("a").alias("after"), pick("g").alias("deco"),
+        there("l").alias("cut_line"), there("d").alias("cut_indent"),
         F.max(F.when((c("k") == "S") & bare, F.struct("end", "src"))).alias("layout"),
-        F.bool_or(c("k") == "T").alias("over"),
-        F.collect_list(F.when(c("k").isin("h", "H", "z"), F.struct(
-            "k", "o", "m", "c", "txt", "src", "pos", "covered"))).alias("hits"),
-        F.collect_set(F.when(c("k") == "D", F.struct(
-            "k", "o", "m", "c", "txt", "src", "pos", "covered"))).alias("marks"),
-        F.collect_list(F.when(span, F.struct("pos", "end", "o"))).alias("spans"),
-    )
-    hits = F.expr("concat(filter(hits, h -> not (over and h.k = 'h')), marks)")
+        F.collect_list(F.when(c("k").isin("h", "H", "z", "D", "b", "x", "r"), F.struct(
+            "o", "k", "m", "c", "txt", "src", "pos", "end", "covered"))).alias("noted"),
+    ).withColumn("before", F.expr(ordered))
     texty = F.expr(
         "gone or tok is not null or pre is not null or first is not null or before <> '' or after is not null"
         " or deco is not null or cut_line or cut_indent or layout is not null"
@@ -238,38 +254,43 @@ def file_edits(edits: DataFrame) -> DataFrame:
         "pos", F.coalesce("end", "pos").alias("end"), "tok", "gone", "pre", "first", "before", "after",
         "deco", "cut_line", "cut_indent",
     )
+    noted = F.expr("""
+        concat(filter(noted, h -> h.k not in ('b', 'D')), array_distinct(filter(noted, h -> h.k = 'D')))
+    """)
     return (
-        at.withColumn("hits", hits)
-        .groupBy(*KEY)
+        at.groupBy(*KEY)
         .agg(
             F.array_sort(F.collect_list(F.when(texty, segment))).alias("segs"),
             F.array_sort(F.collect_list(F.when(c("layout").isNotNull(), F.struct("pos", "layout")))).alias("layouts"),
-            F.flatten(F.collect_list("hits")).alias("hits"),
-            F.flatten(F.collect_list("spans")).alias("spans"),
+            F.flatten(F.collect_list(noted)).alias("noted"),
         )
+        .withColumn("spans", F.expr("filter(noted, d -> d.k in ('x', 'r'))"))
         .withColumn("hits", F.expr("""
-            filter(hits, h -> not h.covered
-                   or not exists(spans, d -> d.pos <= h.pos and h.pos <= d.end and d.o < h.o))
+            filter(noted, h -> h.k not in ('x', 'r') and (not h.covered
+                   or not exists(spans, d -> d.pos <= h.pos and h.pos <= d.end and d.o < h.o)))
         """))
+        .drop("noted", "spans")
     )
 
 
-# one output token: ``t`` original (pre, tok), ``d`` its segment or null
-_TOKEN_OUT = """
-  (t, d) -> case
-    when d is null then concat(t.pre, t.tok)
+# one output piece: ``x`` original trivia and token, ``d`` its segment or null
+_PRE = "regexp_extract(x, '^" + TRIVIA.replace("\\", "\\\\") + "', 0)"
+_FIRST_LINE = "'^[^\\\\r\\\\n]*(?:\\\\r\\\\n|\\\\n|\\\\r)?'"
+_TOKEN_OUT = f"""
+  (x, d) -> case
+    when d is null then x
     when d.skip then ''
-    else concat(
+    else transform(array({_PRE}), pre -> concat(
       coalesce(d.first, ''),
-      aggregate(array(coalesce(d.pre, t.pre)), '', (u, p) ->
-        aggregate(array(if(d.deco is null, p, concat(
-              regexp_extract(p, '^[^\\\\r\\\\n]*(?:\\\\r\\\\n|\\\\n|\\\\r)?', 0), d.deco,
-              regexp_replace(p, '^[^\\\\r\\\\n]*(?:\\\\r\\\\n|\\\\n|\\\\r)?', '')))), '', (v, p1) ->
-          aggregate(array(if(d.cut_line, regexp_replace(p1, '^[^\\\\r\\\\n]*(?:\\\\r\\\\n|\\\\n|\\\\r)?', ''), p1)), '',
-            (w, p2) -> if(d.cut_indent, regexp_replace(p2, '[^\\\\r\\\\n]*\\\\z', ''), p2)))),
+      case when d.deco is null and not d.cut_line and not d.cut_indent then coalesce(d.pre, pre)
+           else transform(array(if(d.deco is null, coalesce(d.pre, pre), concat(
+                  regexp_extract(pre, {_FIRST_LINE}, 0), d.deco, regexp_replace(pre, {_FIRST_LINE}, '')))), p ->
+                transform(array(if(d.cut_line, regexp_replace(p, {_FIRST_LINE}, ''), p)), q ->
+                  if(d.cut_indent, regexp_replace(q, '[^\\\\r\\\\n]*\\\\z', ''), q))[0])[0] end,
       d.before,
-      if(d.cut_indent, '', coalesce(d.tok, t.tok)),
-      coalesce(d.after, ''))
+      case when d.cut_indent then '' when d.tok is not null then d.tok
+           else substring(x, length(pre) + 1) end,
+      coalesce(d.after, '')))[0]
   end
 """
 _SEGMENT = "struct<skip:boolean,tok:string,pre:string,first:string,before:string,after:string,deco:string,cut_line:boolean,cut_indent:boolean>"
@@ -305,11 +326,9 @@ def stitch(edited: DataFrame) -> DataFrame:
     hits = """
       transform(hits, h -> named_struct('o', h.o, 'm', h.m, 'c', coalesce(h.c,
         trim(array_join(transform(sequence(h.src[0], h.src[1]),
-             i -> concat(if(i = h.src[0], '', lex[i].pre), lex[i].tok)), '')) <> h.txt)))
-    """
-    lexed = F.arrays_zip(
-        token_trivia(F.col("content")).alias("pre"), token_texts(F.col("content")).alias("tok")
-    )
+             i -> if(i = h.src[0], regexp_replace(lex[i], '^{trivia}', ''), lex[i])), '')) <> h.txt)))
+    """.replace("{trivia}", TRIVIA.replace("\\", "\\\\"))
+    lexed = token_pieces(F.col("content"))
     done = edited.withColumn("nl", F.expr(nl)).withColumn("lexed", lexed).withColumn("done", F.expr(f"""
         transform(array(lexed), lex -> named_struct('code', {_stitch_sql()}, 'hits', {hits}))[0]
     """))

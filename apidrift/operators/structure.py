@@ -38,74 +38,100 @@ def _last(condition: Column, value) -> Column:
     return F.last(F.when(condition, value), ignorenulls=True)
 
 
-def structure(toks: DataFrame, key=KEY) -> DataFrame:
-    """Neighbours, depth, lines and statements for token rows (with a flag word ``fl``)."""
+# Line heads are coded into the running maximum that also carries the line's position.
+LINE_COMPOUND, LINE_DECORATOR, LINE_DEF = 1, 2, 4
+HEAD_CALL, HEAD_DEF, HEAD_PARAMS = 1, 2, 4
+ALL = frozenset({"depth", "lines", "statements", "alone", "definitions", "names", "blocks"})
+
+
+def structure(toks: DataFrame, key=KEY, need: frozenset = ALL) -> DataFrame:
+    """Neighbours, depth, lines and statements for token rows (with a flag word ``fl``).
+
+    ``need`` limits the columns to what the rules at hand ask for. Running positions
+    are kept as maxima of integers, the cheapest window there is: whatever is true of
+    a line or statement travels in the low bits of its position.
+    """
     c = F.col
     order = Window.partitionBy(*key).orderBy("pos")
     run = _running(key)
     opener, closer = c("tok").isin("(", "[", "{"), c("tok").isin(")", "]", "}")
-    out = toks.select(
-        "*",
-        F.when(opener, 1).when(closer, -1).otherwise(0).alias("delta"),
-        starts_line(c("pre")).alias("nl"),
-    ).select(
+    deep = bool(need - {"names"})
+    out = toks if not deep else toks.select(
+        "*", F.when(opener, 1).when(closer, -1).otherwise(0).alias("delta"), starts_line(c("pre")).alias("nl"),
+    )
+    out = out.select(
         "*",
-        F.sum("delta").over(run).cast("int").alias("depth_after"),
         F.lag("tok", 1, "").over(order).alias("prev1"),
         F.lag("tok", 2, "").over(order).alias("prev2"),
         F.lead("tok", 1, "").over(order).alias("next1"),
-        F.lead("tok", 2, "").over(order).alias("next2"),
-        F.lead("pre", 1).over(order).alias("next_pre"),
-        F.lead("nl", 1, True).over(order).alias("nl1"),
-        F.lead("nl", 2, True).over(order).alias("nl2"),
-        F.lag("fl", 1, 0).over(order).alias("fl_prev"),
-        F.lead("fl", 1, 0).over(order).alias("fl_next1"),
-        F.lead("fl", 2, 0).over(order).alias("fl_next2"),
+        *([
+            F.sum("delta").over(run).cast("int").alias("depth_after"),
+            F.lead("tok", 2, "").over(order).alias("next2"),
+            F.lead("pre", 1).over(order).alias("next_pre"),
+            F.lead("nl", 1, True).over(order).alias("nl1"),
+            F.lead("nl", 2, True).over(order).alias("nl2"),
+            F.lag("fl", 1, 0).over(order).alias("fl_prev"),
+            F.lead("fl", 1, 0).over(order).alias("fl_next1"),
+            F.lead("fl", 2, 0).over(order).alias("fl_next2"),
+        ] if deep else []),
+    ).select(
+        "*", is_name(c("tok")).alias("word"),
+        ((c("prev1") == ".") & ~c("prev2").isin("from", ".", "...")).alias("is_attr"),
     )
+    if not deep:
+        return out
     depth_before = c("depth_after") - c("delta")
+    ls = (c("pos") == 0) | (c("nl") & (depth_before == 0))
     out = out.select(
         "*",
         # level: depth of the inside for brackets, depth for everything else
         F.when(closer, c("depth_after") + 1).otherwise(c("depth_after")).alias("lvl"),
         F.least(c("depth_after"), depth_before).alias("outer"),
-        ((c("pos") == 0) | (c("nl") & (depth_before == 0))).alias("ls"),
-        is_name(c("tok")).alias("word"),
-        ((c("prev1") == ".") & ~c("prev2").isin("from", ".", "...")).alias("is_attr"),
+        ls.alias("ls"), (ls | ((c("prev1") == ";") & (depth_before == 0))).alias("ss"),
     )
-    ss = c("ls") | ((c("prev1") == ";") & (depth_before == 0))
     # tokens that keep a statement from being one call expression
     spoils = (c("outer") == 0) & F.when(c("word"), c("tok").isin(*KEYWORDS)).otherwise(
         ~c("tok").rlike("[\"']$") & ~c("tok").isin(".", "(", ")", "[", "]", "{", "}", "")
     )
-    paren0 = (c("tok") == "(") & (c("outer") == 0)
-    out = out.select("*", ss.alias("ss"), spoils.cast("int").alias("spoils")).select(
-        "*",
-        _last(c("ls"), "pos").over(run).alias("line_pos"),
-        _last(c("ls"), "tok").over(run).alias("line_tok"),
-        _last(c("ls"), "next1").over(run).alias("line_tok2"),
-        _last(c("ls"), F.regexp_extract("pre", r"[^\r\n]*\z", 0)).over(run).alias("line_indent"),
-        _last(c("ss"), "pos").over(run).alias("stmt_pos"),
-        _last(c("ss"), "tok").over(run).alias("stmt_tok"),
-        F.sum("spoils").over(run).alias("spoiled"),
-        F.sum(paren0.cast("int")).over(run).alias("parens"),
-        F.sum((c("ls") & (c("tok") != "@")).cast("int")).over(run).alias("blocks"),
+    compound = c("tok").isin(*COMPOUND_HEADS) & ~(
+        c("tok").isin("match", "case") & c("next1").isin("(", ".", "[", "=", ",", ":")
     )
-    return out.select(
-        "*",
-        _last(c("ss"), c("spoiled") - c("spoils")).over(run).alias("spoiled0"),
-        _last(c("prev1") == "def", F.struct("tok", "fl", "parens", "pos")).over(run).alias("dn"),
-        F.lag("line_tok", 1, "").over(order).alias("prev_line_tok"),
-    )
-
-
-def is_compound_line() -> Column:
-    return F.col("line_tok").isin(*COMPOUND_HEADS) & ~(
-        F.col("line_tok").isin("match", "case") & F.col("line_tok2").isin("(", ".", "[", "=", ",", ":")
+    code = (
+        compound.cast("long") * LINE_COMPOUND + (c("tok") == "@").cast("long") * LINE_DECORATOR
+        + c("tok").isin("def", "async").cast("long") * LINE_DEF
     )
+    pos = c("pos").cast("long")
+    paren0 = (c("tok") == "(") & (c("outer") == 0)
+    first, then = [], []
+    if need & {"lines", "alone", "definitions", "blocks"}:
+        first.append(F.max(F.when(c("ls"), pos * 8 + code)).over(run).alias("line"))
+    if "statements" in need:
+        first.append(F.max(F.when(c("ss"), pos * 2 + (c("tok") == "from").cast("long"))).over(run).alias("stmt"))
+    if "alone" in need:
+        out = out.withColumn("spoils", spoils.cast("int"))
+        first += [
+            F.sum("spoils").over(run).alias("spoiled"),
+            _last(c("ls"), F.regexp_extract("pre", r"[^\r\n]*\z", 0)).over(run).alias("line_indent"),
+        ]
+        then.append(F.max(F.when(c("ss"), c("spoiled") - c("spoils"))).over(run).alias("spoiled0"))
+    if "definitions" in need:
+        first.append(F.sum(paren0.cast("int")).over(run).alias("parens"))
+        then += [
+            F.max(F.when(c("prev1") == "def", pos * 64 + c("fl"))).over(run).alias("dn"),
+            F.max(F.when(c("prev1") == "def", c("parens"))).over(run).alias("dn_parens"),
+            _last(c("prev1") == "def", "tok").over(run).alias("dn_name"),
+        ]
+    if "blocks" in need:
+        first.append(F.sum((c("ls") & (c("tok") != "@")).cast("int")).over(run).alias("blocks"))
+        then.append(F.lag("line", 1, 0).over(order).alias("prev_line"))
+    out = out.select("*", *first).select("*", *then)
+    if "line" in out.columns:
+        out = out.select("*", F.shiftright("line", 3).cast("int").alias("line_pos"))
+    return out
 
 
 def enclosing(rows: DataFrame, key=KEY) -> DataFrame:
-    """Enclosing bracket (struct ``open`` from column ``head``) and lambda depth ``lam``.
+    """Enclosing bracket (``open``: position * 8 + head bits) and lambda depth ``lam``.
 
     Inside one bracket level, ``lambda`` opens and ``:`` closes a parameter list; a
     running sum reflected at zero ignores the colons of dicts, slices and
@@ -118,7 +144,7 @@ def enclosing(rows: DataFrame, key=KEY) -> DataFrame:
     rows = rows.select(
         "*",
         F.sum(step).over(run).alias("walk"),
-        _last(c("tok").isin("(", "[", "{"), "head").over(run).alias("open"),
+        F.max(F.when(c("tok").isin("(", "[", "{"), c("pos").cast("long") * 8 + c("head"))).over(run).alias("open"),
     ).select("*", F.min("walk").over(run).alias("floor"))
     rows = rows.select("*", (c("walk") - F.least(c("floor"), F.lit(0))).cast("int").alias("lam_after"))
     return rows.select(

@@ -532,7 +532,8 @@ def _text_tokens(spark, sf_dir, name, key, text):
     GROUP BY doc_id""")
 def w7(spark, sf_dir):
     rows = structure(
-        _text_tokens(spark, sf_dir, "documents", "doc_id", "text").withColumn("fl", F.lit(0)), key=("doc_id",))
+        _text_tokens(spark, sf_dir, "documents", "doc_id", "text").withColumn("fl", F.lit(0)), key=("doc_id",),
+        need=frozenset({"depth"}))
     prev_word = F.col("prev1").rlike(r"^[\p{L}\p{Nl}_]") & ~F.col("prev1").rlike("[\"']$")
     return rows.groupBy("doc_id").agg(
         F.count("*").alias("n_tokens"), F.max("depth_after").alias("max_depth"), F.min("depth_after").alias("min_depth"),
