@@ -339,15 +339,20 @@ _ORDINALS = "array_sort(array_distinct(transform(filter(hits, h -> h.c), h -> h.
 
 
 def migrate(files: DataFrame, path_rules: DataFrame, only_modified: bool = False,
-            dry_run: bool = False, book: Rulebook | None = None) -> DataFrame:
+            dry_run: bool = False, book: Rulebook | None = None, partitions: int | None = None) -> DataFrame:
     """Apply ``path_rules`` to ``files(path_id, file_id, [repo, path,] content)``.
 
     Returns ``path_id, file_id, repo, path, original_code, transformed_code, changes,
     errors, rules_applied, was_modified, success``. With ``dry_run`` the text stays
     as it was and ``would_modify`` tells what a run would do. ``only_modified`` leaves
     out the files no rule acts on, and with them the second pass over their text.
+
+    ``partitions`` (default: the session's shuffle partitions) is fixed, because the
+    texts grow about fiftyfold as token rows: sized by their compressed bytes, as
+    adaptive coalescing would do, a partition would be far too big to sort.
     """
     book = book or compile_rules(path_rules)
+    partitions = partitions or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for name in ("repo", "path"):
         if name not in files.columns:
             files = files.withColumn(name, F.lit(None).cast("string"))
@@ -356,7 +361,7 @@ def migrate(files: DataFrame, path_rules: DataFrame, only_modified: bool = False
         *[F.array().cast("array<string>").alias(n) for n in ("changes", "errors", "rules_applied")],
     )
     for round_ in range(book.rounds):
-        result = _one_round(result, book, round_, only_modified and book.rounds == 1)
+        result = _one_round(result, book, round_, only_modified and book.rounds == 1, partitions)
     out = result.select(
         "path_id", "file_id", "repo", "path", F.col("original").alias("original_code"),
         (F.col("original") if dry_run else F.col("content")).alias("transformed_code"),
@@ -368,7 +373,7 @@ def migrate(files: DataFrame, path_rules: DataFrame, only_modified: bool = False
     return out.where("original_code <> transformed_code or size(changes) > 0") if only_modified else out
 
 
-def _one_round(files: DataFrame, book: Rulebook, round_: int, only_modified: bool) -> DataFrame:
+def _one_round(files: DataFrame, book: Rulebook, round_: int, only_modified: bool, partitions: int) -> DataFrame:
     c = F.col
     info = book.info.where((c("round") == round_) | c("round").isNull())
     files = files.join(book.lookup(info.select("path_id", "triggers")), "path_id", "left")
@@ -380,7 +385,7 @@ def _one_round(files: DataFrame, book: Rulebook, round_: int, only_modified: boo
     strings = ["repo", "path", "content"] + (["original"] if round_ else [])
     chosen = files.where(acts).select(
         *KEY, F.array(F.array(*strings), *log).alias("payload")
-    ).repartition("file_id")
+    ).repartition(partitions, "file_id")
     edits = file_edits(entity_edits(occurrences(chosen, book, round_), book, round_))
     part = lambda i: c("payload")[i] if round_ else F.array().cast("array<string>")
     joined = chosen.join(edits, list(KEY), "inner" if only_modified else "left").select(

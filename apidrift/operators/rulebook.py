@@ -217,6 +217,10 @@ def compile_rules(path_rules: DataFrame) -> Rulebook:
         F.max("r").alias("r"), F.sum(F.col("n") * F.col("n")).alias("pairs"),
         F.array_distinct(F.flatten(F.collect_set("kinds"))).alias("kinds"),
     ).first()
+    small = (stats["pairs"] or 0) <= BROADCAST_PAIRS
+    if small:
+        # checked to be small: one task per table instead of a chain of tiny shuffles
+        rules = with_rounds(path_rules.coalesce(1))
     slim = _slim(rules)
     programs = slim.groupBy("path_id", "round").agg(F.array_sort(F.collect_list("r")).alias("ops"))
 
@@ -308,6 +312,6 @@ def compile_rules(path_rules: DataFrame) -> Rulebook:
     )
     return Rulebook(
         names=flags, ops=ops, info=info,
-        rounds=(stats["r"] or 0) + 1, small=(stats["pairs"] or 0) <= BROADCAST_PAIRS,
+        rounds=(stats["r"] or 0) + 1, small=small,
         kinds=frozenset(stats["kinds"] or ()),
     )

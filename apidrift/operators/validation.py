@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from apidrift.functions.lexing import expression_valid, let
 from apidrift.functions.versions import is_version
 from apidrift.sources.changelogs import (
-    DOCUMENT_FIELDS, RULE_FIELDS, VERSION_FIELDS, documents, read_changelogs, versions,
+    DOCUMENT_FIELDS, RULE_FIELDS, VERSION_FIELDS, rule_rows,
 )
 
 # The accepted change types and safety levels.
@@ -41,61 +39,71 @@ NEEDED_FIELDS = {
 RENAMES_CHECKED = ("rename_function", "rename_class", "rename_attribute")
 
 
-def _at_rule(rules: DataFrame):
+def _at_rule() -> Column:
     return F.format_string("versions -> %s -> rules -> %s", F.col("vpos"), F.col("pos"))
 
 
-def _emit(rules: DataFrame, kind: str, details) -> DataFrame:
-    """Rows for an array of details (null elements are no problem)."""
-    return rules.select(
-        "doc_id", _at_rule(rules).alias("location"), F.col("id").alias("rule_id"), F.lit(kind).alias("kind"),
-        F.explode(F.filter(details, lambda d: d.isNotNull())).alias("detail"),
+def _problems(kind: str, details: Column, location: Column, rule_id: Column) -> Column:
+    """Array of problem structs for an array of details (null details are no problem)."""
+    return F.transform(
+        F.filter(details, lambda d: d.isNotNull()),
+        lambda d: F.struct(location.alias("location"), rule_id.alias("rule_id"), F.lit(kind).alias("kind"),
+                           d.alias("detail")),
     )
 
 
-def missing_required(rules: DataFrame) -> DataFrame:
-    return _emit(rules, "missing_required", F.array(*[
+def _rows(frame: DataFrame, problems: Column) -> DataFrame:
+    return frame.select("doc_id", F.explode(problems).alias("p")).select("doc_id", "p.*")
+
+
+def _at(kind: str, details: Column) -> Column:
+    return _problems(kind, details, _at_rule(), F.col("id"))
+
+
+def _required() -> Column:
+    return _at("missing_required", F.array(*[
         F.when(F.col(f).isNull() | ((F.col(f) == "") if f == "id" else F.lit(False)), F.lit(f))
         for f in REQUIRED_FIELDS
     ]))
 
 
-def bad_versions(rules: DataFrame, version_rows: DataFrame) -> DataFrame:
-    in_rules = _emit(rules, "bad_version", F.array(
-        F.when(~is_version("version_introduced"), F.col("version_introduced"))))
-    in_versions = version_rows.where(F.coalesce(~is_version("version"), F.lit(True))).select(
-        "doc_id", F.format_string("versions -> %s", F.col("vpos")).alias("location"),
-        F.lit(None).cast("string").alias("rule_id"), F.lit("bad_version").alias("kind"),
-        F.coalesce("version", F.lit("")).alias("detail"),
-    )
-    return in_rules.unionByName(in_versions)
+def _rule_version() -> Column:
+    return _at("bad_version", F.array(F.when(~is_version("version_introduced"), F.col("version_introduced"))))
 
 
-def bad_values(rules: DataFrame) -> DataFrame:
-    return _emit(rules, "bad_value", F.array(
+def _version_version() -> Column:
+    return _problems(
+        "bad_version",
+        F.array(F.when(F.coalesce(~is_version("version"), F.lit(True)), F.coalesce("version", F.lit("")))),
+        F.format_string("versions -> %s", F.col("vpos")), F.lit(None).cast("string"))
+
+
+def _values() -> Column:
+    return _at("bad_value", F.array(
         F.when(~F.col("change_type").isin(*CHANGE_TYPES), F.concat(F.lit("change_type="), "change_type")),
         F.when(~F.col("safety").isin(*SAFETY_LEVELS), F.concat(F.lit("safety="), "safety")),
     ))
 
 
-def unknown_fields(docs: DataFrame, rules: DataFrame, version_rows: DataFrame) -> DataFrame:
-    names = lambda fields: F.array(*[F.lit(f) for f in fields])
-    extra = lambda raw, fields: F.coalesce(F.array_except(F.json_object_keys(raw), names(fields)), F.array())
-    top = docs.select(
-        "doc_id", F.lit("").alias("location"), F.lit(None).cast("string").alias("rule_id"),
-        F.lit("unknown_field").alias("kind"),
-        F.explode(F.array_except(F.coalesce("keys", F.array()), names(DOCUMENT_FIELDS))).alias("detail"),
-    )
-    middle = version_rows.select(
-        "doc_id", F.format_string("versions -> %s", F.col("vpos")).alias("location"),
-        F.lit(None).cast("string").alias("rule_id"), F.lit("unknown_field").alias("kind"),
-        F.explode(extra(F.col("raw_version"), VERSION_FIELDS)).alias("detail"),
-    )
-    return top.unionByName(middle).unionByName(
-        _emit(rules, "unknown_field", extra(F.col("raw_rule"), tuple(RULE_FIELDS))))
+def _extra(keys: Column, fields) -> Column:
+    return F.coalesce(F.array_except(keys, F.array(*[F.lit(f) for f in fields])), F.array().cast("array<string>"))
 
 
-def missing_fields(rules: DataFrame) -> DataFrame:
+def _document_fields() -> Column:
+    return _problems("unknown_field", _extra(F.col("keys"), DOCUMENT_FIELDS), F.lit(""), F.lit(None).cast("string"))
+
+
+def _version_fields() -> Column:
+    return _problems(
+        "unknown_field", _extra(F.json_object_keys("raw_version"), VERSION_FIELDS),
+        F.format_string("versions -> %s", F.col("vpos")), F.lit(None).cast("string"))
+
+
+def _rule_fields() -> Column:
+    return _at("unknown_field", _extra(F.json_object_keys("raw_rule"), tuple(RULE_FIELDS)))
+
+
+def _needed() -> Column:
     """Fields the change type needs; empty text or list counts as missing (not for a default)."""
     def absent(field):
         c = F.col(field)
@@ -103,16 +111,57 @@ def missing_fields(rules: DataFrame) -> DataFrame:
             return c.isNull() | (F.size(c) == 0)
         return c.isNull() if field == "default_value" else c.isNull() | (c == "")
 
-    checks = [
+    return _at("missing_field", F.array(*[
         F.when((F.col("change_type") == kind) & absent(field), F.lit(field))
         for kind, fields in NEEDED_FIELDS.items() for field in fields
-    ]
-    return _emit(rules, "missing_field", F.array(*checks))
+    ]))
+
+
+def _default() -> Column:
+    return _at("bad_default", F.array(F.when(~expression_valid(F.col("default_value")), F.col("default_value"))))
+
+
+def _types() -> Column:
+    """Fields that are there (and not null) in the raw rule but are not of their type."""
+    def checks(rule):
+        allowed = {"string": ("STRING",), "int": ("BIGINT",), "array<string>": ("ARRAY<STRING>", "ARRAY<VOID>")}
+        details = []
+        for f, t in RULE_FIELDS.items():
+            shape = F.schema_of_variant(F.try_variant_get(rule, f"$.{f}", "variant"))
+            wrong = ~shape.startswith("OBJECT") if f == "extra" else ~shape.isin("VOID", *allowed[t])
+            details.append(F.when(shape.isNotNull() & wrong, F.lit(f)))
+        return F.array(*details)
+
+    return _at("bad_type", let(F.try_parse_json("raw_rule"), checks))
+
+
+def missing_required(rules: DataFrame) -> DataFrame:
+    return _rows(rules, _required())
+
+
+def bad_versions(rules: DataFrame, version_rows: DataFrame) -> DataFrame:
+    return _rows(rules, _rule_version()).unionByName(_rows(version_rows, _version_version()))
+
+
+def bad_values(rules: DataFrame) -> DataFrame:
+    return _rows(rules, _values())
+
+
+def unknown_fields(docs: DataFrame, rules: DataFrame, version_rows: DataFrame) -> DataFrame:
+    return _rows(docs, _document_fields()).unionByName(_rows(version_rows, _version_fields())).unionByName(
+        _rows(rules, _rule_fields()))
+
+
+def missing_fields(rules: DataFrame) -> DataFrame:
+    return _rows(rules, _needed())
 
 
 def bad_defaults(rules: DataFrame) -> DataFrame:
-    return _emit(rules, "bad_default", F.array(
-        F.when(~expression_valid(F.col("default_value")), F.col("default_value"))))
+    return _rows(rules, _default())
+
+
+def bad_types(rules: DataFrame) -> DataFrame:
+    return _rows(rules, _types())
 
 
 def duplicate_ids(rules: DataFrame) -> DataFrame:
@@ -135,35 +184,55 @@ def conflicting_renames(rules: DataFrame) -> DataFrame:
     )
 
 
-def bad_types(rules: DataFrame) -> DataFrame:
-    """A field that is there (and not null) in the raw rule but could not be read as its type."""
-    def checks(rule):
-        shape = lambda f: F.schema_of_variant(F.try_variant_get(rule, f"$.{f}", "variant"))
-        allowed = {"string": ("STRING",), "int": ("BIGINT",), "array<string>": ("ARRAY<STRING>", "ARRAY<VOID>")}
-        out = [
-            F.when(shape(f).isNotNull() & ~shape(f).isin("VOID", *allowed[t]), F.lit(f))
-            for f, t in RULE_FIELDS.items() if f != "extra"
-        ]
-        return F.array(*out, F.when(
-            shape("extra").isNotNull() & ~shape("extra").startswith("OBJECT"), F.lit("extra")))
-
-    return _emit(rules, "bad_type", let(F.try_parse_json("raw_rule"), checks))
-
-
 def validate_changelogs(docs: DataFrame, strict: bool = False) -> DataFrame:
-    """All problems of ``docs(doc_id, content)``; with ``strict`` any problem raises."""
-    heads, vs, rules = documents(docs), versions(docs), read_changelogs(docs)
-    unreadable = heads.where("error is not null").select(
-        "doc_id", F.lit("").alias("location"), F.lit(None).cast("string").alias("rule_id"),
-        F.lit("unreadable").alias("kind"), F.col("error").alias("detail"))
-    nameless = heads.where("error is null and library is null").select(
-        "doc_id", F.lit("").alias("location"), F.lit(None).cast("string").alias("rule_id"),
-        F.lit("missing_required").alias("kind"), F.lit("library").alias("detail"))
-    out = reduce(DataFrame.unionByName, [
-        unreadable, nameless, missing_required(rules), bad_versions(rules, vs), bad_values(rules),
-        unknown_fields(heads, rules, vs), missing_fields(rules), bad_defaults(rules), duplicate_ids(rules),
-        conflicting_renames(rules), bad_types(rules),
-    ])
+    """All problems of ``docs(doc_id, content)``; with ``strict`` any problem raises.
+
+    One pass: documents are exploded to versions and rules once, and every row carries
+    its own problems plus, for the checks across rules, the keys to be compared. A
+    version's or document's own problems ride on its first row.
+    """
+    none = F.lit(None).cast("string")
+    empty = F.array().cast("array<struct<location:string,rule_id:string,kind:string,detail:string>>")
+    rows = rule_rows(docs)
+    first_rule = F.coalesce(F.col("pos"), F.lit(0)) == 0
+    first_version = first_rule & (F.coalesce(F.col("vpos"), F.lit(0)) == 0)
+    document = F.concat(
+        _problems("unreadable", F.array("error"), F.lit(""), none),
+        _problems("missing_required", F.array(F.when(
+            F.col("error").isNull() & F.col("library").isNull(), F.lit("library"))), F.lit(""), none),
+        _document_fields(),
+    )
+    version = F.concat(_version_version(), _version_fields())
+    rule = F.concat(_required(), _rule_version(), _values(), _rule_fields(), _needed(), _default(), _types())
+    key = lambda kind, detail, rule_id, value: F.array(F.struct(
+        F.lit("versions").alias("location"), rule_id.alias("rule_id"), F.lit(kind).alias("kind"),
+        detail.alias("detail"), value.alias("value")))
+    plain = F.transform(
+        F.concat(
+            F.when(first_version, document).otherwise(empty),
+            F.when(first_rule & F.col("vpos").isNotNull(), version).otherwise(empty),
+            F.when(F.col("pos").isNotNull(), rule).otherwise(empty),
+        ),
+        lambda p: F.struct(p["location"], p["rule_id"], p["kind"], p["detail"], none.alias("value")),
+    )
+    nothing = F.array().cast("array<struct<location:string,rule_id:string,kind:string,detail:string,value:string>>")
+    records = F.concat(
+        plain,
+        F.when(F.col("id").isNotNull(), key("duplicate_id", none, F.col("id"), none)).otherwise(nothing),
+        F.when(
+            F.col("change_type").isin(*RENAMES_CHECKED),
+            key("conflicting_rename", F.concat_ws(" ", "change_type", "old_name"), none, F.col("new_name")),
+        ).otherwise(nothing),
+    )
+    out = (
+        rows.select("doc_id", F.explode(records).alias("p")).select("doc_id", "p.*")
+        .groupBy("doc_id", "location", "rule_id", "kind", "detail")
+        .agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+        .where("(kind = 'duplicate_id' and n > 1) or (kind = 'conflicting_rename' and lo <> hi)"
+               " or kind not in ('duplicate_id', 'conflicting_rename')")
+        .select("doc_id", "location", "rule_id", "kind", F.when(
+            F.col("kind") == "duplicate_id", F.col("n").cast("string")).otherwise(F.col("detail")).alias("detail"))
+    )
     if strict:
         first = out.limit(1).collect()
         if first:

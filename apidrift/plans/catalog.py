@@ -518,7 +518,8 @@ def _token_sql(source: str, key: str, text: str) -> str:
 
 
 def _text_tokens(spark, sf_dir, name, key, text):
-    rows = table(spark, sf_dir, name).select(F.col(key), F.col(text)).repartition(key)
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = table(spark, sf_dir, name).select(F.col(key), F.col(text)).repartition(partitions, key)
     return tokens(rows, F.col(text), key).where("tok <> ''")
 
 

@@ -161,7 +161,9 @@ class Corpus:
     def files(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         sql = self.files_sql(0, "listagg(line, chr(10)) WITHIN GROUP (ORDER BY event_id)", "@events")
         sql = sql.replace("{", "{{").replace("}", "}}").replace("@events", "{events}")
-        return spark.sql(sql, events=table(spark, sf_dir, "events")).withColumn("path_id", F.lit(1)).drop("n_changes")
+        partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        return spark.sql(sql, events=table(spark, sf_dir, "events")).drop("n_changes").repartition(
+            partitions, "file_id").withColumn("path_id", F.lit(1))
 
     def expected_sql(self) -> str:
         return self.files_sql(1, "string_agg(line, chr(10) ORDER BY event_id)")

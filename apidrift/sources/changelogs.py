@@ -61,42 +61,51 @@ def documents(docs: DataFrame, fmt: str = "auto") -> DataFrame:
     )
 
 
-def versions(docs: DataFrame, fmt: str = "auto") -> DataFrame:
-    """One row per version of each document, in document order (``vpos``)."""
+def _version_rows(docs: DataFrame, fmt: str, explode, *carry: str) -> DataFrame:
     return (
         documents(docs, fmt)
-        .select("doc_id", "library", F.posexplode("raw_versions").alias("vpos", "raw_version"))
+        .select("doc_id", "library", *carry, explode("raw_versions").alias("vpos", "raw_version"))
         .withColumn("v", F.from_json("raw_version", _VERSION_DDL))
         .select(
-            "doc_id", "library", "vpos", "raw_version", F.col("v.version").alias("version"),
+            "doc_id", "library", *carry, "vpos", "raw_version", F.col("v.version").alias("version"),
             version_key("v.version").alias("version_key"), F.col("v.release_date").alias("release_date"),
             F.coalesce("v.raw_notes", F.lit("")).alias("raw_notes"), F.col("v.notes").alias("notes"),
             F.coalesce("v.rules", F.array()).alias("raw_rules"),
         )
-        .withColumn("n_rules", F.size("raw_rules"))
     )
 
 
+def versions(docs: DataFrame, fmt: str = "auto") -> DataFrame:
+    """One row per version of each document, in document order (``vpos``)."""
+    return _version_rows(docs, fmt, F.posexplode).withColumn("n_rules", F.size("raw_rules"))
+
+
+def _rule_columns():
+    defaults = {
+        "extra": F.coalesce("r.extra", F.lit("{}")), "tags": F.coalesce("r.tags", F.array()),
+        "safety": F.coalesce("r.safety", F.lit("safe")),
+    }
+    return [defaults.get(f, F.col(f"r.{f}")).alias(f) for f in RULE_FIELDS]
+
+
 def read_changelogs(docs: DataFrame, fmt: str = "auto") -> DataFrame:
     """One row per rule; ``pos`` is its place within its version."""
+    keys = ("doc_id", "library", "vpos", "version", "version_key", "release_date")
     return (
-        versions(docs, fmt)
-        .select(
-            "doc_id", "library", "vpos", "version", "version_key", "release_date",
-            F.posexplode("raw_rules").alias("pos", "raw_rule"),
-        )
+        versions(docs, fmt).select(*keys, F.posexplode("raw_rules").alias("pos", "raw_rule"))
         .withColumn("r", F.from_json("raw_rule", RULE_DDL))
-        .select(
-            "doc_id", "library", "vpos", "version", "version_key", "release_date", "pos", "raw_rule",
-            *[
-                {
-                    "extra": F.coalesce("r.extra", F.lit("{}")),
-                    "tags": F.coalesce("r.tags", F.array()),
-                    "safety": F.coalesce("r.safety", F.lit("safe")),
-                }.get(f, F.col(f"r.{f}")).alias(f)
-                for f in RULE_FIELDS
-            ],
-        )
+        .select(*keys, "pos", "raw_rule", *_rule_columns())
+    )
+
+
+def rule_rows(docs: DataFrame, fmt: str = "auto") -> DataFrame:
+    """Like ``read_changelogs``, but documents and versions without content keep one row."""
+    keys = ("doc_id", "library", "keys", "error", "vpos", "version", "raw_version")
+    return (
+        _version_rows(docs, fmt, F.posexplode_outer, "keys", "error")
+        .select(*keys, F.posexplode_outer("raw_rules").alias("pos", "raw_rule"))
+        .withColumn("r", F.from_json("raw_rule", RULE_DDL))
+        .select(*keys, "pos", "raw_rule", *_rule_columns())
     )
 
 
