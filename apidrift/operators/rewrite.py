@@ -60,11 +60,11 @@ def occurrences(files: DataFrame, book: Rulebook, round_: int = 0) -> DataFrame:
     """Syntax entities some rule can touch: one row per entity with its tokens."""
     c = F.col
     kinds = book.kinds
-    flags = book.lookup(book.names.where(c("round") == round_).drop("round"))
+    flags = book.per_rule(book.names.where(c("round") == round_).drop("round"))
     toks = tokens(files, c("payload")[0][2], "path_id", "file_id")
     if kinds - {"rename", "rename_attr"}:
         bits = book.info.where((c("round") == round_) & (c("bits") > 0)).select("path_id", "bits")
-        toks = toks.join(book.lookup(bits), "path_id", "left").withColumn("bits", F.coalesce("bits", F.lit(0)))
+        toks = toks.join(book.per_rule(bits), "path_id", "left").withColumn("bits", F.coalesce("bits", F.lit(0)))
     toks = toks.join(flags.withColumnRenamed("name", "tok"), ["path_id", "tok"], "left").withColumn(
         "fl", F.coalesce("fl", F.lit(0))
     )
@@ -202,7 +202,7 @@ def occurrences(files: DataFrame, book: Rulebook, round_: int = 0) -> DataFrame:
 def entity_edits(groups: DataFrame, book: Rulebook, round_: int = 0) -> DataFrame:
     """Fold the rules over each entity; one row per edit."""
     kinds = book.kinds
-    ops = book.lookup(book.ops.where(F.col("round") == round_).drop("round"))
+    ops = book.per_pair(book.ops.where(F.col("round") == round_).drop("round"))
     joined = groups.join(ops, ["path_id", "kind", "name", "is_attr"]).withColumnRenamed("is_attr", "attr")
     choice = F.when(F.col("kind") == "n", F.expr(entities.name_edits()))
     if kinds & CALL_OPS:
@@ -342,6 +342,10 @@ def migrate(files: DataFrame, path_rules: DataFrame, only_modified: bool = False
             dry_run: bool = False, book: Rulebook | None = None, partitions: int | None = None) -> DataFrame:
     """Apply ``path_rules`` to ``files(path_id, file_id, [repo, path,] content)``.
 
+    ``file_id`` (any type) is unique in ``files``: a file that takes part in two paths
+    comes as two rows. ``path_rules`` has ``path_id``, a dense 1-based ``ordinal`` and
+    the rule columns.
+
     Returns ``path_id, file_id, repo, path, original_code, transformed_code, changes,
     errors, rules_applied, was_modified, success``. With ``dry_run`` the text stays
     as it was and ``would_modify`` tells what a run would do. ``only_modified`` leaves
@@ -376,9 +380,9 @@ def migrate(files: DataFrame, path_rules: DataFrame, only_modified: bool = False
 def _one_round(files: DataFrame, book: Rulebook, round_: int, only_modified: bool, partitions: int) -> DataFrame:
     c = F.col
     info = book.info.where((c("round") == round_) | c("round").isNull())
-    files = files.join(book.lookup(info.select("path_id", "triggers")), "path_id", "left")
+    files = files.join(book.per_rule(info.select("path_id", "triggers")), "path_id", "left")
     acts = candidates(files)
-    texts = book.lookup(book.info.groupBy("path_id").agg(F.first("texts").alias("texts")))
+    texts = book.per_rule(book.info.groupBy("path_id").agg(F.first("texts").alias("texts")))
     # Both uses of the chosen files (tokens, stitching) take all columns, and arrays are
     # not pruned by element, so the two read one and the same shuffle.
     log = [] if round_ == 0 else ["changes", "errors", "rules_applied"]
@@ -388,7 +392,7 @@ def _one_round(files: DataFrame, book: Rulebook, round_: int, only_modified: boo
     ).repartition(partitions, "file_id")
     edits = file_edits(entity_edits(occurrences(chosen, book, round_), book, round_))
     part = lambda i: c("payload")[i] if round_ else F.array().cast("array<string>")
-    joined = chosen.join(edits, list(KEY), "inner" if only_modified else "left").select(
+    joined = chosen.join(edits.drop("path_id"), "file_id", "inner" if only_modified else "left").select(
         *KEY, c("payload")[0][0].alias("repo"), c("payload")[0][1].alias("path"),
         c("payload")[0][3 if round_ else 2].alias("original"), c("payload")[0][2].alias("content"),
         part(1).alias("changes"), part(2).alias("errors"), part(3).alias("rules_applied"),

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from apidrift.functions.lexing import KEYWORDS, token_texts, token_trivia
+from apidrift.session import settled
 
 # Change type -> operation folded over syntax entities. Types that
 # are absent have no handler: their rules are reported as skipped.
@@ -44,8 +45,10 @@ HANDLERS = {
 # Bits of the per-name flag word.
 PLAIN_HIT, ATTR_HIT, PLAIN_CALL, ATTR_CALL, DEF, PARAM = 1, 2, 4, 8, 16, 32
 
-# Compiled tables are broadcast only while the rules behind them stay within this
-# many rule-by-rule pairs (summed over paths); beyond it the joins shuffle.
+# Broadcast bounds, checked before every broadcast. Name flags and path information
+# grow with the number of rules; the rules to fold per name grow with its square
+# within a path. Beyond a bound the join shuffles.
+BROADCAST_RULES = 300_000
 BROADCAST_PAIRS = 250_000
 
 
@@ -55,11 +58,27 @@ class Rulebook:
     ops: DataFrame
     info: DataFrame
     rounds: int
-    small: bool
     kinds: frozenset
+    few_rules: bool
+    few_pairs: bool
 
-    def lookup(self, table: DataFrame) -> DataFrame:
-        return F.broadcast(table) if self.small else table
+    def per_rule(self, table: DataFrame) -> DataFrame:
+        """A lookup table whose size follows the number of rules."""
+        return F.broadcast(table) if self.few_rules else table
+
+    def per_pair(self, table: DataFrame) -> DataFrame:
+        """A lookup table whose size follows the rule pairs within paths."""
+        return F.broadcast(table) if self.few_pairs else table
+
+
+def register_handler(change_type: str, operation: str) -> None:
+    """Extension point: let a further change type act as one of the known operations.
+
+    Its rules fill the same fields as the built-in type of that operation.
+    """
+    if operation not in set(HANDLERS.values()):
+        raise ValueError(f"Unknown operation: {operation}")
+    HANDLERS[change_type] = operation
 
 
 def _op_of(change_type: Column) -> Column:
@@ -209,18 +228,18 @@ def compile_rules(path_rules: DataFrame) -> Rulebook:
 
     ``ordinal`` is 1-based and dense within a path.
     """
-    rules = with_rounds(path_rules)
+    rules = settled(with_rounds(path_rules))
     per_path = rules.groupBy("path_id").agg(
         F.count("*").alias("n"), F.max("round").alias("r"),
         F.collect_set(_op_of(F.col("change_type"))).alias("kinds"))
     stats = per_path.agg(
-        F.max("r").alias("r"), F.sum(F.col("n") * F.col("n")).alias("pairs"),
+        F.max("r").alias("r"), F.sum(F.col("n") * F.col("n")).alias("pairs"), F.sum("n").alias("n"),
         F.array_distinct(F.flatten(F.collect_set("kinds"))).alias("kinds"),
     ).first()
     small = (stats["pairs"] or 0) <= BROADCAST_PAIRS
     if small:
         # checked to be small: one task per table instead of a chain of tiny shuffles
-        rules = with_rounds(path_rules.coalesce(1))
+        rules = rules.coalesce(1)
     slim = _slim(rules)
     programs = slim.groupBy("path_id", "round").agg(F.array_sort(F.collect_list("r")).alias("ops"))
 
@@ -312,6 +331,6 @@ def compile_rules(path_rules: DataFrame) -> Rulebook:
     )
     return Rulebook(
         names=flags, ops=ops, info=info,
-        rounds=(stats["r"] or 0) + 1, small=small,
-        kinds=frozenset(stats["kinds"] or ()),
+        rounds=(stats["r"] or 0) + 1, kinds=frozenset(stats["kinds"] or ()),
+        few_rules=(stats["n"] or 0) <= BROADCAST_RULES, few_pairs=small,
     )

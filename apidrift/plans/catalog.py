@@ -639,6 +639,19 @@ def e2(spark, sf_dir):
         "repo", "path", "transformed_code", F.size("changes").alias("n_changes"), "was_modified")
 
 
+@query("e2_migrate_pinned", f"""
+    SELECT repo, path, content AS transformed_code, CAST(n_changes AS INT) AS n_changes FROM ({_EXPECTED}) e
+    WHERE CAST(substr(repo, 2) AS INT) < 10
+    UNION ALL SELECT repo, path, content, 0 FROM ({_SOURCE}) s WHERE CAST(substr(repo, 2) AS INT) >= 10""")
+def e2_pinned(spark, sf_dir):
+    docs = corpora.example_changelog(spark)
+    repo_pins = spark.sql(corpora.REPO_PINS, events=table(spark, sf_dir, "events"))
+    placed, rules = paths.plan_migrations(
+        EXAMPLE.files(spark, sf_dir).drop("path_id"), repo_pins, changelogs.versions(docs),
+        changelogs.read_changelogs(docs))
+    return migrate(placed, rules).select("repo", "path", "transformed_code", F.size("changes").alias("n_changes"))
+
+
 @query("e3_dry_run", f"""
     SELECT s.path, s.content AS transformed_code, false AS was_modified, e.content <> s.content AS would_modify,
       CAST(e.n_changes AS INT) AS n_changes FROM ({_SOURCE}) s JOIN ({_EXPECTED}) e USING (path)""")

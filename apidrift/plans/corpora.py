@@ -8,6 +8,8 @@ events of one user within a range of event ids, however skewed the tables are.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -418,3 +420,27 @@ OPERATIONS = {
         },
     ),
 }
+
+# The example's changelog: versions with their rules, as they would be written down.
+EXAMPLE_VERSIONS = {"1.1.0": EXAMPLE.rules[:1], "2.0.0": EXAMPLE.rules[1:6], "2.1.0": EXAMPLE.rules[6:9],
+                    "3.0.0": EXAMPLE.rules[9:]}
+
+
+def example_changelog(spark: SparkSession) -> DataFrame:
+    """The example's changelog as a document."""
+    versions = [
+        {"version": v, "rules": [
+            {"id": f"{v}-{i}", "version_introduced": v, "description": r["change_type"], **r}
+            for i, r in enumerate(rules)]}
+        for v, rules in EXAMPLE_VERSIONS.items()
+    ]
+    return spark.createDataFrame(
+        [("mylib", json.dumps({"library": "mylib", "versions": versions}))], "doc_id string, content string")
+
+
+# Half of the repositories upgrade, the others are up to date.
+REPO_PINS = """
+SELECT DISTINCT 'u' || (user_id % 20) AS repo, 'mylib' AS library,
+  CASE WHEN user_id % 20 < 10 THEN '1.0.0' ELSE '3.0.0' END AS from_version, 'latest' AS to_version
+FROM {events}
+"""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str = "local[*]", name: str = "apidrift", **conf: str) -> SparkSession:
@@ -15,3 +17,22 @@ def session(master: str = "local[*]", name: str = "apidrift", **conf: str) -> Sp
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
+
+
+def settled(frame: DataFrame) -> DataFrame:
+    """Cut the lineage of a table that is read several times.
+
+    The copy goes to the shared folder the cluster names in ``spark.checkpoint.dir``, so
+    it outlives executors. In local mode without that setting a scratch folder is made;
+    on a cluster without it the table is left as it is and computed where needed.
+    """
+    spark = frame.sparkSession
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            return frame
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="apidrift-"))
+    elif context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    return frame.checkpoint()
