@@ -144,10 +144,16 @@ def expression_valid(text: Column) -> Column:
             "*", "/", "//", "%", "**", "@", "&", "|", "^", "<<", ">>", "<", ">", "<=", ">=", "==",
             "!=", ".", ",", ":", "and", "or", "in", "is", "if", "else", "for", "from",
         )
+        # ``=`` is fine for keywords in brackets and for defaults of a lambda
+        assigned = ~F.array_contains(toks, "lambda") & F.exists(
+            F.sequence(F.lit(1), F.greatest(F.size(toks), F.lit(1))),
+            lambda i: (F.get(toks, i - 1) == "=") & (bracket_state(F.slice(toks, 1, i)) == ""),
+        )
         return (
             (F.size(toks) > 0)
             & (bracket_state(toks) == "")
-            & ~F.exists(toks, lambda t: t.isin(*BROKEN) | t.isin(*statement_words) | t.isin("=", ";"))
+            & ~F.exists(toks, lambda t: t.isin(*BROKEN) | t.isin(*statement_words) | (t == ";"))
+            & ~(F.exists(toks, lambda t: t == "=") & assigned)
             & ~F.coalesce(side_by_side, F.lit(False))
             & ~F.coalesce(dangling, F.lit(False))
         )
