@@ -222,16 +222,23 @@ def file_edits(edits: DataFrame) -> DataFrame:
     """Merge the edits of a file: text segments by position, rule hits, removed ranges."""
     c = F.col
     span = c("k").isin("x", "r")
-    before = (
-        Window.partitionBy(*KEY)
-        .orderBy("pos", F.when(span, 0).when(c("k") == "T", 1).otherwise(2), F.desc("end"))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    order = (F.col("pos"), F.when(span, 0).when(c("k") == "T", 1).otherwise(2), F.desc("end"))
+    before = Window.partitionBy(*KEY).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     edits = edits.select(
         "*",
         F.coalesce(F.max(F.when(span, c("end"))).over(before) >= c("pos"), F.lit(False)).alias("covered"),
         F.coalesce(F.max(F.when(c("k") == "T", c("pos"))).over(before) == c("pos"), F.lit(False)).alias("over"),
     ).where(~((c("k") == "h") & c("over")))
+    # A covered hit counts only if it came before every removal around it. The removals to
+    # look at lie within one outermost span, so each such island is its own small window.
+    sofar = Window.partitionBy(*KEY).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    island = Window.partitionBy(*KEY, "island").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    edits = edits.select("*", F.when(
+        c("covered"), F.max(F.when(span & ~c("covered"), c("pos"))).over(sofar)).otherwise(c("pos")).alias("island")
+    ).select("*", F.collect_list(F.when(span, F.struct("end", "o"))).over(island).alias("around")).where(
+        ~(c("k").isin("h", "H", "z", "D") & c("covered")
+          & F.exists("around", lambda d: (d["end"] >= c("pos")) & (d["o"] < c("o"))))
+    ).drop("around", "island")
     bare = ~c("covered")
     pick = lambda k, v="txt": F.max(F.when((c("k") == k) & bare, c(v)))
     there = lambda k: F.coalesce(F.bool_or((c("k") == k) & bare), F.lit(False))
@@ -243,7 +250,7 @@ def file_edits(edits: DataFrame) -> DataFrame:
         pick("q").alias("pre"), pick("w").alias("first"), pick("a").alias("after"), pick("g").alias("deco"),
         there("l").alias("cut_line"), there("d").alias("cut_indent"),
         F.max(F.when((c("k") == "S") & bare, F.struct("end", "src"))).alias("layout"),
-        F.collect_list(F.when(c("k").isin("h", "H", "z", "D", "b", "x", "r"), F.struct(
+        F.collect_list(F.when(c("k").isin("h", "H", "z", "D", "b"), F.struct(
             "o", "k", "m", "c", "txt", "src", "pos", "end", "covered"))).alias("noted"),
     ).withColumn("before", F.expr(ordered))
     texty = F.expr(
@@ -262,14 +269,8 @@ def file_edits(edits: DataFrame) -> DataFrame:
         .agg(
             F.array_sort(F.collect_list(F.when(texty, segment))).alias("segs"),
             F.array_sort(F.collect_list(F.when(c("layout").isNotNull(), F.struct("pos", "layout")))).alias("layouts"),
-            F.flatten(F.collect_list(noted)).alias("noted"),
+            F.flatten(F.collect_list(noted)).alias("hits"),
         )
-        .withColumn("spans", F.expr("filter(noted, d -> d.k in ('x', 'r'))"))
-        .withColumn("hits", F.expr("""
-            filter(noted, h -> h.k not in ('x', 'r') and (not h.covered
-                   or not exists(spans, d -> d.pos <= h.pos and h.pos <= d.end and d.o < h.o)))
-        """))
-        .drop("noted", "spans")
     )
 
 
@@ -329,10 +330,11 @@ def stitch(edited: DataFrame) -> DataFrame:
              i -> if(i = h.src[0], regexp_replace(lex[i], '^{trivia}', ''), lex[i])), '')) <> h.txt)))
     """.replace("{trivia}", TRIVIA.replace("\\", "\\\\"))
     lexed = token_pieces(F.col("content"))
-    done = edited.withColumn("nl", F.expr(nl)).withColumn("lexed", lexed).withColumn("done", F.expr(f"""
-        transform(array(lexed), lex -> named_struct('code', {_stitch_sql()}, 'hits', {hits}))[0]
-    """))
-    return done.drop("hits", "lexed").withColumn("code", F.col("done.code")).withColumn("hits", F.col("done.hits"))
+    # evaluated once per text: what a lambda only refers to would be computed per element
+    return edited.withColumn("lexed", lexed).withColumn("done", F.expr(f"""
+        transform(array(lexed), lex -> transform(array({nl}), nl ->
+          transform(array(segs), segs -> named_struct('code', {_stitch_sql()}, 'hits', {hits}))[0])[0])[0]
+    """)).drop("hits", "lexed").withColumn("code", F.col("done.code")).withColumn("hits", F.col("done.hits"))
 
 
 _ORDINALS = "array_sort(array_distinct(transform(filter(hits, h -> h.c), h -> h.o)))"
@@ -401,8 +403,9 @@ def _one_round(files: DataFrame, book: Rulebook, round_: int, only_modified: boo
     new = stitch(joined).select(
         *KEY, "repo", "path", "original", c("code").alias("content"),
         F.concat("changes", F.expr(f"""
-            flatten(transform({_ORDINALS}, o -> array_repeat(element_at(texts, o).message,
-               cast(aggregate(filter(hits, h -> h.o = o), 0, (n, h) -> n + h.m) as int))))
+            transform(array(hits), hits -> flatten(transform({_ORDINALS}, o -> array_repeat(
+               element_at(texts, o).message,
+               cast(aggregate(filter(hits, h -> h.o = o), 0, (n, h) -> n + h.m) as int)))))[0]
         """)).alias("changes"),
         "errors",
         F.concat("rules_applied", F.expr(

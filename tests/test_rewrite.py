@@ -171,3 +171,27 @@ def test_case(results, name):
     assert len(got.changes) == changes
     assert got.was_modified == (source != expected)
     assert list(got.errors) == []
+
+
+def test_nested_removals(spark):
+    """Changes inside removed arguments count only up to the first removal around them."""
+    rules = [RM("g", "k"), RF("a", "b"), RM("f", "v"), RF("b", "c"), RM("h", "v")]
+    source = "f(v=g(a, k=a, z=h(v=a)), w=a)\nf(a, v=f(v=b))\n"
+    # a -> b: four names (the one in g's k is gone by then); f: two outer calls and one inner;
+    # b -> c: only what is outside; h went with the argument of f
+    got = migrate(files_frame(spark, {1: source}), rules_frame(spark, {1: rules})).collect()[0]
+    assert got.transformed_code == "f(w=c)\nf(c)\n"
+    from collections import Counter
+    assert Counter(got.changes) == {
+        "Removed argument 'k' from g()": 1, "Renamed function: a -> b": 4,
+        "Removed argument 'v' from f()": 3, "Renamed function: b -> c": 2}
+
+
+def test_large_file(spark):
+    """One long file whose removed arguments all hold changes (must stay linear)."""
+    n = 4000
+    source = "x = send(u, verbose=f(1, connect))\n" * n
+    rules = [RF("connect", "create"), RM("send", "verbose"), RF("create", "late")]
+    got = migrate(files_frame(spark, {1: source}), rules_frame(spark, {1: rules})).collect()[0]
+    assert got.transformed_code == "x = send(u)\n" * n
+    assert len(got.changes) == 2 * n
