@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from apidrift.functions.lexing import TRIVIA, identifiers, is_name, lexically_valid, token_pieces
 from apidrift.operators import entities
 from apidrift.operators.rulebook import (
-    ATTR_CALL, ATTR_HIT, DEF, HANDLERS, PARAM, PLAIN_CALL, PLAIN_HIT, Rulebook, compile_rules,
+    ATTR_CALL, ATTR_HIT, DEF, PARAM, PLAIN_CALL, PLAIN_HIT, Rulebook, compile_rules,
 )
 from apidrift.operators.structure import (
     HEAD_CALL, HEAD_DEF, HEAD_PARAMS, KEY, LINE_COMPOUND, LINE_DECORATOR, LINE_DEF, enclosing, structure, tokens,

@@ -3,7 +3,6 @@
 import ast
 import difflib
 import io
-import json
 import tokenize
 
 from hypothesis import HealthCheck, given, settings, strategies as st
