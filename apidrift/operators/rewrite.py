@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from apidrift.functions.lexing import TRIVIA, identifiers, is_name, lexically_valid, token_pieces
 from apidrift.operators import entities
+from apidrift.session import text_partitions
 from apidrift.operators.rulebook import (
     ATTR_CALL, ATTR_HIT, DEF, PARAM, PLAIN_CALL, PLAIN_HIT, Rulebook, compile_rules,
 )
@@ -353,12 +354,12 @@ def migrate(files: DataFrame, path_rules: DataFrame, only_modified: bool = False
     as it was and ``would_modify`` tells what a run would do. ``only_modified`` leaves
     out the files no rule acts on, and with them the second pass over their text.
 
-    ``partitions`` (default: the session's shuffle partitions) is fixed, because the
+    ``partitions`` (default: ``text_partitions``) is fixed, because the
     texts grow about fiftyfold as token rows: sized by their compressed bytes, as
     adaptive coalescing would do, a partition would be far too big to sort.
     """
     book = book or compile_rules(path_rules)
-    partitions = partitions or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = partitions or text_partitions(files)
     for name in ("repo", "path"):
         if name not in files.columns:
             files = files.withColumn(name, F.lit(None).cast("string"))

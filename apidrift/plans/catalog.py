@@ -14,6 +14,7 @@ from apidrift.operators.rulebook import HANDLERS, handler_table
 from apidrift.operators.structure import structure, tokens
 from apidrift.plans import corpora
 from apidrift.plans.corpora import EXAMPLE, OPERATIONS, table
+from apidrift.session import text_partitions
 from apidrift.sources import changelogs, files, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -518,8 +519,8 @@ def _token_sql(source: str, key: str, text: str) -> str:
 
 
 def _text_tokens(spark, sf_dir, name, key, text):
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = table(spark, sf_dir, name).select(F.col(key), F.col(text)).repartition(partitions, key)
+    rows = table(spark, sf_dir, name).select(F.col(key), F.col(text))
+    rows = rows.repartition(text_partitions(rows), key)
     return tokens(rows, F.col(text), key).where("tok <> ''")
 
 

@@ -13,6 +13,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from apidrift.session import text_partitions
 from apidrift.sources.changelogs import RULE_FIELDS
 
 RANGE = 65536     # order keys per library
@@ -163,8 +164,9 @@ class Corpus:
     def files(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         sql = self.files_sql(0, "listagg(line, chr(10)) WITHIN GROUP (ORDER BY event_id)", "@events")
         sql = sql.replace("{", "{{").replace("}", "}}").replace("@events", "{events}")
-        partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        return spark.sql(sql, events=table(spark, sf_dir, "events")).drop("n_changes").repartition(
+        events = table(spark, sf_dir, "events")
+        partitions = text_partitions(events)
+        return spark.sql(sql, events=events).drop("n_changes").repartition(
             partitions, "file_id").withColumn("path_id", F.lit(1))
 
     def expected_sql(self) -> str:

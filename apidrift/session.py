@@ -36,3 +36,15 @@ def settled(frame: DataFrame) -> DataFrame:
     elif context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return frame.checkpoint()
+
+
+def text_partitions(files: DataFrame) -> int:
+    """Partitions for a shuffle of texts: the session's number, fewer for small inputs.
+
+    One per estimated MB of input (estimates see compressed columns, texts grow), at
+    least one per core, at most ``spark.sql.shuffle.partitions``.
+    """
+    spark = files.sparkSession
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(most, max(spark.sparkContext.defaultParallelism, size >> 20))
