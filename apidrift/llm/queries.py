@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from apidrift.llm.exact_dedup import dedup
 from apidrift.llm.license_scan import scan as scan_licenses
 from apidrift.llm.quality_rules import apply_rules
 from apidrift.llm.sharding import shard
@@ -16,6 +17,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -26,8 +31,20 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op5_exact_dedup": op5_exact_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_sharding": op10_sharding,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_exact_dedup": """
+        WITH d AS (
+          SELECT doc_id, length(coalesce(text, '')) AS chars,
+                 sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')) AS text_sha256
+          FROM documents),
+        g AS (
+          SELECT text_sha256, count(*) AS group_size, first(doc_id ORDER BY chars DESC, doc_id) AS keep_id
+          FROM d GROUP BY text_sha256)
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256
+        FROM d JOIN g USING (text_sha256)""",
+}
