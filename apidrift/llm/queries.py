@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from apidrift.llm.exact_dedup import dedup
 from apidrift.llm.license_scan import scan as scan_licenses
 from apidrift.llm.quality_rules import apply_rules
+from apidrift.llm.secret_scan import scan as scan_secrets
 from apidrift.llm.sharding import shard
 from apidrift.llm.tables import table
 
@@ -17,6 +18,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents"))
 
@@ -31,6 +36,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_secret_scan": op3_secret_scan,
     "op5_exact_dedup": op5_exact_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_sharding": op10_sharding,
