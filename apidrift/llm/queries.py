@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from apidrift.llm.exact_dedup import dedup
 from apidrift.llm.license_scan import scan as scan_licenses
+from apidrift.llm.pii import scan as scan_pii
 from apidrift.llm.quality_rules import apply_rules
 from apidrift.llm.secret_scan import scan as scan_secrets
 from apidrift.llm.sharding import shard
@@ -26,6 +27,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_pii(table(spark, sf_dir, "documents"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -38,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_secret_scan": op3_secret_scan,
     "op5_exact_dedup": op5_exact_dedup,
+    "op8_pii": op8_pii,
     "op9_license_scan": op9_license_scan,
     "op10_sharding": op10_sharding,
 }
