@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from apidrift.llm.exact_dedup import dedup
+from apidrift.llm.language_id import document_rows, identify, page_rows
 from apidrift.llm.license_scan import scan as scan_licenses
 from apidrift.llm.pii import scan as scan_pii
 from apidrift.llm.quality_rules import apply_rules
@@ -19,6 +20,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents and all pages: documents have a doc_id, pages a page_id."""
+    rows = document_rows(table(spark, sf_dir, "documents")).unionByName(page_rows(table(spark, sf_dir, "pages")), True)
+    return identify(rows, ["doc_id", "page_id"])
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -41,6 +48,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_language_id": op2_language_id,
     "op3_secret_scan": op3_secret_scan,
     "op5_exact_dedup": op5_exact_dedup,
     "op8_pii": op8_pii,
