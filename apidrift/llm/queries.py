@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import importlib
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from apidrift.llm.bpe import encode_digests
 from apidrift.llm.exact_dedup import dedup
 from apidrift.llm.language_id import document_rows, identify, page_rows
 from apidrift.llm.license_scan import scan as scan_licenses
@@ -20,6 +23,17 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def tokenizer_path() -> str:
+    """The vocabulary file: ``APIDRIFT_TOKENIZER`` or that of the installed package of public tokenizers."""
+    if named := os.environ.get("APIDRIFT_TOKENIZER"):
+        return named
+    return importlib.import_module("public_tokenizers").path("byte_bpe_50k.json")
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_digests(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents and all pages: documents have a doc_id, pages a page_id."""
     rows = document_rows(table(spark, sf_dir, "documents")).unionByName(page_rows(table(spark, sf_dir, "pages")), True)
@@ -51,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_secret_scan": op3_secret_scan,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_bpe": op6_bpe,
     "op8_pii": op8_pii,
     "op9_license_scan": op9_license_scan,
     "op10_sharding": op10_sharding,
