@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from apidrift.llm.bpe import encode_digests
 from apidrift.llm.exact_dedup import dedup
+from apidrift.llm.jaccard_join import link_groups
 from apidrift.llm.language_id import document_rows, identify, page_rows
 from apidrift.llm.license_scan import scan as scan_licenses
 from apidrift.llm.pii import scan as scan_pii
@@ -48,6 +49,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_groups(table(spark, sf_dir, "documents"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_pii(table(spark, sf_dir, "documents"))
 
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_scan": op3_secret_scan,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_bpe": op6_bpe,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_pii": op8_pii,
     "op9_license_scan": op9_license_scan,
     "op10_sharding": op10_sharding,
