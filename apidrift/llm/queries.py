@@ -13,6 +13,7 @@ from apidrift.llm.exact_dedup import dedup
 from apidrift.llm.jaccard_join import link_groups
 from apidrift.llm.language_id import document_rows, identify, page_rows
 from apidrift.llm.license_scan import scan as scan_licenses
+from apidrift.llm.mixing import label_domains, mix
 from apidrift.llm.pii import scan as scan_pii
 from apidrift.llm.quality_rules import apply_rules
 from apidrift.llm.secret_scan import scan as scan_secrets
@@ -45,6 +46,15 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+#: Wanted shares of tokens by domain, and how often the scarcest may be used.
+TARGETS, HEADROOM = {"clean": 0.9, "junk": 0.06, "toxic": 0.04}, 1.25
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    domains = label_domains(table(spark, sf_dir, "labels"))
+    return mix(table(spark, sf_dir, "documents"), domains, TARGETS, HEADROOM)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents"))
 
@@ -69,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_language_id": op2_language_id,
     "op3_secret_scan": op3_secret_scan,
+    "op4_mixing": op4_mixing,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_bpe": op6_bpe,
     "op7_jaccard_join": op7_jaccard_join,
