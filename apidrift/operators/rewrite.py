@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from apidrift.functions.lexing import TRIVIA, identifiers, is_name, lexically_valid, token_pieces
 from apidrift.operators import entities
-from apidrift.session import text_partitions
+from apidrift.session import settled, text_partitions
 from apidrift.operators.rulebook import (
     ATTR_CALL, ATTR_HIT, DEF, PARAM, PLAIN_CALL, PLAIN_HIT, Rulebook, compile_rules,
 )
@@ -343,7 +343,9 @@ _ORDINALS = "array_sort(array_distinct(transform(filter(hits, h -> h.c), h -> h.
 
 def migrate(files: DataFrame, path_rules: DataFrame, only_modified: bool = False,
             dry_run: bool = False, book: Rulebook | None = None, partitions: int | None = None) -> DataFrame:
-    """Apply ``path_rules`` to ``files(path_id, file_id, [repo, path,] content)``.
+    """Apply ``path_rules`` to ``files(path_id, file_id, [repo, path,] content, [error])``.
+
+    A file with an ``error`` (it could not be decoded) is a failed result with an empty text.
 
     ``file_id`` (any type) is unique in ``files``: a file that takes part in two paths
     comes as two rows. ``path_rules`` has ``path_id``, a dense 1-based ``ordinal`` and
@@ -363,11 +365,22 @@ def migrate(files: DataFrame, path_rules: DataFrame, only_modified: bool = False
     for name in ("repo", "path"):
         if name not in files.columns:
             files = files.withColumn(name, F.lit(None).cast("string"))
+    none = F.array().cast("array<string>")
+    error = F.col("error") if "error" in files.columns else F.lit(None).cast("string")
+    text = F.when(error.isNotNull(), F.lit("")).otherwise(F.col("content"))
     result = files.select(
-        "path_id", "file_id", "repo", "path", F.col("content").alias("original"), "content",
-        *[F.array().cast("array<string>").alias(n) for n in ("changes", "errors", "rules_applied")],
+        "path_id", "file_id", "repo", "path", text.alias("original"), text.alias("content"), none.alias("changes"),
+        F.when(error.isNotNull(), F.array(error)).otherwise(none).alias("errors"), none.alias("rules_applied"),
     )
+    if book.failing is not None:
+        # a rule that cannot be applied fails where the name it looks for occurs; the others go on
+        result = result.join(book.per_rule(book.failing), "path_id", "left").withColumn("errors", F.concat(
+            "errors", F.transform(F.filter(
+                F.coalesce("bad", F.array()), lambda b: F.array_contains(identifiers(F.col("content")), b["name"])),
+                lambda b: b["message"]))).drop("bad")
     for round_ in range(book.rounds):
+        if round_:  # the next round reads the texts several times
+            result = settled(result)
         result = _one_round(result, book, round_, only_modified and book.rounds == 1, partitions)
     out = result.select(
         "path_id", "file_id", "repo", "path", F.col("original").alias("original_code"),
@@ -388,13 +401,14 @@ def _one_round(files: DataFrame, book: Rulebook, round_: int, only_modified: boo
     texts = book.per_rule(book.info.groupBy("path_id").agg(F.first("texts").alias("texts")))
     # Both uses of the chosen files (tokens, stitching) take all columns, and arrays are
     # not pruned by element, so the two read one and the same shuffle.
-    log = [] if round_ == 0 else ["changes", "errors", "rules_applied"]
+    logged = round_ > 0 or book.failing is not None
+    log = ["changes", "errors", "rules_applied"] if logged else []
     strings = ["repo", "path", "content"] + (["original"] if round_ else [])
     chosen = files.where(acts).select(
         *KEY, F.array(F.array(*strings), *log).alias("payload")
     ).repartition(partitions, "file_id")
     edits = file_edits(entity_edits(occurrences(chosen, book, round_), book, round_))
-    part = lambda i: c("payload")[i] if round_ else F.array().cast("array<string>")
+    part = lambda i: c("payload")[i] if logged else F.array().cast("array<string>")
     joined = chosen.join(edits.drop("path_id"), "file_id", "inner" if only_modified else "left").select(
         *KEY, c("payload")[0][0].alias("repo"), c("payload")[0][1].alias("path"),
         c("payload")[0][3 if round_ else 2].alias("original"), c("payload")[0][2].alias("content"),
@@ -421,7 +435,8 @@ def _one_round(files: DataFrame, book: Rulebook, round_: int, only_modified: boo
               '\\' failed: Syntax error in source: unbalanced brackets or open string'))
         """)
         rest = rest.join(texts, "path_id", "left").withColumn(
-            "errors", F.when(~lexically_valid(c("content")), F.coalesce(failed, F.array())).otherwise(c("errors"))
+            "errors", F.concat("errors", F.when(
+                ~lexically_valid(c("content")), F.coalesce(failed, F.array())).otherwise(F.array()))
         )
     return new.unionByName(
         rest.select(*KEY, "repo", "path", "original", "content", "changes", "errors", "rules_applied")

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from apidrift.functions.lexing import KEYWORDS, token_texts, token_trivia
+from apidrift.functions.lexing import KEYWORDS, expression_valid, identifiers, token_texts, token_trivia
 from apidrift.session import settled
 
 # Change type -> operation folded over syntax entities. Types that
@@ -45,11 +45,10 @@ HANDLERS = {
 # Bits of the per-name flag word.
 PLAIN_HIT, ATTR_HIT, PLAIN_CALL, ATTR_CALL, DEF, PARAM = 1, 2, 4, 8, 16, 32
 
-# Broadcast bounds, checked before every broadcast. Name flags and path information
-# grow with the number of rules; the rules to fold per name grow with its square
-# within a path. Beyond a bound the join shuffles.
-BROADCAST_RULES = 300_000
-BROADCAST_PAIRS = 250_000
+# Bytes of rule text up to which a lookup table is broadcast, checked before every broadcast. Name
+# flags and path information grow with the rules; the rules to fold per name grow with
+# the rules of a path for each of its rules. Beyond the bound the join shuffles.
+BROADCAST_BYTES = 256 << 20
 
 
 @dataclass
@@ -61,6 +60,7 @@ class Rulebook:
     kinds: frozenset
     few_rules: bool
     few_pairs: bool
+    failing: DataFrame | None = None  # (path_id, bad): rules that cannot be applied, by the name they look for
 
     def per_rule(self, table: DataFrame) -> DataFrame:
         """A lookup table whose size follows the number of rules."""
@@ -154,36 +154,35 @@ def with_rounds(path_rules: DataFrame) -> DataFrame:
 
     All rules of a round are composed in one pass over the tokens. A new round
     (a fresh look at the rewritten text) starts after a rule whose output is new
-    syntax: a dotted new name, a default value that holds a call, an attribute or
-    a lambda, or a property that a later rule looks for as a call.
+    syntax: a dotted new name, a default value with a call, an attribute or a lambda that
+    holds a name some rule of the path looks for, or a property that a rule looks for as a call.
     """
-    order = Window.partitionBy("path_id").orderBy("ordinal")
-    rest = order.rowsBetween(1, Window.unboundedFollowing)
-    called = F.when(
-        _op_of(F.col("change_type")).isin("add_arg", "remove_arg", "rename_arg", "deprecate", "property"),
-        F.coalesce("function_name", "old_name"),
-    )
-    op = _op_of(F.col("change_type"))
-    plain = lambda c: F.col(c).rlike(r"^[\p{L}\p{Nl}_][\p{L}\p{Nl}\p{M}\p{N}_]*\z")
-    new_syntax = (
+    c = F.col
+    rules = _complete(path_rules)
+    op = _op_of(c("change_type"))
+    plain = lambda name: c(name).rlike(r"^[\p{L}\p{Nl}_][\p{L}\p{Nl}\p{M}\p{N}_]*\z")
+    called = op.isin("add_arg", "remove_arg", "rename_arg", "deprecate", "property")
+    # Names that rules look for, and names that a rule writes as new syntax, meet by path and name.
+    looked_for = rules.select("path_id", F.explode(F.array(
+        *(F.struct(c(name).alias("looked"), as_call.alias("called")) for name, as_call in (
+            ("function_name", called), ("old_name", called), ("argument_name", F.lit(False)))),
+    )).alias("x")).select(c("path_id").alias("by"), "x.looked", F.coalesce("x.called", F.lit(False)).alias("called")).where(
+        "looked is not null").distinct()
+    holds_syntax = op.isin("add_arg", "default") & c("default_value").rlike(r"[\p{L}\p{N}_)\]]\s*\(|\.\s*\p{L}|lambda")
+    written = rules.select(
+        "path_id", "ordinal", (op == "property").alias("as_call"),
+        F.explode(F.when(holds_syntax, identifiers(c("default_value"))).when(op == "property", F.array("new_name"))).alias("name"))
+    met = written.join(looked_for, (c("path_id") == c("by")) & (c("name") == c("looked"))).where(
+        "called or not as_call").select(c("path_id").alias("met_path"), c("ordinal").alias("met")).distinct()
+    new_name = (
         (op.isin("rename", "rename_attr", "import", "property") & ~plain("new_name"))
-        | ((op == "rename_arg") & ~plain("new_argument_name"))
-        | ((op == "add_decorator") & ~plain("decorator_name"))
-        | (op.isin("add_arg", "default") & F.col("default_value").rlike(r"[(\[{]|\.\s*\p{L}|lambda"))
-    )
-    barrier = (
-        F.when(F.coalesce(new_syntax, F.lit(False)), 1)
-        .when((op == "property") & F.array_contains(F.collect_set(called).over(
-            Window.partitionBy("path_id")), F.col("new_name")), 1)
-        .otherwise(0)
-    )
-    return (
-        _complete(path_rules)
-        .withColumn("_barrier", barrier)
-        .withColumn("round", F.coalesce(
-            F.sum("_barrier").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int"))
-        .drop("_barrier")
+        | ((op == "rename_arg") & ~plain("new_argument_name")) | ((op == "add_decorator") & ~plain("decorator_name"))
     )
+    before = Window.partitionBy("path_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
+    barrier = F.coalesce(new_name, F.lit(False)) | c("met").isNotNull()
+    return rules.join(met, (c("path_id") == c("met_path")) & (c("ordinal") == c("met")), "left").withColumn(
+        "barrier", barrier.cast("int")).withColumn(
+        "round", F.coalesce(F.sum("barrier").over(before), F.lit(0)).cast("int")).drop("barrier", "met", "met_path")
 
 
 def _slim(rules: DataFrame) -> DataFrame:
@@ -228,19 +227,23 @@ def compile_rules(path_rules: DataFrame) -> Rulebook:
 
     ``ordinal`` is 1-based and dense within a path.
     """
-    rules = settled(with_rounds(path_rules))
+    rules = with_rounds(path_rules)
+    writes = _op_of(F.col("change_type")).isin("add_arg", "default") & (F.trim("default_value") != "")
+    rules = settled(rules.withColumn("bad", F.coalesce(writes & ~expression_valid(F.col("default_value")), F.lit(False))))
     per_path = rules.groupBy("path_id").agg(
         F.count("*").alias("n"), F.max("round").alias("r"),
+        F.sum(F.octet_length(F.to_json(F.struct(*rules.columns)))).alias("bytes"), F.bool_or("bad").alias("bad"),
         F.collect_set(_op_of(F.col("change_type"))).alias("kinds"))
     stats = per_path.agg(
-        F.max("r").alias("r"), F.sum(F.col("n") * F.col("n")).alias("pairs"), F.sum("n").alias("n"),
+        F.max("r").alias("r"), F.sum(F.col("n") * F.col("bytes")).alias("pair_bytes"), F.sum("bytes").alias("bytes"), F.bool_or("bad").alias("bad"),
         F.array_distinct(F.flatten(F.collect_set("kinds"))).alias("kinds"),
     ).first()
-    small = (stats["pairs"] or 0) <= BROADCAST_PAIRS
-    if small:
-        # checked to be small: one task per table instead of a chain of tiny shuffles
-        rules = rules.coalesce(1)
-    slim = _slim(rules)
+    small = (stats["pair_bytes"] or 0) <= BROADCAST_BYTES
+    slim = _slim(rules.where("not bad"))
+    failing = rules.where("bad").groupBy("path_id").agg(F.array_sort(F.collect_list(F.struct(
+        F.col("ordinal").alias("o"), F.coalesce("function_name", "argument_name").alias("name"),
+        F.concat(F.lit("Rule '"), "description", F.lit("' failed: Invalid expression: "), "default_value").alias("message"),
+    ))).alias("bad"))
     programs = slim.groupBy("path_id", "round").agg(F.array_sort(F.collect_list("r")).alias("ops"))
 
     words = F.expr("""
@@ -332,5 +335,6 @@ def compile_rules(path_rules: DataFrame) -> Rulebook:
     return Rulebook(
         names=flags, ops=ops, info=info,
         rounds=(stats["r"] or 0) + 1, kinds=frozenset(stats["kinds"] or ()),
-        few_rules=(stats["n"] or 0) <= BROADCAST_RULES, few_pairs=small,
+        few_rules=(stats["bytes"] or 0) <= BROADCAST_BYTES, few_pairs=small,
+        failing=failing if stats["bad"] else None,
     )

@@ -14,7 +14,7 @@ from apidrift.sources.changelogs import (
 # The accepted change types and safety levels.
 CHANGE_TYPES = (
     "rename_function", "rename_class", "rename_attribute", "rename_import", "add_argument",
-    "remove_argument", "change_argument_default", "reorder_arguments", "deprecate_function",
+    "remove_argument", "rename_argument", "change_argument_default", "reorder_arguments", "deprecate_function",
     "remove_function", "remove_class", "change_return_type", "replace_with_property",
     "move_to_module", "wrap_in_context_manager", "add_decorator", "remove_decorator",
 )
@@ -28,6 +28,7 @@ NEEDED_FIELDS = {
     "rename_import": ("old_module", "new_module", "old_name", "new_name"),
     "add_argument": ("function_name", "argument_name"),
     "remove_argument": ("function_name", "argument_name"),
+    "rename_argument": ("function_name", "argument_name", "new_argument_name"),
     "change_argument_default": ("argument_name", "default_value"),
     "reorder_arguments": ("function_name", "new_order"),
     "deprecate_function": ("old_name",),

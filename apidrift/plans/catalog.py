@@ -602,10 +602,10 @@ def _lexical_sql(source, key, text):
 
 
 @query("e7_unparsable_texts", _lexical_sql(
-    "(SELECT conv_id * 100000 + turn AS msg, text FROM conversations)", "msg", "text"))
+    "(SELECT conv_id || '-' || turn AS msg, text FROM conversations)", "msg", "text"))
 def e7(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select(
-        (F.col("conv_id") * 100000 + F.col("turn")).alias("msg"), lexically_valid(F.col("text")).alias("valid"))
+        F.concat_ws("-", "conv_id", "turn").alias("msg"), lexically_valid(F.col("text")).alias("valid"))
 
 
 @query("e7_unparsable_documents", _lexical_sql("documents", "doc_id", "text"))

@@ -152,7 +152,7 @@ class Corpus:
 
     def files_sql(self, part: int, string_agg: str, events: str = "events") -> str:
         return f"""
-        SELECT user_id * 1048576 + bucket AS file_id, 'u' || (user_id % 20) AS repo,
+        SELECT user_id || '_' || bucket AS file_id, 'u' || (user_id % 20) AS repo,
                'pkg/f' || user_id || '_' || bucket || '.py' AS path,
                {self.quote(self.head[part])} || chr(10) || body || chr(10) AS content, n_changes
         FROM (SELECT user_id, bucket, {string_agg} AS body, sum(n) + {self.head[2]} AS n_changes

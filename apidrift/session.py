@@ -24,14 +24,14 @@ def settled(frame: DataFrame) -> DataFrame:
 
     The copy goes to the shared folder the cluster names in ``spark.checkpoint.dir``, so
     it outlives executors. In local mode without that setting a scratch folder is made;
-    on a cluster without it the table is left as it is and computed where needed.
+    a cluster must name one.
     """
     spark = frame.sparkSession
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None and context.getCheckpointDir() is None:
         if not context.master.startswith("local"):
-            return frame
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="apidrift-"))
     elif context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
@@ -39,12 +39,9 @@ def settled(frame: DataFrame) -> DataFrame:
 
 
 def text_partitions(files: DataFrame) -> int:
-    """Partitions for a shuffle of texts: the session's number, fewer for small inputs.
+    """Partitions for a shuffle of texts: the session's ``spark.sql.shuffle.partitions``.
 
-    One per estimated MB of input (estimates see compressed columns, texts grow), at
-    least one per core, at most ``spark.sql.shuffle.partitions``.
+    A fixed number, because texts grow about fiftyfold as token rows and adaptive coalescing only sees
+    their compressed bytes. The caller chooses it so that a partition holds some tens of MB of text.
     """
-    spark = files.sparkSession
-    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    size = int(str(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(most, max(spark.sparkContext.defaultParallelism, size >> 20))
+    return int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))

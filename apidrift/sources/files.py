@@ -84,5 +84,5 @@ def read_directory(spark: SparkSession, root: str, excludes=DEFAULT_EXCLUDES, re
 
     raw = scan(list_directory(spark, root), excludes).mapInPandas(load, "path string, content binary")
     return decode(raw).select(
-        F.xxhash64("path").alias("file_id"), F.lit(repo).alias("repo"), "path", "content", "error"
+        F.concat_ws("|", F.lit(repo), "path").alias("file_id"), F.lit(repo).alias("repo"), "path", "content", "error"
     )

@@ -92,19 +92,20 @@ def test_directory_to_sinks(spark, tmp_path_factory):
         "__init__.py": None, "top.py": None, "broken.py": None, "latin.py": "invalid UTF-8"}
     rules = rules_frame(spark, {1: [rule("rename_function", old_name="old", new_name="new", description="why"),
                                     rule("remove_class", old_name="x")]})
-    results = migrate(source.where("error is null"), rules)
+    results = migrate(source, rules)
     rows = {r.path.rsplit("/", 1)[1]: r for r in results.collect()}
     assert rows["__init__.py"].transformed_code == "from m import new\n" and rows["top.py"].success
     assert rows["broken.py"].transformed_code == "old(\n"
+    assert rows["latin.py"].errors == ["invalid UTF-8"] and not rows["latin.py"].success and not rows["latin.py"].was_modified
     assert [e[:38] for e in rows["broken.py"].errors] == ["Rule 'why' failed: Syntax error in sou"]
     total = report.summarize(results, None).collect()[0]
-    assert (total.files_processed, total.files_modified, total.files_failed, total.total_changes) == (3, 1, 1, 1)
+    assert (total.files_processed, total.files_modified, total.files_failed, total.total_changes) == (4, 1, 2, 1)
     sinks.write_migrated(results, str(tmp_path / "out"))
     assert [r.content for r in spark.read.parquet(str(tmp_path / "out/migrated")).collect()] == ["from m import new\n"]
     backup = spark.read.parquet(str(tmp_path / "out/backup")).collect()[0]
     assert backup.content == "from m import old\n" and backup.backup_path.endswith("/__init__.py.bak")
     lines = [r.line for r in report.report_lines(results, "1.0.0", "2.0.0").orderBy("part", "path", "seq").collect()]
-    assert lines[:3] == ["Migration Report: v1.0.0 -> v2.0.0", "=" * 50, "Files processed : 3"]
+    assert lines[:3] == ["Migration Report: v1.0.0 -> v2.0.0", "=" * 50, "Files processed : 4"]
     assert "    ✓ Renamed function: old -> new" in lines
 
 
