@@ -1,7 +1,8 @@
 """BPE encoding and decoding through a table of distinct words.
 
-1. Each text is cut into the tokenizer's words. A block of documents (one Arrow batch of a scan task)
-   keeps its distinct words, and every document becomes word codes of its block. Both are written once.
+1. Each text is cut into the tokenizer's words. A block of documents (at most ``BLOCK_BYTES`` of text in a scan
+   task) keeps its distinct words, and every document becomes word codes of its block. Both are written once,
+   bucketed by block, so the codes are never shuffled.
 2. Words meet in buckets by hash. A bucket encodes each distinct word once, however many blocks hold it.
 3. Ids go back to the blocks that asked for the word and are put in place by position. Decoding joins ids with
    the pieces of the vocabulary, a table of fixed size, and pieces with positions.
@@ -15,11 +16,13 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 import uuid
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from apidrift.llm.tables import whole, written
+from apidrift.llm.tables import slices, whole, written_by
 
 #: Bytes of text for each bucket of words, and the least number of buckets.
 BUCKET_BYTES, LEAST_BUCKETS = 16 << 20, 64
+BLOCK_BYTES = 12 << 20
+#: Words that go to the library at a time.
+ENCODED_AT_ONCE = 8192
 #: Word positions in one packed row of documents.
-PACKED_POSITIONS = 1 << 19
+PACKED_POSITIONS = 1 << 17
 
 # Fixed value: how byte-level BPE cuts words.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -86,7 +92,11 @@ class Vocabulary:
         return self._pattern.findall(text)
 
     def encode(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are parallel already; threads cost memory
+        out: list[list[int]] = []
+        for i in range(0, len(words), ENCODED_AT_ONCE):
+            out += [e.ids for e in self.tokenizer.encode_batch(words[i:i + ENCODED_AT_ONCE], add_special_tokens=False)]
+        return out
 
     def pieces(self) -> dict[int, bytes]:
         """Id to bytes. Byte-level vocabularies write the bytes without a printable character of their own as
@@ -136,7 +146,7 @@ def _unpack_words(blob: bytes) -> list[bytes]:
 
 def _blocks(vocabulary: Vocabulary, buckets: int, kind: str) -> Callable:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole_batch in batches for part in slices(whole_batch, "text", BLOCK_BYTES)):
             block, codes = uuid.uuid4().hex, _Codes()
             id_type = batch.schema.field("id").type
             ids, lengths, run, held = [], [], [], 0
@@ -187,37 +197,54 @@ def _placer(vocabulary: Vocabulary, measure: Callable, names: list[str]) -> Call
     pieces = vocabulary.pieces()
 
     def place(_: tuple, docs: pa.Table, words: pa.Table) -> pa.Table:
-        word_ids: dict[int, list[int]] = {}
-        for codes, counts, flat in zip(*(map(_unpack, words.column(c).to_pylist()) for c in ("codes", "counts", "flat")), strict=True):
-            ends, ids = np.cumsum(counts).tolist(), flat.tolist()
-            for code, a, b in zip(codes.tolist(), [0, *ends[:-1]], ends, strict=True):
-                word_ids[code] = ids[a:b]
-        ids_of = [word_ids[c] for c in range(len(word_ids))]
-        shown = [",".join(map(str, ids)).encode() for ids in ids_of]
-        decoded = [b"".join([pieces[i] for i in ids]) for ids in ids_of]
-        sizes = np.fromiter(map(len, ids_of), np.int64, len(ids_of))
+        n = sum(map(len, parts := [_unpack(b) for b in words.column("codes").to_pylist()]))
+        sizes, starts, flat, at = np.zeros(n, np.int64), np.zeros(n, np.int64), [], 0
+        shown, decoded = [b""] * n, [b""] * n
+        for codes, counts, ids in zip(parts, *(map(_unpack, words.column(c).to_pylist()) for c in ("counts", "flat")), strict=True):
+            ends, known = np.cumsum(counts), ids.tolist()
+            sizes[codes], starts[codes] = counts, at + ends - counts
+            flat.append(ids)
+            at += len(ids)
+            for code, a, b in zip(codes.tolist(), (ends - counts).tolist(), ends.tolist(), strict=True):
+                mine = known[a:b]
+                shown[code] = ",".join(map(str, mine)).encode()
+                decoded[code] = b"".join([pieces[i] for i in mine])
+        block = _Block(sizes, starts, np.concatenate([np.zeros(0, np.uint32), *flat]), shown, decoded)
         keys, out = [], []
-        for row in docs.to_pylist():
-            codes, at = _unpack(row["codes"]), 0
-            for key, n in zip(row["ids"], row["lengths"], strict=True):
-                mine = codes[at:at + n]
-                at += n
+        for i in range(docs.num_rows):
+            codes, at = _unpack(docs.column("codes")[i].as_py()), 0
+            for key, n in zip(docs.column("ids")[i].as_py(), docs.column("lengths")[i].as_py(), strict=True):
                 keys.append(key)
-                out.append(measure(int(sizes[mine].sum()), mine.tolist(), ids_of, shown, decoded))
+                out.append(measure(block, codes[at:at + n]))
+                at += n
         kind = docs.schema.field("ids").type.value_type
         return pa.table({"id": pa.array(keys, kind)} | {name: pa.array([r[i] for r in out], t) for i, (name, t) in enumerate(names)})
     return place
 
 
-def _digests(n: int, codes: list[int], ids_of: list, shown: list[bytes], decoded: list[bytes]) -> tuple:
+class _Block(NamedTuple):
+    """What is known of a block's words, by code; ids lie in one array."""
+
+    sizes: np.ndarray
+    starts: np.ndarray
+    flat: np.ndarray
+    shown: list[bytes]
+    decoded: list[bytes]
+
+
+def _digests(block: _Block, codes: np.ndarray) -> tuple:
+    at = codes.tolist()
     return (
-        n, hashlib.sha256(b",".join([shown[c] for c in codes])).hexdigest(),
-        hashlib.sha256(b"".join([decoded[c] for c in codes])).hexdigest(),
+        int(block.sizes[codes].sum()), hashlib.sha256(b",".join([block.shown[c] for c in at])).hexdigest(),
+        hashlib.sha256(b"".join([block.decoded[c] for c in at])).hexdigest(),
     )
 
 
-def _texts(n: int, codes: list[int], ids_of: list, shown: list[bytes], decoded: list[bytes]) -> tuple:
-    return [i for c in codes for i in ids_of[c]], b"".join([decoded[c] for c in codes]).decode("utf-8", "replace")
+def _texts(block: _Block, codes: np.ndarray) -> tuple:
+    sizes = block.sizes[codes]
+    ends = np.cumsum(sizes)
+    ids = block.flat[np.repeat(block.starts[codes] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+    return ids.astype(np.int32), b"".join([block.decoded[c] for c in codes.tolist()]).decode("utf-8", "replace")
 
 
 def _run(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, measure: Callable, schema: str, names: list) -> DataFrame:
@@ -227,7 +254,7 @@ def _run(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, measu
     rows = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, -(-size // BUCKET_BYTES))
-    blocks = written(rows.mapInArrow(_blocks(vocabulary, buckets, kind), BLOCK_SCHEMA.format(kind=kind)), "word-blocks")
+    blocks = written_by(rows.mapInArrow(_blocks(vocabulary, buckets, kind), BLOCK_SCHEMA.format(kind=kind)), "word-blocks", "block")
     encoded = blocks.where("kind = 1").select("block", "bucket", "codes", "words").groupBy("bucket").applyInArrow(
         _encoder(vocabulary), "block string, codes binary, counts binary, flat binary")
     held = blocks.where("kind = 0").select("block", "ids", "lengths", "codes")

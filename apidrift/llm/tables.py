@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +24,10 @@ def whole(text: Column | str) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+#: Parquet keeps the smallest and largest value of each column; for packed columns those would be whole blobs.
+_PARQUET = {"compression": "zstd", "parquet.column.statistics.enabled": "false", "parquet.statistics.truncate.length": "64"}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
@@ -40,5 +47,31 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     a lost executor costs no more than the tasks it ran. The folder's owner clears it."""
     spark = frame.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    frame.write.option("compression", "zstd").parquet(path)
+    frame.write.options(**_PARQUET).parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def written_by(frame: DataFrame, name: str, key: str) -> DataFrame:
+    """Like ``written``, bucketed by a key: what groups by the key afterwards needs no shuffle of this table.
+
+    The table is external, in the shared folder, under a name of its own in the session's catalog.
+    """
+    spark = frame.sparkSession
+    unique = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    frame.write.format("parquet").bucketBy(buckets, key).options(**_PARQUET).option(
+        "path", f"{shared_folder(spark).rstrip('/')}/{unique}").saveAsTable(unique)
+    return spark.table(unique)
+
+
+def slices(batch: pa.RecordBatch, text: str, most: int) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows with at most so many bytes of text each; a longer text is a run of its own."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
+    start = held = 0
+    for i, size in enumerate(sizes):
+        if i > start and held + size > most:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += size
+    if len(sizes) > start:
+        yield batch.slice(start)
