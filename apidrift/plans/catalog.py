@@ -452,12 +452,12 @@ def q3(spark, sf_dir):
 
 @query("a1_total_rules", f"SELECT library, count(*) AS n_rules FROM ({_RULES}) r GROUP BY library")
 def a1(spark, sf_dir):
-    return _rules(spark, sf_dir).groupBy("library").agg(F.count("*").alias("n_rules"))
+    return changelogs.count_rules(_versions(spark, sf_dir), "library")
 
 
 @query("a2_rules_per_version", f"SELECT library, version, count(*) AS n_rules FROM ({_RULES}) r GROUP BY library, version")
 def a2(spark, sf_dir):
-    return _rules(spark, sf_dir).groupBy("library", "version").agg(F.count("*").alias("n_rules"))
+    return changelogs.count_rules(_versions(spark, sf_dir), "library", "version")
 
 
 @query("w3_version_order", f"""

@@ -80,6 +80,11 @@ def versions(docs: DataFrame, fmt: str = "auto") -> DataFrame:
     return _version_rows(docs, fmt, F.posexplode).withColumn("n_rules", F.size("raw_rules"))
 
 
+def count_rules(version_rows: DataFrame, *keys: str) -> DataFrame:
+    """Rules per key (``library``, or ``library, version``) of ``versions``; versions without rules count 0."""
+    return version_rows.groupBy(*keys).agg(F.sum("n_rules").alias("n_rules"))
+
+
 def _rule_columns():
     defaults = {
         "extra": F.coalesce("r.extra", F.lit("{}")), "tags": F.coalesce("r.tags", F.array()),

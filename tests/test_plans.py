@@ -87,3 +87,13 @@ def test_renamed_arguments_validate(spark):
         ("good", document(function_name="f", argument_name="a", new_argument_name="b")), ("bad", document(function_name="f", argument_name="a")),
     ], "doc_id string, content string")
     assert [(r.doc_id, r.kind, r.detail) for r in validation.validate_changelogs(docs).collect()] == [("bad", "missing_field", "new_argument_name")]
+
+
+def test_versions_without_rules_count_zero(spark):
+    docs = spark.createDataFrame([
+        changelog("alpha", ("x", "xx")), ("beta", json.dumps({"library": "beta", "versions": [{"version": "1.0.0", "rules": []}]})),
+    ], "doc_id string, content string")
+    rows = changelogs.versions(docs)
+    assert {(r.library, r.n_rules) for r in changelogs.count_rules(rows, "library").collect()} == {("alpha", 1), ("beta", 0)}
+    assert {(r.library, r.version, r.n_rules) for r in changelogs.count_rules(rows, "library", "version").collect()} == {
+        ("alpha", "2.0.0", 1), ("beta", "1.0.0", 0)}

@@ -101,9 +101,9 @@ def test_directory_to_sinks(spark, tmp_path_factory):
     total = report.summarize(results, None).collect()[0]
     assert (total.files_processed, total.files_modified, total.files_failed, total.total_changes) == (4, 1, 2, 1)
     sinks.write_migrated(results, str(tmp_path / "out"))
-    assert [r.content for r in spark.read.parquet(str(tmp_path / "out/migrated")).collect()] == ["from m import new\n"]
-    backup = spark.read.parquet(str(tmp_path / "out/backup")).collect()[0]
-    assert backup.content == "from m import old\n" and backup.backup_path.endswith("/__init__.py.bak")
+    kinds = {r.kind: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert set(kinds) == {"migrated", "backup"} and kinds["migrated"].content == "from m import new\n"
+    assert kinds["backup"].content == "from m import old\n" and kinds["backup"].written_path.endswith("/__init__.py.bak")
     lines = [r.line for r in report.report_lines(results, "1.0.0", "2.0.0").orderBy("part", "path", "seq").collect()]
     assert lines[:3] == ["Migration Report: v1.0.0 -> v2.0.0", "=" * 50, "Files processed : 4"]
     assert "    ✓ Renamed function: old -> new" in lines
