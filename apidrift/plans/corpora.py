@@ -399,6 +399,20 @@ OPERATIONS = {
         },
     ),
     # a name made by one rule and used by later ones
+    "e1_many_rounds": Corpus(
+        # defaults of every kind of syntax; only the last rule must look at rewritten text again
+        [*(_rule("add_argument", function_name="open_it", argument_name=f"p{i}", default_value=d)
+           for i, d in enumerate(["[]", "{}", "g()", "a.b", "lambda: 0"] * 4)),
+         _rule("add_argument", function_name="g2", argument_name="q", default_value="late()"),
+         _rule("rename_function", old_name="late", new_name="soon"),
+         _rule("rename_function", old_name="g2", new_name="g3")],
+        ("g2()", "g3(q=soon())", 3),
+        {
+            "click": ("'open_it()'", "'open_it(" + ", ".join(
+                f"p{i}={d}" for i, d in enumerate(["[]", "{}", "g()", "a.b", "lambda: 0"] * 4)) + ")'", 20),
+            "view": ("'late(' || event_id || ')'", "'soon(' || event_id || ')'", 1),
+        },
+    ),
     "e1_ordered_fold": Corpus(
         [
             _rule("rename_class", old_name="Client", new_name="API"),
