@@ -9,12 +9,13 @@ Two sets link when their intersection is at least ``percent`` % of their union.
    would read; the boundary minimises the summed cost over the measured size histogram.
 3. Heavy sets go through inverted lists. First, each set looks up how many of its smallest hashes occur in another
    set at all; a set with fewer than any partner would need is done. For the rest full sets are read,
-   elements are counted exactly and ordered rarest first, and lists are kept for the prefix a partner must hit.
+   elements are counted exactly and ordered rarest first, and lists are kept for the prefix a partner must hit. Larger
+   sets probe, smaller ones are found in their shorter indexing prefix.
 4. A list does not emit all its pairs. Each set is verified against the list's leader (the set with the
    fewest elements of its own); sets that link to the same leader need no test among themselves. Pairs across leaders
    are all verified. Sizes and positions prune pairs that cannot reach the threshold.
 
-Element counts come from blocks: a block (one Arrow batch of texts) sends each distinct element once, and gets its count
+Element counts come from blocks: a block (at most ``BLOCK_BYTES`` of text) sends each distinct element once, and gets its count
 back, so an element of half the corpus costs one number per block.
 """
 
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from apidrift.llm.bpe import _pack, _unpack
 from apidrift.llm.components import components
-from apidrift.llm.tables import whole, written
+from apidrift.llm.tables import slices, whole, written, written_by
 
 #: Sets of up to this size carry their elements along and may be light.
 LIGHT_MOST = 24
@@ -41,6 +42,8 @@ LIGHT_MOST = 24
 SHORT_BITS = 48
 #: Bytes of text for each bucket of elements, and the least number of buckets.
 BUCKET_BYTES, LEAST_BUCKETS = 16 << 20, 64
+#: Bytes of text of a block.
+BLOCK_BYTES = 16 << 20
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -107,7 +110,7 @@ class Threshold:
 def _blocks(width: int, choose: Callable[[np.ndarray], np.ndarray], buckets: int, bits: int, inline: int) -> Callable:
     """Texts to (a) packed rows of sets as element codes of the block, (b) elements per bucket."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole_batch in batches for part in slices(whole_batch, "text", BLOCK_BYTES)):
             block, words = uuid.uuid4().hex, _Words()
             sets = [shingle_set(text, width, words) for text in batch.column("text").to_pylist()]
             del words
@@ -250,12 +253,16 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _heavy_links(sets: DataFrame, percent: int) -> DataFrame:
-    """Verified links between sets (id, n, rare, tokens rarest first); lists are of prefix elements in two sets or more."""
+    """Verified links between sets (id, n, rare, tokens rarest first).
+
+    Lists hold elements of two sets or more within a set's probing prefix. Of a pair the smaller set has its first common
+    element in its shorter indexing prefix (where two sets of its size would have it), the larger set looks it up.
+    """
     prefix = F.expr(f"cast(n - ({percent} * n + 99) div 100 + 1 as int)")
+    indexed = F.expr(f"n - (2 * {percent} * n + {99 + percent}) div {100 + percent} + 1")
     lists = written(sets.select("id", "n", "rare", F.posexplode(F.slice("tokens", F.lit(1), prefix)).alias("pos", "token")).where(
-        "pos >= rare"), "prefix-lists")
-    leaders = lists.groupBy("token").agg(
-        F.min(F.struct("rare", "id", "n", "pos")).alias("lead"), F.count("*").alias("df")).where("df > 1").select(
+        "pos >= rare").withColumn("indexed", F.col("pos") < indexed), "prefix-lists")
+    leaders = lists.where("indexed").groupBy("token").agg(F.min(F.struct("rare", "id", "n", "pos")).alias("lead")).select(
         F.col("token").alias("of"), F.col("lead.id").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.pos").alias("lead_pos"))
     stars = lists.join(leaders, F.col("token") == F.col("of")).where(
         (F.col("id") != F.col("lead")) & _may_link(F.col("n"), F.col("lead_n"), F.col("pos"), F.col("lead_pos"), percent),
@@ -263,17 +270,20 @@ def _heavy_links(sets: DataFrame, percent: int) -> DataFrame:
     star_links = written(_verified(stars, sets, percent), "star-links")
     label = star_links.groupBy(F.col("u").alias("labelled")).agg(F.min("v").alias("label"))
     named = lists.join(label, F.col("id") == F.col("labelled"), "left").select(
-        "token", "id", "n", "pos", F.coalesce("label", "id").alias("label"))
+        "token", "id", "n", "pos", "indexed", F.coalesce("label", "id").alias("label"))
     mixed = named.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select(
         F.col("token").alias("of"))
-    named = written(named.join(mixed, F.col("token") == F.col("of")).drop("of"), "mixed-lists")
-    labels = named.select("token", "label").distinct()
-    apart = labels.select("token", F.col("label").alias("la")).join(
-        labels.select("token", F.col("label").alias("lb")), "token").where("la < lb")
-    ones = named.select("token", F.col("label").alias("la"), F.col("id").alias("u"), F.col("n").alias("un"), F.col("pos").alias("up"))
-    others = named.select("token", F.col("label").alias("lb"), F.col("id").alias("v"), F.col("n").alias("vn"), F.col("pos").alias("vp"))
-    pairs = apart.join(ones, ["token", "la"]).join(others, ["token", "lb"]).where(
-        _may_link(F.col("un"), F.col("vn"), F.col("up"), F.col("vp"), percent),
+    # The largest partner that the elements from this position on leave possible.
+    reach = F.expr(f"({100 + percent} * (n - pos)) div {percent} - n")
+    named = written(named.join(mixed, F.col("token") == F.col("of")).drop("of").withColumn("reach", reach), "mixed-lists")
+    probes = named.groupBy("token", F.col("label").alias("lp")).agg(F.max("n").alias("most"), F.max("reach").alias("reach"))
+    held = named.where("indexed").groupBy("token", F.col("label").alias("li")).agg(F.min("n").alias("least"))
+    apart = probes.join(held, "token").where("lp <> li and most >= least and reach >= least").select("token", "lp", "li")
+    ones = named.select("token", F.col("label").alias("lp"), F.col("id").alias("u"), F.col("n").alias("un"), F.col("pos").alias("up"))
+    others = named.where("indexed").select(
+        "token", F.col("label").alias("li"), F.col("id").alias("v"), F.col("n").alias("vn"), F.col("pos").alias("vp"))
+    pairs = apart.join(ones, ["token", "lp"]).join(others, ["token", "li"]).where(
+        (F.col("un") >= F.col("vn")) & _may_link(F.col("un"), F.col("vn"), F.col("up"), F.col("vp"), percent),
     ).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     return star_links.union(_verified(pairs, sets, percent))
 
@@ -299,7 +309,7 @@ def link_groups(
     def head(s: np.ndarray) -> np.ndarray:
         return s[:2 * rule.prefix(len(s)) - 1]
 
-    blocks = written(texts.mapInArrow(_blocks(width, head, buckets, SHORT_BITS, LIGHT_MOST), block_schema), "shingle-heads")
+    blocks = written_by(texts.mapInArrow(_blocks(width, head, buckets, SHORT_BITS, LIGHT_MOST), block_schema), "shingle-heads", "block")
     rows = blocks.where("kind = 0").select(F.explode(F.arrays_zip("ids", "sizes", "digests", "small")).alias("x")).select(
         F.col("x.ids").alias("id"), F.col("x.sizes").alias("n"), F.col("x.digests").alias("digest"), F.col("x.small").alias("small"))
     classes = written(rows.where("n > 0").groupBy("digest").agg(
@@ -318,7 +328,7 @@ def link_groups(
     heavy = written(classes.join(linkable, F.col("class_id") == F.col("linkable"), "left_semi").select(
         F.col("class_id").alias("heavy_id")), "heavy-sets")
     full = texts.join(heavy, F.col("id") == F.col("heavy_id"), "left_semi")
-    full_blocks = written(full.mapInArrow(_blocks(width, lambda s: s, buckets, 64, 2**31), block_schema), "shingle-sets")
+    full_blocks = written_by(full.mapInArrow(_blocks(width, lambda s: s, buckets, 64, 2**31), block_schema), "shingle-sets", "block")
 
     def ordered(found: list, id_type: pa.DataType) -> pa.Table:
         """Sets with enough shared elements, rarest element first."""
