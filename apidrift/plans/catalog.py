@@ -688,6 +688,35 @@ def a3(spark, sf_dir):
     return report.summarize(_migrated(EXAMPLE, spark, sf_dir))
 
 
+# Files of four fates, by user: broken text, undecodable, nothing to do, as they were.
+_FATE = "CAST(regexp_extract(path, 'f([0-9]+)_', 1) AS INT) % 4"
+_BROKEN = " | ".join(
+    f"Rule '{r['change_type']}' failed: Syntax error in source: unbalanced brackets or open string" for r in EXAMPLE.rules)
+_FATES = f"SELECT s.repo, s.path, e.n_changes, {_FATE.replace('path', 's.path')} AS fate FROM ({_SOURCE}) s JOIN ({_EXPECTED}) e USING (path)"
+
+
+def _fated(spark, sf_dir):
+    fate, content = F.expr(_FATE), F.col("content")
+    files = EXAMPLE.files(spark, sf_dir).withColumn("error", F.when(fate == 1, F.lit("invalid UTF-8"))).withColumn(
+        "content", F.when(fate == 0, F.concat(content, F.lit("("))).when(fate == 2, F.lit("x = 1\n")).otherwise(content))
+    return migrate(files, corpora.rule_table(spark, EXAMPLE.rules))
+
+
+@query("a3_report_failures", f"""
+    SELECT repo, count(*) AS files_processed, count(*) FILTER (WHERE fate = 3) AS files_modified,
+      count(*) FILTER (WHERE fate < 2) AS files_failed,
+      CAST(coalesce(sum(n_changes) FILTER (WHERE fate = 3), 0) AS BIGINT) AS total_changes FROM ({_FATES}) f GROUP BY ROLLUP (repo)""")
+def a3_failures(spark, sf_dir):
+    return report.summarize(_fated(spark, sf_dir))
+
+
+@query("e7_rule_errors", f"""
+    SELECT path, CASE fate WHEN 0 THEN '{_BROKEN.replace("'", "''")}' WHEN 1 THEN 'invalid UTF-8' ELSE '' END AS errors,
+      fate = 3 AS was_modified, fate >= 2 AS success FROM ({_FATES}) f""")
+def e7_errors(spark, sf_dir):
+    return _fated(spark, sf_dir).select("path", F.array_join("errors", " | ").alias("errors"), "was_modified", "success")
+
+
 # per file: how often each rule of the example acts, as (ordinal, change type, message, count)
 _COUNTS = """
     (2, 'rename_function', 'Renamed function: connect -> create_connection', click),
