@@ -640,6 +640,29 @@ def e2(spark, sf_dir):
         "repo", "path", "transformed_code", F.size("changes").alias("n_changes"), "was_modified")
 
 
+_PRINTS = "CAST((length(content) - length(replace(content, 'print(', ''))) / 6 AS INT)"
+
+
+@query("e2_two_libraries", f"""
+    SELECT repo, path, CASE WHEN u < 15 THEN replace(content, 'print(', 'emit(') ELSE content END AS transformed_code,
+      CAST(n + CASE WHEN u < 15 THEN {_PRINTS} ELSE 0 END AS INT) AS n_changes
+    FROM (SELECT s.repo, s.path, CAST(substr(s.repo, 2) AS INT) AS u,
+            CASE WHEN CAST(substr(s.repo, 2) AS INT) < 10 THEN e.content ELSE s.content END AS content,
+            CASE WHEN CAST(substr(s.repo, 2) AS INT) < 10 THEN e.n_changes ELSE 0 END AS n
+          FROM ({_SOURCE}) s JOIN ({_EXPECTED}) e USING (path)) f""")
+def e2_two(spark, sf_dir):
+    """Repositories with two libraries, with one of them, and without any pin."""
+    docs = corpora.example_changelog(spark).union(corpora.second_changelog(spark))
+    users = spark.sql(corpora.REPO_PINS, events=table(spark, sf_dir, "events")).select(
+        "repo", F.substring("repo", 2, 9).cast("int").alias("u"))
+    pin = lambda library, most: users.where(F.col("u") < most).select(
+        "repo", F.lit(library).alias("library"), F.lit("1.0.0").alias("from_version"), F.lit("latest").alias("to_version"))
+    placed, rules = paths.plan_migrations(
+        EXAMPLE.files(spark, sf_dir).drop("path_id"), pin("mylib", 10).union(pin("otherlib", 15)), changelogs.versions(docs),
+        changelogs.read_changelogs(docs))
+    return migrate(placed, rules).select("repo", "path", "transformed_code", F.size("changes").alias("n_changes"))
+
+
 @query("e2_migrate_pinned", f"""
     SELECT repo, path, content AS transformed_code, CAST(n_changes AS INT) AS n_changes FROM ({_EXPECTED}) e
     WHERE CAST(substr(repo, 2) AS INT) < 10
