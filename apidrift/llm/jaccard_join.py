@@ -296,7 +296,8 @@ def link_groups(
     Words are ASCII-lower-cased runs of non-blanks; a text with fewer words than ``width`` is one shingle; an empty, blank
     or null text has none and links with nothing, not even another such text. ``component_id`` is the smallest id
     reachable by links, ``class_id`` the smallest id with the same set (the row's own for an empty set). Repeated
-    rows are copies of each other. Ids must not be null or name two texts. An empty table gives no rows. Other columns are ignored.
+    rows are copies of each other; an id must not name two texts. A null id is never linked by its own and takes the component
+    of equal sets that have an id, else null. An empty table gives no rows. Other columns are ignored.
     """
     rule = Threshold(percent)
     kind = dict(docs.dtypes)[id_col]

@@ -58,7 +58,7 @@ def written_by(frame: DataFrame, name: str, key: str) -> DataFrame:
     """
     spark = frame.sparkSession
     unique = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = min(int(spark.conf.get(f"spark.sql.{limit}")) for limit in ("shuffle.partitions", "sources.bucketing.maxBuckets"))
     frame.write.format("parquet").bucketBy(buckets, key).options(**_PARQUET).option(
         "path", f"{shared_folder(spark).rstrip('/')}/{unique}").saveAsTable(unique)
     return spark.table(unique)

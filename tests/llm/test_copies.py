@@ -123,6 +123,9 @@ def test_groups_of_odd_tables(spark, odd, none):
     assert out[8].component_id == 7 and out[8].class_id == 8 and out[0].n_shingles == 0
     assert link_groups(none).count() == 0
     assert link_groups(odd.union(odd)).count() == 2 * odd.count()
+    unknown = spark.createDataFrame([(None, "a b c d e f g h"), (5, "a b c d e f g h"), (None, "x y z u v w"), (None, None)], "doc_id long, text string")
+    assert sorted((r.n_shingles, r.component_id) for r in link_groups(unknown).collect() if r.component_id or r.n_shingles < 5) == [
+        (0, None), (3, None), (5, 5), (5, 5)]
 
 
 def test_thresholds_are_exact():
