@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from apidrift.llm.tables import slices, whole, written_by
+from apidrift.llm.tables import slices, small_batches, whole, written_by
 
 #: Bytes of text for each bucket of words, and the least number of buckets.
 BUCKET_BYTES, LEAST_BUCKETS = 16 << 20, 64
@@ -250,6 +250,7 @@ def _texts(block: _Block, codes: np.ndarray) -> tuple:
 def _run(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, measure: Callable, schema: str, names: list) -> DataFrame:
     with open(tokenizer_path, encoding="utf-8") as file:
         vocabulary = Vocabulary(file.read())
+    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0

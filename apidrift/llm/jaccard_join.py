@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from apidrift.llm.bpe import _pack, _unpack
 from apidrift.llm.components import components
-from apidrift.llm.tables import slices, whole, written, written_by
+from apidrift.llm.tables import slices, small_batches, whole, written, written_by
 
 #: Sets of up to this size carry their elements along and may be light.
 LIGHT_MOST = 24
@@ -43,7 +43,7 @@ SHORT_BITS = 48
 #: Bytes of text for each bucket of elements, and the least number of buckets.
 BUCKET_BYTES, LEAST_BUCKETS = 16 << 20, 64
 #: Bytes of text of a block.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -299,6 +299,7 @@ def link_groups(
     rows are copies of each other; an id must not name two texts. A null id is never linked by its own and takes the component
     of equal sets that have an id, else null. An empty table gives no rows. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     rule = Threshold(percent)
     kind = dict(docs.dtypes)[id_col]
     texts = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from apidrift.llm.tables import whole, written
+from apidrift.llm.tables import small_batches, whole, written
 
 BITS = 15
 SAMPLE_ROWS = 10_000
@@ -147,6 +147,7 @@ def identify(rows: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
     model: lang and posterior are null and only rows without letters are rejected. Repeated rows each
     get a result; an empty table gives no rows. Other columns are ignored.
     """
+    small_batches(rows.sparkSession)
     rows = rows.select(*keys, whole("text").alias("text"), "declared", "suffix", "host")
     langs, table = fit(rows, keys)
     n = len(langs)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from apidrift.llm.tables import whole, written
+from apidrift.llm.tables import small_batches, whole, written
 
 TRAIN_ROWS = 8_000
 BITS = 16
@@ -34,6 +34,8 @@ EPOCHS, LEARNING_RATE, DECAY = 60, 0.05, 1e-3
 RIDGE = 1e-3
 #: The solver stops at this relative miss of the targets, or after so many steps.
 TOLERANCE, MOST_STEPS = 2e-3, 60
+#: Words whose bucket a task remembers.
+KNOWN_WORDS = 100_000
 #: No document is repeated more often.
 MOST_COPIES = 8.0
 
@@ -43,6 +45,8 @@ _SPLIT = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 class _Buckets(dict):
     def __missing__(self, word: bytes) -> int:
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
         self[word] = at = zlib.crc32(word) >> (32 - BITS)
         return at
 
@@ -165,6 +169,7 @@ def mix(
     it gets the rate of its posteriors. Without labelled documents all rates are 1 and posteriors null. Repeated
     rows each get a result; an empty table gives no rows. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     names, model = fit(docs, domains, id_col, text_col)
     texts = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: The characters that end a word in the contracts: space and \t \n \v \f \r.
 BLANKS = " \t\n\x0b\f\r"
+#: Bytes of an Arrow batch of texts.
+BATCH_BYTES = 24 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +67,15 @@ def written_by(frame: DataFrame, name: str, key: str) -> DataFrame:
     return spark.table(unique)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let batches of texts go to Python in ``BATCH_BYTES`` at most, unless the session asks for less: both sides of
+    the exchange hold a batch in memory for each task."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    asked = re.fullmatch(r"(\d+) *([kmgtp]?)(i?b)?", str(spark.conf.get(name)).lower())
+    if asked and int(asked[1]) << 10 * " kmgtp".index(asked[2] or " ") > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def slices(batch: pa.RecordBatch, text: str, most: int) -> Iterator[pa.RecordBatch]:
     """A batch in runs of rows with at most so many bytes of text each; a longer text is a run of its own."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
