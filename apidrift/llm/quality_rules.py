@@ -36,6 +36,8 @@ RULES: dict[str, tuple[str, str]] = {
 }
 #: Cutoffs are i / GRID, from GRID - 1 (loosest) down to 1.
 GRID = 50
+#: Parts of a stratum when its rows are joined with its cutoffs.
+SALTS = 64
 
 
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum: str = "lang") -> DataFrame:
@@ -150,11 +152,14 @@ def apply_rules(
     Other columns are ignored.
     """
     measured = written(measures(docs, id_col, text_col, stratum), "quality-measures")
-    limits = cutoffs(measured, labels, max_false_rejection, delta, id_col).withColumnRenamed("stratum", "of")
+    # A stratum may hold most rows: they meet their cutoffs in SALTS parts.
+    limits = cutoffs(measured, labels, max_false_rejection, delta, id_col).select(
+        F.col("stratum").alias("of"), "limits", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
+    salted = measured.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
     base_failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     broken = F.array_compact(F.array(*(
         F.when(_ratio(rule) > F.element_at("limits", F.lit(rule)), F.lit(rule)) for rule in RULES)))
-    judged = measured.join(limits, F.col("stratum") == F.col("of"), "left").withColumns({
+    judged = salted.join(limits, (F.col("stratum") == F.col("of")) & (F.col("salt") == F.col("part")), "left").withColumns({
         "base_failed": base_failed, "broken_rules": broken})
     return judged.select(
         F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
