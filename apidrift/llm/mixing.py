@@ -161,11 +161,14 @@ def _totals(scored: DataFrame, k: int, history: list[list[float]]) -> tuple[np.n
 
 def mix(
     docs: DataFrame, domains: DataFrame, targets: Mapping[str, float], headroom: float = 1.0, id_col: str = "doc_id", text_col: str = "text",
+    anchor: str | None = None,
 ) -> DataFrame:
     """One row per input row: id, n_tokens (words), posteriors (map by domain), rate, copies.
 
     ``domains`` is the labelled table (id, domain); ``targets`` weighs its domains, the missing ones with 0. The wanted total
-    is ``headroom`` times the largest that no domain has to be repeated for. A null or empty text has no tokens and bears on no total;
+    is ``headroom`` times the largest that no domain has to be repeated for. With an ``anchor`` it is ``headroom`` times the total for
+    which that domain is used once: the others are wanted at their weight, or as a whole where they have less, and if no label names
+    the anchor all rates are 1. A null or empty text has no tokens and bears on no total;
     it gets the rate of its posteriors. Without labelled documents all rates are 1 and posteriors null. Repeated
     rows each get a result; an empty table gives no rows. Other columns are ignored.
     """
@@ -189,7 +192,7 @@ def mix(
             F.col("id").alias(id_col), F.col("n").alias("n_tokens"), F.lit(None).cast("map<string,double>").alias("posteriors"),
             F.lit(1.0).alias("rate"), F.lit(1).alias("copies"))
     scored = written(scored, "posteriors")
-    history = solve(scored, names, targets, headroom)
+    history = solve(scored, names, targets, headroom, anchor)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,7 +205,9 @@ def mix(
         F.map_from_arrays(F.array(*map(F.lit, names)), "p").alias("posteriors"), "rate", _rounded(F.col("rate"), F.col("id")).alias("copies"))
 
 
-def solve(scored: DataFrame, names: list[str], targets: Mapping[str, float], headroom: float) -> list[list[float]]:
+def solve(
+    scored: DataFrame, names: list[str], targets: Mapping[str, float], headroom: float, anchor: str | None = None,
+) -> list[list[float]]:
     """Residual history of the accelerated projected gradient over documents (n, p)."""
     k = len(names)
     weights = np.array([targets.get(name, 0.0) for name in names])
@@ -213,7 +218,14 @@ def solve(scored: DataFrame, names: list[str], targets: Mapping[str, float], hea
     weights = weights / weights.sum()
     share = np.maximum(now / total, 1e-9)
     some = weights > 0
-    want = headroom * weights * (share[some] / weights[some]).min()
+    if anchor is None:
+        want = headroom * weights * (share[some] / weights[some]).min()
+    elif anchor not in names or not targets.get(anchor):
+        return []
+    else:
+        of = names.index(anchor)
+        want = headroom * weights * share[of] / weights[of]
+        want = np.where(np.arange(k) == of, want, np.minimum(want, share))
     history: list[list[float]] = []
     ahead = share
     for _ in range(MOST_STEPS):

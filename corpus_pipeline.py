@@ -23,8 +23,9 @@ from apidrift.llm.tables import shared_folder, table, written
 
 #: Shingle width and similarity (percent) of near duplicates.
 NEAR_WIDTH, NEAR_PERCENT = 5, 80
-#: Wanted shares of tokens. The headroom keeps the rates of clean documents at 1 or more.
-TARGETS, HEADROOM = {"clean": 0.97, "junk": 0.02, "toxic": 0.01}, 1.25
+#: Wanted shares of tokens. Totals are anchored to clean text, however scarce the rest is; the headroom keeps the rates
+#: of clean documents at 1 or more.
+TARGETS, HEADROOM, ANCHOR = {"clean": 0.97, "junk": 0.02, "toxic": 0.01}, 1.25, "clean"
 
 
 def _without(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
@@ -50,7 +51,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix uses at least once; none is repeated."""
-    rates = mix(docs, label_domains(table(spark, sf_dir, "labels")), TARGETS, HEADROOM)
+    rates = mix(docs, label_domains(table(spark, sf_dir, "labels")), TARGETS, HEADROOM, anchor=ANCHOR)
     return _without(docs, rates.where("copies = 0"), "mixed-out")
 
 
