@@ -1,11 +1,11 @@
 """Licence scan with a positional index of rare words.
 
-The templates below are indexed as postings (word, template, position). For each file the licence
-words it holds are ranked by inverse document frequency, counted over all documents; the rarest ``TOP_WORDS``
-are looked up in the postings, and hits are intersected by relative position: words of one
-licence text keep their distances, so their ``file position - template position`` agrees up to a few inserted or
-lost words. A template with enough agreeing words is a candidate; a label is given when all its
-mandatory key phrases stand in the file word for word.
+The templates below are indexed as postings (word, template, position). All licence words of a file are looked up
+in the postings of its verified templates, weighted by inverse document frequency over all documents, and hits are
+intersected by relative position: words of one licence text keep their distances, so their ``file position -
+template position`` agrees up to a few inserted or lost words. A template with enough agreeing words is a candidate; a label is
+given when all its mandatory key phrases stand in the file word for word. No word of a file is left out, so neither other
+licences nor ordinary words in the same file cost a label.
 
 Files are split into words once, within their row. What is shuffled are positions of licence words.
 """
@@ -78,10 +78,8 @@ TEMPLATES: dict[str, tuple[str, tuple[str, ...]]] = {
 #: Function words that are no evidence of a licence.
 COMMON = frozenset("a and any are as by in into is it may of or or not that the this to with you can be 0".split())
 
-#: Rarest licence words of a file that are looked up.
-TOP_WORDS = 12
-#: A candidate needs this share of its template's looked-up words on one diagonal, and two words at least.
-LEAST_SHARE = 0.25
+#: A candidate needs this share of its template's places (so many at most) on one diagonal, and two at least.
+LEAST_SHARE, MOST_PLACES = 0.25, 12
 #: Positions may differ by this many inserted or lost words.
 SLACK = 4
 
@@ -147,14 +145,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     weights = index.join(idf, "word", "left").withColumn("idf", F.coalesce("idf", F.lit(0.0)))
     # Files without a verified phrase can have no label: nothing of them needs looking up.
     few = files.where(F.size("verified") > 0).select("row", "verified", F.inline("hits"))
-    ranked = few.join(F.broadcast(idf), "word")
-    words = ranked.groupBy("row", "word").agg(
-        F.first("idf").alias("idf"), F.collect_list("at").alias("ats"), F.first("verified").alias("verified"))
-    best = words.groupBy("row").agg(
-        F.slice(F.sort_array(F.collect_list(F.struct(F.col("idf"), F.col("word"), F.col("ats"))), asc=False), 1, TOP_WORDS).alias("rare"),
-        F.first("verified").alias("verified"))
-    looked = best.select("row", "verified", F.inline("rare")).select("row", "verified", "idf", "word", F.explode("ats").alias("at"))
-    matched = looked.join(F.broadcast(index), "word").where(F.array_contains("verified", F.col("label"))).select(
+    matched = few.join(F.broadcast(weights), "word").where(F.array_contains("verified", F.col("label"))).select(
         "row", "label", "place", "idf", (F.col("at") - F.col("place")).alias("diagonal"))
     # Diagonals within the slack meet in one of two overlapping bands.
     banded = matched.select("*", F.explode(F.array(
@@ -164,7 +155,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         F.collect_set(F.struct("place", "idf")).alias("places"),
     ).select("row", "label", F.size("places").alias("n"), F.aggregate(
         F.array_sort("places"), F.lit(0.0), lambda s, p: s + p["idf"]).alias("weight"))
-    needed = F.greatest(F.lit(2), F.ceil(LEAST_SHARE * F.least(F.col("n_places"), F.lit(TOP_WORDS))))
+    needed = F.greatest(F.lit(2), F.ceil(LEAST_SHARE * F.least(F.col("n_places"), F.lit(MOST_PLACES))))
     given = agreed.join(F.broadcast(full), "label").where(F.col("n") >= needed).groupBy("row").agg(
         F.collect_set("label").alias("own"), F.max(F.try_divide("weight", "full")).alias("score"))
     placed = F.flatten(F.array(*(F.col(f"base_{n}") for n in range(len(BASE_PHRASES)))))

@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from apidrift.llm import license_scan
 
 OWN = {"clean": "river stone lamp", "junk": "zzz xxx buy", "toxic": "awful nasty vile"}
 
@@ -18,3 +19,18 @@ def test_mixing_stage_keeps_clean_texts_where_toxic_ones_are_scarce(spark, tmp_p
         left = {r.doc_id for r in corpus_pipeline.mixed(spark, docs, f"{tmp_path}/{junk}").collect()}
         assert {i for i, k in enumerate(kinds) if k != "junk"} <= left
         assert sum(kinds[i] == "junk" for i in left) < junk
+
+
+def test_all_licences_of_a_file_are_labelled(spark):
+    rnd = random.Random(6)
+    texts = {label: text for label, (text, _) in license_scan.TEMPLATES.items()}
+    ordinary = ["person", "charge", "fee", "conditions", "unencumbered", "subject", "domain", "purpose", "word", "other"]
+    prose = lambda n: " ".join(rnd.choice(ordinary) for _ in range(n))
+    phrases = {label: " / ".join(keys) for label, (_, keys) in license_scan.TEMPLATES.items()}
+    made = ["\n\n".join(texts.values()), *(f"{prose(9000)} . {t} . {prose(9000)}" for t in texts.values()),
+            *(f"{prose(900)} . {t} . {prose(900)}" for t in phrases.values())]
+    docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.scan(docs).collect()}
+    assert got[0].labels == ",".join(sorted(texts)) and got[0].score == 1
+    assert [got[1 + i].labels for i in range(2 * len(texts))] == [*texts, *phrases]
+    assert all(got[1 + i].score > 0.99 for i in range(len(texts)))
