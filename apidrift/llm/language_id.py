@@ -2,21 +2,22 @@
 
 ``log P(lang | row) = temper * log P(text | lang) + log P(declared | lang) + log P(lang | host) + const``
 
-* text: hashed byte trigrams of the lower-cased letters, one multinomial per language, fitted to at most
-  ``SAMPLE_ROWS`` rows with a declared language, chosen by hash; languages with a share below ``LEAST_SHARE`` of those
-  are not modelled, so there are at most ``1 / LEAST_SHARE`` of them;
+* text: hashed byte trigrams of the lower-cased letters, one multinomial per declared language, however rare. About
+  ``SAMPLE_ROWS`` rows are divided evenly among the languages (``LEAST_ROWS`` each at least), chosen by hash; a language with fewer
+  rows is learned from all of them. What a language has not been seen with gets the share of first occurrences in its text;
+* background: text of no language, all trigrams alike. Its posterior counts against that of the languages, so that
+  a text whose trigrams no language has is rejected;
 * declared language: how often each declaration meets each language by text, over all rows;
 * host: language counts by host over all rows, smoothed towards those of the host's address suffix,
   which are smoothed towards those of the whole table.
 
 The counts are grouped aggregations of one small row per text; texts are read in the scan only. The model that
-goes to the executors has ``2 ** BITS`` numbers a language, whatever the input.
+goes to the executors has ``2 ** BITS`` numbers for each of ``DENSE_MOST`` languages and the seen trigrams of the others.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,13 @@ from pyspark.sql import functions as F
 from apidrift.llm.tables import small_batches, whole, written
 
 BITS = 15
-SAMPLE_ROWS = 10_000
-LEAST_SHARE = 0.01
+SAMPLE_ROWS, LEAST_ROWS = 10_000, 500
+#: Languages with a full column in the model.
+DENSE_MOST = 64
+#: Share of texts of no language before any evidence.
+BACKGROUND = 0.01
+#: Log-likelihoods further below the best are cut off here: no declaration and no host makes up for that much.
+FURTHEST = 1000.0
 #: Trigrams overlap; their evidence counts this much.
 TEMPER = 0.2
 #: Pseudo-counts of the wider group in the narrower one.
@@ -37,6 +43,9 @@ LEAST_POSTERIOR, LEAST_LETTERS = 0.6, 3
 #: Parts that a hot declaration is dealt to when the small table of declarations is joined.
 SALTS = 16
 
+#: Log-probability of each trigram in the background.
+UNIFORM = -BITS * float(np.log(2))
+
 _FOLD = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
 
@@ -85,52 +94,99 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["lang", "bucket", "n"])
 
 
-def fit(rows: DataFrame, keys: Sequence[str]) -> tuple[list[str], np.ndarray]:
-    """Languages and their log-probabilities, ``[2 ** BITS, languages]``."""
+class Model:
+    """Log-probabilities of trigrams by language: columns of the languages seen with most, sparse rows of the others."""
+
+    def __init__(self, langs: list[str], found: dict[str, tuple[np.ndarray, np.ndarray]]) -> None:
+        self.langs = langs
+        size = {lang: len(found[lang][0]) if lang in found else 0 for lang in langs}
+        dense = sorted(sorted(langs, key=lambda lang: (-size[lang], lang))[:DENSE_MOST])
+        self.dense = np.array([langs.index(lang) for lang in dense], np.int64)
+        self.sparse = np.setdiff1d(np.arange(len(langs)), self.dense)
+        self.table = np.empty((1 << BITS, len(dense)), np.float32)
+        self.unseen = np.zeros(len(self.sparse))
+        at, of, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for places, column in ((self.dense, True), (self.sparse, False)):
+            for i, lang in enumerate(langs[j] for j in places):
+                buckets, n = found.get(lang, (np.zeros(0, np.int64), np.zeros(0)))
+                total = n.sum() + len(buckets)
+                rest = len(buckets) / (1 << BITS)
+                unseen = np.log(rest / total) if total else UNIFORM
+                seen = np.log((n + rest) / total) if total else np.zeros(0)
+                if column:
+                    self.table[:, i] = unseen
+                    self.table[buckets, i] = seen
+                else:
+                    self.unseen[i] = unseen
+                    at.append(buckets)
+                    of.append(np.full(len(buckets), i))
+                    more.append(seen - unseen)
+        order = np.argsort(np.concatenate(at), kind="stable")
+        self.of, self.more = np.concatenate(of)[order].astype(np.int32), np.concatenate(more)[order].astype(np.float32)
+        self.starts = np.searchsorted(np.concatenate(at)[order], np.arange((1 << BITS) + 1))
+
+    def sums(self, hashes: np.ndarray) -> np.ndarray:
+        """Log-likelihood of a text by language."""
+        out = np.zeros(len(self.langs))
+        for i in range(0, len(hashes), 65536):
+            out[self.dense] += self.table[hashes[i:i + 65536]].sum(axis=0, dtype=np.float64)
+        if len(self.sparse):
+            buckets, n = np.unique(hashes, return_counts=True)
+            held = self.starts[buckets + 1] - self.starts[buckets]
+            at = np.arange(held.sum()) + np.repeat(self.starts[buckets] - (np.cumsum(held) - held), held)
+            out[self.sparse] = len(hashes) * self.unseen + np.bincount(
+                self.of[at], self.more[at] * np.repeat(n, held), len(self.sparse))
+        return out
+
+
+def fit(rows: DataFrame, keys: Sequence[str]) -> Model:
+    """The model of all declared languages."""
     named = rows.where(F.col("declared").isNotNull() & (F.col("declared") != ""))
-    order = F.xxhash64(*keys)
-    picked = named.select(*keys, "declared").orderBy(order, *keys).limit(SAMPLE_ROWS)
-    shares = picked.groupBy("declared").agg(F.count("*").alias("n")).collect()
-    total = sum(r["n"] for r in shares)
-    langs = sorted(r["declared"] for r in shares if r["n"] >= LEAST_SHARE * total)
-    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in keys))
-    chosen = picked.where(F.col("declared").isin(langs)).select(*(F.col(k).alias(f"of_{k}") for k in keys)).distinct()
-    sample = named.where(F.col("declared").isin(langs)).join(F.broadcast(chosen), same, "left_semi").select("declared", "text")
-    table = np.full((1 << BITS, len(langs)), 0.5)
-    if langs:
-        counts = sample.mapInArrow(_counts, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-        for lang, part in counts.toPandas().groupby("lang"):
-            table[part.bucket.to_numpy(), langs.index(lang)] += part.n.to_numpy()
-    return langs, np.log(table / table.sum(axis=0)).astype(np.float32)
-
-
-def _scored(rows: DataFrame, keys: Sequence[str], langs: list[str], table: np.ndarray) -> DataFrame:
+    sizes = {r["declared"]: r["n"] for r in named.groupBy("declared").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
+        return Model([], {})
+    quota = max(LEAST_ROWS, SAMPLE_ROWS // len(sizes))
+    rates = rows.sparkSession.createDataFrame([(lang, quota / n) for lang, n in sizes.items()], "of string, rate double")
+    chance = F.shiftrightunsigned(F.xxhash64(*keys, "text"), 11) / float(1 << 53)
+    sample = named.join(F.broadcast(rates), F.col("declared") == F.col("of")).where(chance < F.col("rate")).select("declared", "text")
+    counts = sample.mapInArrow(_counts, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    return Model(sorted(sizes), {
+        lang: (part.bucket.to_numpy(), part.n.to_numpy()) for lang, part in counts.toPandas().groupby("lang")})
+
+
+def _scored(rows: DataFrame, keys: Sequence[str], model: Model) -> DataFrame:
     kept = [*keys, "declared", "suffix", "host"]
     types = dict(rows.dtypes)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores, letters, best = [], [], []
+            scores, letters, best, none = [], [], [], []
             for text in batch.column("text").to_pylist():
                 hashes, n = trigrams(text)
-                sums = sum((table[hashes[i:i + 65536]].sum(axis=0, dtype=np.float64) for i in range(0, len(hashes), 65536)), np.zeros(len(langs)))
-                scores.append((sums - sums.max()).tolist())
+                sums = model.sums(hashes)
+                top, noise = sums.max(), len(hashes) * UNIFORM
+                scores.append(np.maximum(sums - top, -FURTHEST).tolist())
                 letters.append(n)
-                best.append(int(sums.argmax()) if n else None)
+                none.append(min(noise - top, FURTHEST))
+                best.append(int(sums.argmax()) if n and noise <= top else None)
             yield pa.RecordBatch.from_arrays([
                 *(batch.column(k) for k in kept), pa.array(letters, pa.int64()),
-                pa.array(scores, pa.list_(pa.float64())), pa.array(best, pa.int32()),
-            ], names=[*kept, "letters", "scores", "guess"])
+                pa.array(scores, pa.list_(pa.float64())), pa.array(best, pa.int32()), pa.array(none, pa.float64()),
+            ], names=[*kept, "letters", "scores", "guess", "noise"])
 
-    schema = ", ".join(f"`{k}` {types[k]}" for k in kept) + ", letters long, scores array<double>, guess int"
+    schema = ", ".join(f"`{k}` {types[k]}" for k in kept) + ", letters long, scores array<double>, guess int, noise double"
     return rows.select(*kept, "text").mapInArrow(score, schema)
 
 
 def _by_language(frame: DataFrame, key: str, n_langs: int, name: str) -> DataFrame:
     """Rows per language, by text, of each value of a column."""
-    return frame.where(F.col(key).isNotNull() & F.col("guess").isNotNull()).groupBy(F.col(key).alias(f"{name}_key")).agg(
-        F.array(*(F.count_if(F.col("guess") == i).cast("double") for i in range(n_langs))).alias(name),
-        F.min("suffix").alias(f"{name}_suffix"))
+    counts = frame.where(F.col(key).isNotNull() & F.col("guess").isNotNull()).groupBy(F.col(key).alias(f"{name}_key"), "guess").agg(
+        F.count("*").cast("double").alias("n"), F.min("suffix").alias("suffix"))
+    held = counts.groupBy(f"{name}_key").agg(
+        F.map_from_entries(F.collect_list(F.struct("guess", "n"))).alias("held"), F.min("suffix").alias(f"{name}_suffix"))
+    each = F.sequence(F.lit(0), F.lit(n_langs - 1))
+    return held.select(f"{name}_key", F.transform(each, lambda i: F.coalesce(
+        F.try_element_at("held", i), F.lit(0.0))).alias(name), f"{name}_suffix")
 
 
 def _smoothed(counts: Column, prior: Column) -> Column:
@@ -143,21 +199,22 @@ def identify(rows: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
 
     ``rows`` has the keys and text, declared, suffix, host, each of which may be null (missing evidence
     is left out). Rejected (``kept`` false): fewer than ``LEAST_LETTERS`` letters, or no language with a posterior of
-    ``LEAST_POSTERIOR``. Ties go to the language first in the alphabet. If no row declares a language there is no
+    ``LEAST_POSTERIOR``, be it that others or the background come close. Ties go to the language first in the alphabet. If no row declares a language there is no
     model: lang and posterior are null and only rows without letters are rejected. Repeated rows each
     get a result; an empty table gives no rows. Other columns are ignored.
     """
     small_batches(rows.sparkSession)
     rows = rows.select(*keys, whole("text").alias("text"), "declared", "suffix", "host")
-    langs, table = fit(rows, keys)
-    n = len(langs)
+    model = fit(rows, keys)
+    langs, n = model.langs, len(model.langs)
     if not n:
         count = F.length(F.regexp_replace("text", r"[^\p{L}]", ""))
         return rows.select(*keys, "declared", "host", F.lit(None).cast("string").alias("lang"),
                            F.lit(None).cast("double").alias("posterior"), (count >= LEAST_LETTERS).alias("kept"))
-    scored = written(_scored(rows, keys, langs, table), "language-scores").withColumn(
+    scored = written(_scored(rows, keys, model), "language-scores").withColumn(
         "salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int"))
-    seen = scored.groupBy().agg(*(F.count_if(F.col("guess") == i).alias(str(i)) for i in range(n))).first()
+    counts = {r["guess"]: r["n"] for r in scored.groupBy("guess").agg(F.count("*").alias("n")).collect()}
+    seen = [counts.get(i, 0) for i in range(n)]
     total = sum(seen)
     overall = F.array(*(F.lit((seen[i] + 1) / (total + n)) for i in range(n)))
     suffixes = _by_language(scored, "suffix", n, "s").select("s_key", _smoothed(F.col("s"), overall).alias("s"))
@@ -168,7 +225,8 @@ def identify(rows: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
     declared = _by_language(scored, "declared", n, "d")
     kinds = declared.count()
     spoken = declared.select("d_key", F.transform("d", lambda c, i: F.log(
-        (c + 1) / (F.get(F.array(*(F.lit(float(seen[j])) for j in range(n))), i) + kinds))).alias("d"), salts.alias("d_salt"))
+        (c + 1) / (F.get(F.array(*(F.lit(float(seen[j])) for j in range(n))), i) + kinds))).alias("d"),
+        F.log((F.aggregate("d", F.lit(0.0), lambda a, c: a + c) + 1) / (total + kinds)).alias("d_noise"), salts.alias("d_salt"))
     fused = scored.join(hosts, F.col("host") == F.col("h_key"), "left").join(
         spoken, (F.col("declared") == F.col("d_key")) & (F.col("salt") == F.col("d_salt")), "left",
     )
@@ -178,7 +236,9 @@ def identify(rows: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
         F.coalesce("h", overall), lambda a, p: a + F.log(p))
     fused = fused.withColumn("logs", logs).withColumn("top", F.array_max("logs"))
     norm = F.aggregate("logs", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
-    return fused.withColumn("posterior", 1 / norm).select(
+    # The background meets declarations as all rows do, and no host more than another.
+    noise = F.exp(TEMPER * F.col("noise") + F.coalesce("d_noise", F.lit(0.0)) + float(np.log(BACKGROUND)) - F.col("top"))
+    return fused.withColumn("posterior", 1 / (norm + noise)).select(
         *keys, "declared", "host",
         F.get(F.array(*map(F.lit, langs)), (F.array_position("logs", F.col("top")) - 1).cast("int")).alias("lang"), "posterior",
         ((F.col("letters") >= LEAST_LETTERS) & (F.col("posterior") >= LEAST_POSTERIOR)).alias("kept"),

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from apidrift.llm import license_scan
+from apidrift.llm import language_id, license_scan
 
 OWN = {"clean": "river stone lamp", "junk": "zzz xxx buy", "toxic": "awful nasty vile"}
 
@@ -34,3 +34,41 @@ def test_all_licences_of_a_file_are_labelled(spark):
     assert got[0].labels == ",".join(sorted(texts)) and got[0].score == 1
     assert [got[1 + i].labels for i in range(2 * len(texts))] == [*texts, *phrases]
     assert all(got[1 + i].score > 0.99 for i in range(len(texts)))
+
+
+SYLLABLES = {
+    "en": ["the", "ing", "tion", "and", "wh"], "fr": ["eau", "oi", "que", "é", "ment"], "fi": ["kää", "yö", "uu", "lla", "ssä"],
+    "el": ["και", "το", "μου", "ση", "ρα"]}
+
+
+def speech(lang, rnd, n=40):
+    return " ".join("".join(rnd.choice(SYLLABLES[lang]) for _ in range(rnd.randrange(1, 4))) for _ in range(n))
+
+
+def test_rare_languages_are_named_and_unknown_ones_rejected(spark):
+    rnd = random.Random(7)
+    kinds = ["en"] * 900 + ["fr"] * 300 + ["fi"] * 6
+    rows = [(i, speech(k, rnd), k, None, None) for i, k in enumerate(kinds)]
+    rows += [(2000 + i, speech("fi", rnd), None, None, None) for i in range(4)]
+    rows += [(3000 + i, speech("el", rnd), None, None, None) for i in range(6)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, declared string, suffix string, host string")
+    out = {r.doc_id: r for r in language_id.identify(frame).collect()}
+    assert [out[i].lang for i in range(len(kinds))] == kinds and all(out[i].kept for i in range(len(kinds)))
+    assert {(out[2000 + i].lang, out[2000 + i].kept) for i in range(4)} == {("fi", True)}
+    assert not any(out[3000 + i].kept for i in range(6))
+
+
+def test_sparse_columns_score_like_full_ones(monkeypatch):
+    rnd = random.Random(8)
+    found = {}
+    for k in SYLLABLES:
+        hashes = language_id.trigrams(" ".join(speech(k, rnd) for _ in range(5)))[0]
+        buckets = sorted(set(hashes.tolist()))
+        found[k] = (language_id.np.array(buckets), language_id.np.bincount(hashes)[buckets])
+    full = language_id.Model(sorted([*found, "xx"]), found)
+    monkeypatch.setattr(language_id, "DENSE_MOST", 2)
+    part = language_id.Model(sorted([*found, "xx"]), found)
+    assert len(part.sparse) == 3
+    for k in SYLLABLES:
+        at = language_id.trigrams(speech(k, rnd))[0]
+        assert abs(full.sums(at) - part.sums(at)).max() < 1e-2
