@@ -113,12 +113,12 @@ class CuckooFilter:
         return True
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, chars, sha): code points of the original text, digest of the text without blanks."""
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """(id, chars, sha): code points of the original text, digest of the text without blanks; and row, if there is a key."""
     text = whole(text_col)
     return docs.select(
         F.col(id_col).alias("id"), F.length(text).cast("long").alias("chars"),
-        F.sha2(F.translate(text, BLANKS, ""), 256).alias("sha"),
+        F.sha2(F.translate(text, BLANKS, ""), 256).alias("sha"), *([F.col(row_col).alias("row")] if row_col else []),
     )
 
 
@@ -168,9 +168,9 @@ def _settle(part: pa.Table) -> pa.Table:
     """Partial groups of one bucket through its filter: a miss opens a group, a verified hit joins one."""
     groups: dict[bytes, list] = {}
     live = CuckooFilter()
-    columns = (part.column(name).to_pylist() for name in ("sha", "chars", "keep", "n"))
-    for sha, chars, row, n in zip(*columns, strict=True):
-        key, rank = bytes.fromhex(sha), (-chars, row is None, row)
+    columns = (part.column(name).to_pylist() for name in ("sha", "chars", "keep", "keep_row", "n"))
+    for sha, chars, keep, row, n in zip(*columns, strict=True):
+        key, rank = bytes.fromhex(sha), (-chars, keep is None, keep, row)
         if live.insert(key):
             groups[key] = [rank, n]
         else:
@@ -179,28 +179,32 @@ def _settle(part: pa.Table) -> pa.Table:
     return pa.table({
         "of": pa.array([key.hex() for key in groups], pa.string()),
         "keep_id": pa.array([rank[2] for rank, _ in groups.values()], part.schema.field("keep").type),
+        "keep_row": pa.array([rank[3] for rank, _ in groups.values()], pa.int64()),
         "group_size": pa.array([n for _, n in groups.values()], pa.int64()),
     })
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256.
 
     A null text counts as empty, and all empty or blank texts are equal. Of equal texts the row with the most code
     points, then the smallest id stays. Rows that repeat an id share its verdict and count one by one in
-    ``group_size``; a null id comes after all others. An empty table gives no rows. Other
+    ``group_size``; a null id comes after all others. With ``row_col``, a key (long) of each row, the smallest key decides
+    among rows that repeat the id, exactly one row of equal texts is kept, and the key is a last column. An empty table gives no rows. Other
     columns are ignored.
     """
-    rows = written(digests(docs, id_col, text_col), "digests")
+    rows = written(digests(docs, id_col, text_col, row_col), "digests")
+    row = F.col("row") if row_col else F.lit(None).cast("long")
     kind = dict(rows.dtypes)["id"]
     buckets = bucket_count(rows.count())
-    best = F.min(F.struct((-F.col("chars")).alias("less"), F.col("id").isNull().alias("none"), F.col("id")))
+    best = F.min(F.struct((-F.col("chars")).alias("less"), F.col("id").isNull().alias("none"), F.col("id"), row.alias("row")))
     # Copies merge in the map tasks; the salt keeps even their partial rows of one key apart.
     parts = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(16))).groupBy("sha", "salt").agg(
         best.alias("best"), F.count("*").alias("n"))
-    groups = _bucketed(parts.select("sha", (-F.col("best.less")).alias("chars"), F.col("best.id").alias("keep"), "n"), buckets)
-    settled = groups.groupBy("bucket").applyInArrow(_settle, f"of string, keep_id {kind}, group_size long")
+    groups = _bucketed(parts.select("sha", (-F.col("best.less")).alias("chars"), F.col("best.id").alias("keep"), F.col("best.row").alias("keep_row"), "n"), buckets)
+    settled = groups.groupBy("bucket").applyInArrow(_settle, f"of string, keep_id {kind}, keep_row long, group_size long")
+    kept = F.col("id").eqNullSafe(F.col("keep_id")) & row.eqNullSafe(F.col("keep_row"))
     return rows.join(settled, F.col("sha") == F.col("of")).select(
-        F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),
-        F.col("sha").alias("text_sha256"),
+        F.col("id").alias(id_col), "keep_id", "group_size", kept.alias("kept"),
+        F.col("sha").alias("text_sha256"), *([row.alias(row_col)] if row_col else []),
     )

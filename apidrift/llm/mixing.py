@@ -161,9 +161,9 @@ def _totals(scored: DataFrame, k: int, history: list[list[float]]) -> tuple[np.n
 
 def mix(
     docs: DataFrame, domains: DataFrame, targets: Mapping[str, float], headroom: float = 1.0, id_col: str = "doc_id", text_col: str = "text",
-    anchor: str | None = None,
+    anchor: str | None = None, row_col: str | None = None,
 ) -> DataFrame:
-    """One row per input row: id, n_tokens (words), posteriors (map by domain), rate, copies.
+    """One row per input row: id, n_tokens (words), posteriors (map by domain), rate, copies; and ``row_col``, if one is named.
 
     ``domains`` is the labelled table (id, domain); ``targets`` weighs its domains, the missing ones with 0. The wanted total
     is ``headroom`` times the largest that no domain has to be repeated for. With an ``anchor`` it is ``headroom`` times the total for
@@ -175,7 +175,10 @@ def mix(
     small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     names, model = fit(docs, domains, id_col, text_col)
-    texts = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
+    own = ["row"] if row_col else []
+    texts = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"), *(F.col(row_col).alias(name) for name in own))
+    own_type = "".join(f", row {dict(docs.dtypes)[row_col]}" for _ in own)
+    named = [F.col(name).alias(row_col) for name in own]
     k = len(names)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,25 +187,26 @@ def mix(
             found = [features(text, buckets) for text in batch.column("text").to_pylist()]
             p = [model.posteriors(at).tolist() if model else None for at, _ in found]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array([n for _, n in found], pa.int64()), pa.array(p, pa.list_(pa.float64()))], names=["id", "n", "p"])
+                [batch.column("id"), pa.array([n for _, n in found], pa.int64()), pa.array(p, pa.list_(pa.float64())),
+                 *map(batch.column, own)], names=["id", "n", "p", *own])
 
-    scored = texts.mapInArrow(score, f"id {kind}, n long, p array<double>")
+    scored = texts.mapInArrow(score, f"id {kind}, n long, p array<double>{own_type}")
     if not model:
         return scored.select(
             F.col("id").alias(id_col), F.col("n").alias("n_tokens"), F.lit(None).cast("map<string,double>").alias("posteriors"),
-            F.lit(1.0).alias("rate"), F.lit(1).alias("copies"))
+            F.lit(1.0).alias("rate"), F.lit(1).alias("copies"), *named)
     scored = written(scored, "posteriors")
     history = solve(scored, names, targets, headroom, anchor)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = batch.column("p").flatten().to_numpy().reshape(-1, k)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_replay(p, history)[0])], names=["id", "n", "p", "rate"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_replay(p, history)[0])], names=["id", "n", "p", *own, "rate"])
 
-    rated = scored.mapInArrow(rate, f"id {kind}, n long, p array<double>, rate double")
+    rated = scored.mapInArrow(rate, f"id {kind}, n long, p array<double>{own_type}, rate double")
     return rated.select(
         F.col("id").alias(id_col), F.col("n").alias("n_tokens"),
-        F.map_from_arrays(F.array(*map(F.lit, names)), "p").alias("posteriors"), "rate", _rounded(F.col("rate"), F.col("id")).alias("copies"))
+        F.map_from_arrays(F.array(*map(F.lit, names)), "p").alias("posteriors"), "rate", _rounded(F.col("rate"), F.col("id")).alias("copies"), *named)
 
 
 def solve(

@@ -1,7 +1,7 @@
 """Documents to tokens in five stages, each written as Parquet and read again by the next.
 
 A filtering stage works on all that its predecessor kept and returns the columns of documents. What leaves is usually
-the smaller part, so stages drop by an anti join with the written ids that go: Spark broadcasts those where their measured
+the smaller part, so stages drop by an anti join with the written keys of the rows that go (ids may be null or repeated): Spark broadcasts those where their measured
 size permits and shuffles both sides otherwise.
 """
 
@@ -28,31 +28,56 @@ NEAR_WIDTH, NEAR_PERCENT = 5, 80
 TARGETS, HEADROOM, ANCHOR = {"clean": 0.97, "junk": 0.02, "toxic": 0.01}, 1.25, "clean"
 
 
-def _without(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
-    """Documents whose id is not in ``gone``; a null id always stays."""
-    out = written(gone.select(F.col("doc_id").alias("gone_id")).where("gone_id is not null"), name)
-    return docs.join(out, F.col("doc_id") == F.col("gone_id"), "left_anti")
+#: Name of the key that each row has within a stage.
+ROW = "stage_row"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The rows with a key of their own, whatever their ids: place in the Parquet files just read, else written with the rows."""
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        return written(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
+    paths = sorted(r[0] for r in docs.select(F.col("_metadata.file_path")).distinct().collect())
+    order = docs.sparkSession.createDataFrame(list(enumerate(paths)), "stage_file long, stage_path string")
+    placed = docs.select("*", F.col("_metadata.file_path").alias("stage_read"), F.col("_metadata.row_index").alias("stage_index"))
+    return placed.join(F.broadcast(order), F.col("stage_read") == F.col("stage_path")).select(
+        *(F.col(f"`{c}`") for c in docs.columns), (F.shiftleft("stage_file", 40) + F.col("stage_index")).alias(ROW))
+
+
+def _without(keyed: DataFrame, gone: DataFrame, name: str) -> DataFrame:
+    """Rows whose key is not in ``gone``, without the key."""
+    out = written(gone.select(F.col(ROW).alias("gone_row")), name)
+    return keyed.join(out, F.col(ROW) == F.col("gone_row"), "left_anti").drop(ROW)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in an identified language."""
-    return _without(docs, identify(document_rows(docs)).where("not kept"), "no-language")
+    keyed = _keyed(docs)
+    found = identify(document_rows(keyed.withColumn("doc_id", F.col(ROW)))).withColumnRenamed("doc_id", ROW)
+    return _without(keyed, found.where("not kept"), "no-language")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    return _without(docs, dedup(docs).where("not kept"), "exact-copies")
+    keyed = _keyed(docs)
+    return _without(keyed, dedup(keyed, row_col=ROW).where("not kept"), "exact-copies")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar texts: that with the smallest id."""
-    return _without(docs, link_groups(docs, NEAR_WIDTH, NEAR_PERCENT).where("doc_id <> component_id"), "near-copies")
+    """One document of each group of similar texts: that with the smallest id, a null id last."""
+    keyed = _keyed(docs)
+    groups = link_groups(keyed, NEAR_WIDTH, NEAR_PERCENT, ROW).where("n_shingles > 0").select(ROW, "component_id")
+    members = written(groups.join(keyed.select(F.col(ROW).alias("of"), "doc_id"), F.col(ROW) == F.col("of")).drop("of"), "near-groups")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col(ROW).alias("row")))
+    best = written(members.groupBy(F.col("component_id").alias("group")).agg(
+        first.alias("first"), F.count("*").alias("n")).where("n > 1").select("group", F.col("first.row").alias("keep")), "near-kept")
+    return _without(keyed, members.join(best, F.col("component_id") == F.col("group")).where(F.col(ROW) != F.col("keep")), "near-copies")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix uses at least once; none is repeated."""
-    rates = mix(docs, label_domains(table(spark, sf_dir, "labels")), TARGETS, HEADROOM, anchor=ANCHOR)
-    return _without(docs, rates.where("copies = 0"), "mixed-out")
+    keyed = _keyed(docs)
+    rates = mix(keyed, label_domains(table(spark, sf_dir, "labels")), TARGETS, HEADROOM, anchor=ANCHOR, row_col=ROW)
+    return _without(keyed, rates.where("copies = 0"), "mixed-out")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -72,3 +72,23 @@ def test_sparse_columns_score_like_full_ones(monkeypatch):
     for k in SYLLABLES:
         at = language_id.trigrams(speech(k, rnd))[0]
         assert abs(full.sums(at) - part.sums(at)).max() < 1e-2
+
+
+def test_stages_decide_by_row_where_ids_are_null_or_repeated(spark, tmp_path):
+    rnd = random.Random(9)
+    prose = lambda: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(60))
+    a, b, c, d = prose(), prose(), prose(), prose()
+    rows = [(1, a), (1, a), (None, a), (2, b), (2, c), (4, b), (None, d), (None, d), (None, f"{d} more"), (7, f"{d} more words"), (None, " 12 "), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    docs.limit(0).selectExpr("doc_id", "1 as quality", "0 as toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    for frame in (docs, docs.union(docs), spark.read.parquet(f"{tmp_path}/documents.parquet")):
+        left = lambda out: sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+        spoken = corpus_pipeline.language(spark, frame, str(tmp_path))
+        assert {t for _, t in left(spoken)} == {t for _, t in rows} - {" 12 ", ""}
+        once = corpus_pipeline.exact(spark, spoken, str(tmp_path))
+        assert left(once) == sorted([(1, a), (2, b), (2, c), (None, d), (None, f"{d} more"), (7, f"{d} more words")], key=str)
+        apart = corpus_pipeline.near(spark, once, str(tmp_path))
+        assert left(apart) == sorted([(1, a), (2, b), (2, c), (7, f"{d} more words")], key=str)
+        assert left(corpus_pipeline.mixed(spark, apart, str(tmp_path))) == left(apart)
+        assert left(corpus_pipeline.near(spark, spoken, str(tmp_path))) == left(apart)
