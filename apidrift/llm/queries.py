@@ -10,11 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from apidrift.llm.bpe import encode_digests
 from apidrift.llm.exact_dedup import dedup
+from apidrift.llm.hard_negatives import hard_negatives
 from apidrift.llm.jaccard_join import link_groups
 from apidrift.llm.language_id import document_rows, identify, page_rows
 from apidrift.llm.license_scan import scan as scan_licenses
 from apidrift.llm.mixing import label_domains, mix
 from apidrift.llm.pii import scan as scan_pii
+from apidrift.llm.prefix_trie import prefix_trie
 from apidrift.llm.quality_rules import apply_rules
 from apidrift.llm.secret_scan import scan as scan_secrets
 from apidrift.llm.sharding import shard
@@ -75,6 +77,14 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_language_id": op2_language_id,
@@ -86,6 +96,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_license_scan": op9_license_scan,
     "op10_sharding": op10_sharding,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLES: dict[str, str] = {
@@ -99,4 +111,52 @@ ORACLES: dict[str, str] = {
           FROM d GROUP BY text_sha256)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256
         FROM d JOIN g USING (text_sha256)""",
+    "op11_hard_negatives": """
+        WITH v AS (
+          SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                 [floor(256 * x::DOUBLE) FOR x IN embedding] AS q
+          FROM embeddings
+          WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+            AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+        s AS (
+          SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_inner_product(a.q, c.q)::BIGINT AS score
+          FROM v a JOIN v c ON a.vec_id % 100 = 0),
+        p AS (
+          SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s
+          WHERE same AND vec_id <> anchor_id
+          QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT p.anchor_id, positive_id,
+               (row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id))::INTEGER AS rank,
+               vec_id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same
+         AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+        QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) <= 10""",
+    "op13_prefix_trie": """
+        WITH t AS (
+          SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, role, text) AS turns
+          FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+        h AS (
+          SELECT conv_id, turns, conv_id - conv_id % 20 AS first, (xor(list_reduce(
+            list_prepend(4294967295, [ascii(ch)::BIGINT FOR ch IN string_split(conv_id::VARCHAR, '')]),
+            lambda crc, b: list_reduce(list_prepend(xor(crc, b), [1, 2, 3, 4, 5, 6, 7, 8]::BIGINT[]),
+              lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 4)::BIGINT AS h
+          FROM t),
+        b AS (
+          SELECT h.conv_id, list_concat(coalesce(f.turns[:h.h], []), h.turns[h.h + 1:]) AS path
+          FROM h LEFT JOIN t f ON f.conv_id = h.first),
+        m AS (
+          SELECT conv_id, path, d, path[:d] AS node FROM b, unnest(range(len(path) + 1)) AS r(d)),
+        n AS (
+          SELECT node, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+                 coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(path) = d), '') AS ends,
+                 CASE WHEN any_value(d) = 0 THEN 0 ELSE len(regexp_extract_all(any_value(node)[-1].text, '[^\\x20\\x09-\\x0D]+')) END AS words
+          FROM m GROUP BY node),
+        c AS (
+          SELECT n.*, (SELECT count(*) FROM n k WHERE k.depth = n.depth + 1 AND k.node[:n.depth] = n.node) AS n_children FROM n),
+        u AS (
+          SELECT c.node[:a.d] AS node, sum((n_children = 0)::BIGINT) AS n_leaves, sum((n_convs - 1) * words) AS saved_tokens
+          FROM c, unnest(range(c.depth + 1)) AS a(d) GROUP BY 1)
+        SELECT c.conv_id, c.depth, p.conv_id AS parent_conv_id, c.n_convs, c.n_children, u.n_leaves::BIGINT AS n_leaves,
+               u.saved_tokens::BIGINT AS saved_tokens, sha256(c.ends) AS ends_sha256
+        FROM c JOIN u ON u.node = c.node LEFT JOIN c p ON c.depth > 0 AND p.node = c.node[:c.depth - 1]""",
 }
