@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from apidrift.llm.bpe import encode_digests
+from apidrift.llm.chosen_path import near_duplicates
 from apidrift.llm.exact_dedup import dedup
 from apidrift.llm.hard_negatives import hard_negatives
 from apidrift.llm.jaccard_join import link_groups
@@ -81,6 +82,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(table(spark, sf_dir, "embeddings"))
 
 
+def op12_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(table(spark, sf_dir, "conversations"))
 
@@ -97,10 +102,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_scan": op9_license_scan,
     "op10_sharding": op10_sharding,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_minhash_near_dedup": op12_minhash_near_dedup,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
+#: Components of the documents whose shingle sets of four words link, by counting common shingles.
+_LINKS = """
+        WITH RECURSIVE d AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                            '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        s AS (
+          SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [hash(w)]
+            ELSE list_distinct([hash(w[i:i + 3]) FOR i IN range(1, len(w) - 2)]) END AS k FROM d),
+        c AS (SELECT k, min(doc_id) AS id, len(k) AS n FROM (SELECT doc_id, list_sort(k) AS k FROM s) GROUP BY k HAVING len(k) > 0),
+        e AS (SELECT id, n, unnest(k) AS h FROM c),
+        l AS (
+          SELECT a.id AS u, b.id AS v FROM e a JOIN e b ON a.h = b.h AND a.id <> b.id
+          GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
+        r AS (SELECT id AS u, id AS v FROM c UNION SELECT r.u, l.v FROM r JOIN l ON l.u = r.v),
+        g AS (SELECT u, min(v) AS component_id FROM r GROUP BY u),
+        m AS (
+          SELECT s.doc_id, len(s.k)::BIGINT AS n_shingles, coalesce(g.component_id, s.doc_id) AS component_id, coalesce(c.id, s.doc_id) AS class_id
+          FROM s LEFT JOIN c ON c.k = list_sort(s.k) LEFT JOIN g ON g.u = c.id)
+        SELECT {columns} FROM m"""
+
 ORACLES: dict[str, str] = {
+    "op7_jaccard_join": _LINKS.format(percent=85, columns="*"),
+    "op12_minhash_near_dedup": _LINKS.format(percent=80, columns="*, doc_id = component_id AS kept"),
     "op5_exact_dedup": """
         WITH d AS (
           SELECT doc_id, length(coalesce(text, '')) AS chars,
