@@ -51,6 +51,27 @@ def test_checksums_decide():
     assert secret_scan.find_secrets("eyJhbGciOiJIUzI1NiJ9.eyJhIjoxf.c2ln") == []
 
 
+def test_tokens_in_long_runs():
+    import time
+
+    good = "eyJhbGciOiJIUzI1NiJ9.eyJhIjoxfQ.c2ln"
+    began = time.time()
+    assert secret_scan.find_secrets("eyJ" * 200_000) == []
+    assert secret_scan.find_secrets("eyJ" * 200_000 + " " + good) == [(600_001, 600_037, "jwt")]
+    assert secret_scan.find_secrets(("eyJa." * 3 + "!") * 50_000) == []
+    assert time.time() - began < 10
+    # Every hit tried on its own, as the contract of a search reads.
+    pattern, rnd = secret_scan.RULES["jwt"][1], random.Random(4)
+    for _ in range(3000):
+        text = "".join(rnd.choice(["eyJ", "eyJhbGciOiJIUzI1NiJ9", ".", "eyJhIjoxfQ", "c2ln", "-", " ", "EYJ"]) for _ in range(rnd.randrange(12)))
+        want, behind = [], 0
+        for start in range(len(text)):
+            if start >= behind and (m := pattern.match(text, start)):
+                behind = m.end()
+                want += [(start, behind, "jwt")] * secret_scan._is_jwt(m)
+        assert [s for s in secret_scan.find_secrets(text) if s[2] == "jwt"] == want, text
+
+
 def test_secret_rows(spark, odd, none):
     docs = odd.select("doc_id", "text").union(spark.createDataFrame([(100, "é token=abcdef1")], "doc_id long, text string"))
     rows = {r.doc_id: r for r in secret_scan.scan(docs.union(docs)).collect()}
