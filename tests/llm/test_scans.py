@@ -105,15 +105,53 @@ def personal_texts(n, seed):
     return out
 
 
-def test_field_learns_tags_of_unseen_texts():
-    def rows(texts):
-        return [(run, pii.tags(run, pii.base_spans(t))) for t in texts for run in pii.runs(t)]
-
-    train, test = rows(personal_texts(400, 1)), rows(personal_texts(200, 2))
-    model = pii.ChainField.train([pii.features(run) for run, _ in train], [gold for _, gold in train])
-    found = model.decode([pii.features(run) for run, _ in test])
-    right = sum(a == b for (path, _), (_, gold) in zip(found, test) for a, b in zip(path, gold))
-    assert right / sum(len(gold) for _, gold in test) > 0.98
+def test_field_finds_values_of_unseen_texts():
+    """Held-out sentences of the labelled table's rule, by whole spans."""
+    held = pii.labelled_table(500, 99)
+    found = pii.field_spans([t for t, _ in held], pii.own_model())
+    right = sum(s in spans for i, (_, spans) in enumerate(held) for s in found.get(i, []))
+    assert right / sum(map(len, found.values())) > 0.93
+    assert right / sum(len(spans) for _, spans in held) > 0.88
+
+
+def test_field_adds_what_expressions_miss():
+    text = "ring (456) 555-2186 now, des +1 (826) 555-4081 190.137.223.20 du, nt 9807915762804491 raie, see bob [at] example [dot] org, in 1998, v 4.0."
+    base = pii.base_spans(text)
+    more = pii._apart(pii.field_spans([text], pii.own_model())[0], base)
+    assert {(text[a:b], kind) for a, b, kind in more} == {
+        ("(456) 555-2186", "phone"), ("+1 (826) 555-4081", "phone"), ("9807915762804491", "card"), ("bob [at] example [dot] org", "email")}
+    assert not pii.field_spans(["Licensed under CC BY-NC 4.0. In 1998, version 3.", "nothing here"], pii.own_model())
+
+
+def test_parts_of_many_zeros():
+    text = "1.2.3." + "0" * 5000 + "4 and 1.2.3." + "0" * 5000
+    assert [s[2] for s in pii.base_spans(text)] == ["ip", "ip"] and pii.base_spans("1.2.3." + "0" * 5000 + "256") == []
+
+
+def test_windows_cover_each_token_once():
+    rnd = random.Random(9)
+    for n in (3, 255, 256, 257, 700, 3000):
+        text = " ".join(rnd.choice(["12", "a.b", "x", "(7)", "word word word word word word word word word word word word"]) for _ in range(n))
+        seen, last = [], []
+        for run, first, to, goes_on in pii.windows(text):
+            assert len(run) <= pii.WINDOW + 2 * pii.REACH and (first > 0) == goes_on
+            seen += run[first:to]
+        assert seen == sorted(set(seen))
+        marked = {(m.start(), m.end(), m[0]) for m in pii._TOKEN.finditer(text) if pii._MARK.search(m[0])}
+        assert marked <= set(seen)
+
+
+def test_texts_of_numbers_take_bounded_memory():
+    import tracemalloc
+
+    rnd = random.Random(3)
+    texts = [" ".join(str(rnd.randrange(10**6)) for _ in range(8000)) for _ in range(12)]
+    model = pii.own_model()
+    tracemalloc.start()
+    pii.field_spans(texts, model)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120 << 20
 
 
 def test_viterbi_finds_the_best_path():
@@ -145,5 +183,10 @@ def test_personal_rows(spark, odd, none):
         assert r.base_sha256 == hashlib.sha256(pii.joined(base).encode()).hexdigest()
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[2] == kind for s in base) for kind in pii.BASE_KINDS]
         assert set(filter(None, pii.joined(base).split(","))) <= set(r.spans.split(","))
+    assert sum(r.n_model for r in rows) >= 2 and all(r.n_spans == len(list(filter(None, r.spans.split(",")))) for r in rows)
     assert pii.scan(none).count() == 0
     assert {r.spans for r in pii.scan(odd).collect()} == {""}
+    own = spark.createDataFrame([(t, [(a, b, k) for a, b, k in s]) for t, s in pii.labelled_table(60)],
+                                "text string, spans array<struct<start:int,stop:int,kind:string>>")
+    assert pii.scan(odd, labelled=own).count() == odd.count()
+    assert {r.n_model for r in pii.scan(docs, labelled=own.where("size(spans) = 0")).collect()} == {0}
