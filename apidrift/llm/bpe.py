@@ -22,6 +22,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
+from functools import cached_property, lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from apidrift.llm.tables import slices, small_batches, whole, written_by
+from apidrift.llm.tables import frugal, frugal_groups, slices, small_batches, whole, written_by
 
 #: Bytes of text for each bucket of words, and the least number of buckets.
 BUCKET_BYTES, LEAST_BUCKETS = 16 << 20, 64
@@ -73,7 +74,7 @@ class Vocabulary:
         self._pattern = regex.compile(PATTERN)
 
     def __reduce__(self) -> tuple:
-        return Vocabulary, (self.source,)
+        return _vocabulary, (self.source,)
 
     def words(self, text: str) -> list[str]:
         """The text in order, cut into added tokens and words."""
@@ -98,6 +99,7 @@ class Vocabulary:
             out += [e.ids for e in self.tokenizer.encode_batch(words[i:i + ENCODED_AT_ONCE], add_special_tokens=False)]
         return out
 
+    @cached_property
     def pieces(self) -> dict[int, bytes]:
         """Id to bytes. Byte-level vocabularies write the bytes without a printable character of their own as
         the characters from U+0100 on, in order."""
@@ -111,6 +113,12 @@ class Vocabulary:
         return out
 
 
+@lru_cache(1)
+def _vocabulary(source: str) -> Vocabulary:
+    """One vocabulary for all tasks of a worker."""
+    return Vocabulary(source)
+
+
 class _Codes(dict):
     """Numbers words in the order they come."""
 
@@ -194,9 +202,8 @@ def _encoder(vocabulary: Vocabulary) -> Callable[[pa.Table], pa.Table]:
 
 
 def _placer(vocabulary: Vocabulary, measure: Callable, names: list[str]) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
-    pieces = vocabulary.pieces()
-
     def place(_: tuple, docs: pa.Table, words: pa.Table) -> pa.Table:
+        pieces = vocabulary.pieces
         n = sum(map(len, parts := [_unpack(b) for b in words.column("codes").to_pylist()]))
         sizes, starts, flat, at = np.zeros(n, np.int64), np.zeros(n, np.int64), [], 0
         shown, decoded = [b""] * n, [b""] * n
@@ -255,12 +262,12 @@ def _run(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, measu
     rows = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, -(-size // BUCKET_BYTES))
-    blocks = written_by(rows.mapInArrow(_blocks(vocabulary, buckets, kind), BLOCK_SCHEMA.format(kind=kind)), "word-blocks", "block")
+    blocks = written_by(rows.mapInArrow(frugal(_blocks(vocabulary, buckets, kind)), BLOCK_SCHEMA.format(kind=kind)), "word-blocks", "block")
     encoded = blocks.where("kind = 1").select("block", "bucket", "codes", "words").groupBy("bucket").applyInArrow(
-        _encoder(vocabulary), "block string, codes binary, counts binary, flat binary")
+        frugal_groups(_encoder(vocabulary)), "block string, codes binary, counts binary, flat binary")
     held = blocks.where("kind = 0").select("block", "ids", "lengths", "codes")
     return held.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(
-        _placer(vocabulary, measure, names), f"id {kind}, {schema}").withColumnRenamed("id", id_col)
+        frugal_groups(_placer(vocabulary, measure, names)), f"id {kind}, {schema}").withColumnRenamed("id", id_col)
 
 
 def encode_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

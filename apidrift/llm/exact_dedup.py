@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from apidrift.llm.tables import BLANKS, whole, written
+from apidrift.llm.tables import BLANKS, frugal_groups, whole, written
 
 SLOTS = 4
 MAX_KICKS = 200
@@ -179,7 +179,7 @@ def _settle(part: pa.Table) -> pa.Table:
     return pa.table({
         "of": pa.array([key.hex() for key in groups], pa.string()),
         "keep_id": pa.array([rank[2] for rank, _ in groups.values()], part.schema.field("keep").type),
-        "keep_row": pa.array([rank[3] for rank, _ in groups.values()], pa.int64()),
+        "keep_row": pa.array([rank[3] for rank, _ in groups.values()], part.schema.field("keep_row").type),
         "group_size": pa.array([n for _, n in groups.values()], pa.int64()),
     })
 
@@ -189,20 +189,21 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_c
 
     A null text counts as empty, and all empty or blank texts are equal. Of equal texts the row with the most code
     points, then the smallest id stays. Rows that repeat an id share its verdict and count one by one in
-    ``group_size``; a null id comes after all others. With ``row_col``, a key (long) of each row, the smallest key decides
+    ``group_size``; a null id comes after all others. With ``row_col``, a key of each row, the smallest key decides
     among rows that repeat the id, exactly one row of equal texts is kept, and the key is a last column. An empty table gives no rows. Other
     columns are ignored.
     """
     rows = written(digests(docs, id_col, text_col, row_col), "digests")
     row = F.col("row") if row_col else F.lit(None).cast("long")
-    kind = dict(rows.dtypes)["id"]
+    kind, row_kind = dict(rows.dtypes)["id"], dict(rows.dtypes).get("row", "long")
     buckets = bucket_count(rows.count())
     best = F.min(F.struct((-F.col("chars")).alias("less"), F.col("id").isNull().alias("none"), F.col("id"), row.alias("row")))
     # Copies merge in the map tasks; the salt keeps even their partial rows of one key apart.
     parts = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(16))).groupBy("sha", "salt").agg(
         best.alias("best"), F.count("*").alias("n"))
     groups = _bucketed(parts.select("sha", (-F.col("best.less")).alias("chars"), F.col("best.id").alias("keep"), F.col("best.row").alias("keep_row"), "n"), buckets)
-    settled = groups.groupBy("bucket").applyInArrow(_settle, f"of string, keep_id {kind}, keep_row long, group_size long")
+    settled = groups.groupBy("bucket").applyInArrow(
+        frugal_groups(_settle), f"of string, keep_id {kind}, keep_row {row_kind}, group_size long")
     kept = F.col("id").eqNullSafe(F.col("keep_id")) & row.eqNullSafe(F.col("keep_row"))
     return rows.join(settled, F.col("sha") == F.col("of")).select(
         F.col("id").alias(id_col), "keep_id", "group_size", kept.alias("kept"),

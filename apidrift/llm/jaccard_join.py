@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from apidrift.llm.bpe import _pack, _unpack
 from apidrift.llm.components import components
-from apidrift.llm.tables import slices, small_batches, whole, written, written_by
+from apidrift.llm.tables import frugal, frugal_groups, slices, small_batches, whole, written, written_by
 
 #: Sets of up to this size carry their elements along and may be light.
 LIGHT_MOST = 24
@@ -185,7 +185,7 @@ def _count(part: pa.Table) -> pa.Table:
 def _counted(blocks: DataFrame, decide: Callable, schema: str) -> DataFrame:
     """Each set with the counts of its chosen elements, judged by ``decide`` within its block."""
     counts = blocks.where("kind = 1").select("block", "bucket", "codes", "elements").groupBy("bucket").applyInArrow(
-        _count, "block string, codes binary, counts binary")
+        frugal_groups(_count), "block string, codes binary, counts binary")
     held = blocks.where("kind = 0").select("block", "ids", "sizes", "chosen", "codes", "small")
 
     def place(_: tuple, sets: pa.Table, answers: pa.Table) -> pa.Table:
@@ -206,7 +206,7 @@ def _counted(blocks: DataFrame, decide: Callable, schema: str) -> DataFrame:
                 at += k
         return decide(found, sets.schema.field("ids").type.value_type)
 
-    return held.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(place, schema)
+    return held.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(frugal_groups(place), schema)
 
 
 def _light_links(sets: DataFrame, light: int, rule: Threshold) -> DataFrame:
@@ -226,7 +226,7 @@ def _light_links(sets: DataFrame, light: int, rule: Threshold) -> DataFrame:
 
     kind = dict(sets.dtypes)["id"]
     found = sets.where((F.col("n") > 0) & (F.col("n") <= light)).select("id", "small").mapInArrow(
-        keys, f"key binary, id {kind}, is_s boolean, is_t boolean")
+        frugal(keys), f"key binary, id {kind}, is_s boolean, is_t boolean")
     first = found.groupBy("key").agg(
         F.min(F.when(F.col("is_s"), F.col("id"))).alias("s"), F.min(F.when(F.col("is_t"), F.col("id"))).alias("t"),
         F.count("*").alias("held")).where("held > 1 and s is not null and t is not null").withColumnRenamed("key", "of")
@@ -311,7 +311,7 @@ def link_groups(
     def head(s: np.ndarray) -> np.ndarray:
         return s[:2 * rule.prefix(len(s)) - 1]
 
-    blocks = written_by(texts.mapInArrow(_blocks(width, head, buckets, SHORT_BITS, LIGHT_MOST), block_schema), "shingle-heads", "block")
+    blocks = written_by(texts.mapInArrow(frugal(_blocks(width, head, buckets, SHORT_BITS, LIGHT_MOST)), block_schema), "shingle-heads", "block")
     rows = blocks.where("kind = 0").select(F.explode(F.arrays_zip("ids", "sizes", "digests", "small")).alias("x")).select(
         F.col("x.ids").alias("id"), F.col("x.sizes").alias("n"), F.col("x.digests").alias("digest"), F.col("x.small").alias("small"))
     classes = written(rows.where("n > 0").groupBy("digest").agg(
@@ -330,7 +330,7 @@ def link_groups(
     heavy = written(classes.join(linkable, F.col("class_id") == F.col("linkable"), "left_semi").select(
         F.col("class_id").alias("heavy_id")), "heavy-sets")
     full = texts.join(heavy, F.col("id") == F.col("heavy_id"), "left_semi")
-    full_blocks = written_by(full.mapInArrow(_blocks(width, lambda s: s, buckets, 64, 2**31), block_schema), "shingle-sets", "block")
+    full_blocks = written_by(full.mapInArrow(frugal(_blocks(width, lambda s: s, buckets, 64, 2**31)), block_schema), "shingle-sets", "block")
 
     def ordered(found: list, id_type: pa.DataType) -> pa.Table:
         """Sets with enough shared elements, rarest element first."""

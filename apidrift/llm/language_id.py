@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from apidrift.llm.tables import small_batches, whole, written
+from apidrift.llm.tables import frugal, small_batches, whole, written
 
 BITS = 15
 SAMPLE_ROWS, LEAST_ROWS = 10_000, 500
@@ -149,7 +149,7 @@ def fit(rows: DataFrame, keys: Sequence[str]) -> Model:
     rates = rows.sparkSession.createDataFrame([(lang, quota / n) for lang, n in sizes.items()], "of string, rate double")
     chance = F.shiftrightunsigned(F.xxhash64(*keys, "text"), 11) / float(1 << 53)
     sample = named.join(F.broadcast(rates), F.col("declared") == F.col("of")).where(chance < F.col("rate")).select("declared", "text")
-    counts = sample.mapInArrow(_counts, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = sample.mapInArrow(frugal(_counts), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     return Model(sorted(sizes), {
         lang: (part.bucket.to_numpy(), part.n.to_numpy()) for lang, part in counts.toPandas().groupby("lang")})
 
@@ -175,7 +175,7 @@ def _scored(rows: DataFrame, keys: Sequence[str], model: Model) -> DataFrame:
             ], names=[*kept, "letters", "scores", "guess", "noise"])
 
     schema = ", ".join(f"`{k}` {types[k]}" for k in kept) + ", letters long, scores array<double>, guess int, noise double"
-    return rows.select(*kept, "text").mapInArrow(score, schema)
+    return rows.select(*kept, "text").mapInArrow(frugal(score), schema)
 
 
 def _by_language(frame: DataFrame, key: str, n_langs: int, name: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from apidrift.llm.tables import small_batches, whole, written
+from apidrift.llm.tables import frugal, small_batches, whole, written
 
 TRAIN_ROWS = 8_000
 BITS = 16
@@ -124,7 +124,7 @@ def fit(docs: DataFrame, domains: DataFrame, id_col: str, text_col: str) -> tupl
     kind = dict(docs.dtypes)[id_col]
     texts = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
     sample = texts.join(F.broadcast(chosen), F.col("id") == F.col("label_id")).select("id", "text", "domain").mapInArrow(
-        extract, f"id {kind}, at array<int>, domain string")
+        frugal(extract), f"id {kind}, at array<int>, domain string")
     held = sorted(sample.toArrow().to_pylist(), key=lambda r: (str(r["id"]), r["domain"], r["at"]))
     names = sorted({r["domain"] for r in held})
     if not held:
@@ -154,7 +154,7 @@ def _totals(scored: DataFrame, k: int, history: list[list[float]]) -> tuple[np.n
                     [pa.array([kind] * k, pa.int32()), pa.array(range(k), pa.int32()), pa.array(rate @ weighted, pa.float64())], names=["kind", "k", "x"])
 
     out = np.zeros((2, k))
-    for r in scored.select("n", "p").mapInArrow(sums, "kind int, k int, x double").groupBy("kind", "k").agg(F.sum("x").alias("x")).collect():
+    for r in scored.select("n", "p").mapInArrow(frugal(sums), "kind int, k int, x double").groupBy("kind", "k").agg(F.sum("x").alias("x")).collect():
         out[r["kind"], r["k"]] = r["x"]
     return out[0], out[1]
 
@@ -190,7 +190,7 @@ def mix(
                 [batch.column("id"), pa.array([n for _, n in found], pa.int64()), pa.array(p, pa.list_(pa.float64())),
                  *map(batch.column, own)], names=["id", "n", "p", *own])
 
-    scored = texts.mapInArrow(score, f"id {kind}, n long, p array<double>{own_type}")
+    scored = texts.mapInArrow(frugal(score), f"id {kind}, n long, p array<double>{own_type}")
     if not model:
         return scored.select(
             F.col("id").alias(id_col), F.col("n").alias("n_tokens"), F.lit(None).cast("map<string,double>").alias("posteriors"),
@@ -203,7 +203,7 @@ def mix(
             p = batch.column("p").flatten().to_numpy().reshape(-1, k)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_replay(p, history)[0])], names=["id", "n", "p", *own, "rate"])
 
-    rated = scored.mapInArrow(rate, f"id {kind}, n long, p array<double>{own_type}, rate double")
+    rated = scored.mapInArrow(frugal(rate), f"id {kind}, n long, p array<double>{own_type}, rate double")
     return rated.select(
         F.col("id").alias(id_col), F.col("n").alias("n_tokens"),
         F.map_from_arrays(F.array(*map(F.lit, names)), "p").alias("posteriors"), "rate", _rounded(F.col("rate"), F.col("id")).alias("copies"), *named)
