@@ -10,6 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,14 +34,12 @@ ROW = "stage_row"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """The rows with a key of their own, whatever their ids: place in the Parquet files just read, else written with the rows."""
-    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
-        return written(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
-    paths = sorted(r[0] for r in docs.select(F.col("_metadata.file_path")).distinct().collect())
-    order = docs.sparkSession.createDataFrame(list(enumerate(paths)), "stage_file long, stage_path string")
-    placed = docs.select("*", F.col("_metadata.file_path").alias("stage_read"), F.col("_metadata.row_index").alias("stage_index"))
-    return placed.join(F.broadcast(order), F.col("stage_read") == F.col("stage_path")).select(
-        *(F.col(f"`{c}`") for c in docs.columns), (F.shiftleft("stage_file", 40) + F.col("stage_index")).alias(ROW))
+    """The rows with a key of their own, whatever their ids: file and place of the Parquet files just read, else written with the rows."""
+    place = F.concat(F.hex(F.xxhash64("_metadata.file_path")), F.lit(":"), F.col("_metadata.row_index"))
+    try:
+        return docs.select("*", place.alias(ROW))
+    except AnalysisException:  # not read from files
+        return written(docs.withColumn(ROW, F.monotonically_increasing_id().cast("string")), "keyed")
 
 
 def _without(keyed: DataFrame, gone: DataFrame, name: str) -> DataFrame:
