@@ -88,8 +88,8 @@ def occurrences(files: DataFrame, book: Rulebook, round_: int = 0) -> DataFrame:
         has_default = _bit("bits", _DEFAULT) if "default" in kinds else F.lit(False)
         marks = ["(", "[", "{", ")", "]", "}", ",", "lambda", ":"]
         on_level = F.when(
-            has_default & c("tok").isin(*marks, "=")
-            | _bit("bits", _CALL + _DEF) & c("tok").isin(*marks) & (c("lvl") > 0),
+            has_default & (c("tok").isin(*marks, "=") | c("opens"))
+            | _bit("bits", _CALL + _DEF) & (c("tok").isin(*marks) | c("opens")) & (c("lvl") > 0),
             c("lvl"),
         )
         is_call = (
@@ -106,7 +106,7 @@ def occurrences(files: DataFrame, book: Rulebook, round_: int = 0) -> DataFrame:
                 head + F.coalesce(def_paren, F.lit(False)).cast("long") * HEAD_PARAMS
                 + F.coalesce(def_paren & _bit("dn", DEF), F.lit(False)).cast("long") * HEAD_DEF
             )
-        rows = rows.withColumn("head", F.when(c("tok").isin("(", "[", "{"), head))
+        rows = rows.withColumn("head", F.when(c("opens"), head))
         keep = keep | on_level.isNotNull()
         rows = rows.withColumn("lvl", on_level)
 

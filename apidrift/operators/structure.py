@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from apidrift.functions.lexing import (
-    COMPOUND_HEADS, KEYWORDS, is_name, starts_line, token_texts, token_trivia,
+    COMPOUND_HEADS, KEYWORDS, closes, is_name, opens, starts_line, token_structs,
 )
 
 KEY = ("path_id", "file_id")
@@ -23,9 +23,7 @@ def tokens(files: DataFrame, content: Column, *carry: str) -> DataFrame:
     """One row per significant token: keys, ``pos``, ``pre`` (trivia), ``tok``."""
     return files.select(
         *carry,
-        F.posexplode(
-            F.arrays_zip(token_trivia(content).alias("pre"), token_texts(content).alias("tok"))
-        ).alias("pos", "t"),
+        F.posexplode(token_structs(content)).alias("pos", "t"),
     ).select(*carry, "pos", F.col("t.pre").alias("pre"), F.col("t.tok").alias("tok"))
 
 
@@ -54,10 +52,10 @@ def structure(toks: DataFrame, key=KEY, need: frozenset = ALL) -> DataFrame:
     c = F.col
     order = Window.partitionBy(*key).orderBy("pos")
     run = _running(key)
-    opener, closer = c("tok").isin("(", "[", "{"), c("tok").isin(")", "]", "}")
+    opener, closer = opens(c("tok")), closes(c("tok"))
     deep = bool(need - {"names"})
     out = toks if not deep else toks.select(
-        "*", F.when(opener, 1).when(closer, -1).otherwise(0).alias("delta"), starts_line(c("pre")).alias("nl"),
+        "*", (opener.cast("int") - closer.cast("int")).alias("delta"), opener.alias("opens"), starts_line(c("pre")).alias("nl"),
     )
     out = out.select(
         "*",
@@ -85,13 +83,13 @@ def structure(toks: DataFrame, key=KEY, need: frozenset = ALL) -> DataFrame:
     out = out.select(
         "*",
         # level: depth of the inside for brackets, depth for everything else
-        F.when(closer, c("depth_after") + 1).otherwise(c("depth_after")).alias("lvl"),
+        F.when(c("delta") < 0, c("depth_after") + 1).otherwise(c("depth_after")).alias("lvl"),
         F.least(c("depth_after"), depth_before).alias("outer"),
         ls.alias("ls"), (ls | ((c("prev1") == ";") & (depth_before == 0))).alias("ss"),
     )
     # tokens that keep a statement from being one call expression
     spoils = (c("outer") == 0) & F.when(c("word"), c("tok").isin(*KEYWORDS)).otherwise(
-        ~c("tok").rlike("[\"']$") & ~c("tok").isin(".", "(", ")", "[", "]", "{", "}", "")
+        ~c("tok").rlike("[\"']") & ~(c("opens") & (F.length("tok") > 1)) & ~c("tok").isin(".", "(", ")", "[", "]", "{", "}", "")
     )
     compound = c("tok").isin(*COMPOUND_HEADS) & ~(
         c("tok").isin("match", "case") & c("next1").isin("(", ".", "[", "=", ",", ":")
@@ -144,7 +142,7 @@ def enclosing(rows: DataFrame, key=KEY) -> DataFrame:
     rows = rows.select(
         "*",
         F.sum(step).over(run).alias("walk"),
-        F.max(F.when(c("tok").isin("(", "[", "{"), c("pos").cast("long") * 8 + c("head"))).over(run).alias("open"),
+        F.max(F.when(c("opens"), c("pos").cast("long") * 8 + c("head"))).over(run).alias("open"),
     ).select("*", F.min("walk").over(run).alias("floor"))
     rows = rows.select("*", (c("walk") - F.least(c("floor"), F.lit(0))).cast("int").alias("lam_after"))
     return rows.select(

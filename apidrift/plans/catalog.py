@@ -658,7 +658,7 @@ def e2_two(spark, sf_dir):
     pin = lambda library, most: users.where(F.col("u") < most).select(
         "repo", F.lit(library).alias("library"), F.lit("1.0.0").alias("from_version"), F.lit("latest").alias("to_version"))
     placed, rules = paths.plan_migrations(
-        EXAMPLE.files(spark, sf_dir).drop("path_id"), pin("mylib", 10).union(pin("otherlib", 15)), changelogs.versions(docs),
+        EXAMPLE.files(spark, sf_dir).drop("path_id"), pin("seedbank", 10).union(pin("otherlib", 15)), changelogs.versions(docs),
         changelogs.read_changelogs(docs))
     return migrate(placed, rules).select("repo", "path", "transformed_code", F.size("changes").alias("n_changes"))
 
@@ -742,17 +742,18 @@ def e7_errors(spark, sf_dir):
 
 # per file: how often each rule of the example acts, as (ordinal, change type, message, count)
 _COUNTS = """
-    (2, 'rename_function', 'Renamed function: connect -> create_connection', click),
-    (1, 'deprecate_function', 'Marked fetch_data() as deprecated', error),
-    (3, 'rename_class', 'Renamed class: Client -> APIClient', 2),
-    (5, 'add_argument', 'Added argument ''timeout=30'' to create_connection()', click),
-    (6, 'rename_attribute', 'Renamed attribute: .url -> .base_url', purchase),
-    (7, 'remove_argument', 'Removed argument ''verbose'' from send_request()', view),
-    (8, 'move_to_module', 'Moved import: Formatter from mylib.helpers to mylib.utils', 1),
-    (9, 'replace_with_property', 'Replaced get_name() with property name', signup),
-    (10, 'rename_function', 'Renamed function: send_request -> request', view),
-    (11, 'add_decorator', 'Added @handler to on_response()', 1),
-    (12, 'change_argument_default', 'Changed default for ''timeout'' to 60', 1)"""
+    (1, 'rename_class', 'Renamed class: Packet -> SeedPacket', 2),
+    (2, 'rename_import', 'Renamed import: from seedbank.stock import Shelf -> from seedbank.storage import Rack', 1),
+    (3, 'rename_function', 'Renamed function: germinate -> sprout', error),
+    (4, 'remove_argument', 'Removed argument ''quiet'' from sprout()', error),
+    (5, 'add_argument', 'Added argument ''depth=2.5'' to sow()', click),
+    (6, 'rename_attribute', 'Renamed attribute: .moisture -> .humidity', 2 * view),
+    (7, 'replace_with_property', 'Replaced get_label() with property label', signup),
+    (8, 'deprecate_function', 'Marked prune() as deprecated', purchase),
+    (9, 'change_argument_default', 'Changed default for ''spacing'' to 15', 1),
+    (10, 'add_decorator', 'Added @logged to harvest()', 1),
+    (11, 'move_to_module', 'Moved import: Almanac from seedbank.misc to seedbank.calendar', 1),
+    (12, 'rename_function', 'Renamed function: sow -> plant', click)"""
 _PER_FILE = f"""
     SELECT f.repo, f.path, c.o, c.change_type, c.message, c.n FROM (
       SELECT 'u' || (user_id % 20) AS repo, 'pkg/f' || user_id || '_' || bucket || '.py' AS path,
@@ -780,11 +781,11 @@ def a6(spark, sf_dir):
     UNION ALL
     SELECT repo, 0, '', c.seq, c.line FROM (
       SELECT repo, count(DISTINCT path) AS files, CAST(sum(n) AS BIGINT) AS changes FROM ({_PER_FILE}) p GROUP BY repo) r,
-      LATERAL (VALUES (0, 'Migration Report: v1.0.0 -> v3.0.0'), (1, repeat('=', 50)),
+      LATERAL (VALUES (0, 'Migration Report: v1.0.0 -> v2.5.1'), (1, repeat('=', 50)),
         (2, 'Files processed : ' || files), (3, 'Files modified  : ' || files), (4, 'Files failed    : 0'),
         (5, 'Total changes   : ' || changes), (6, '')) c(seq, line)""")
 def a4(spark, sf_dir):
-    return report.report_lines(_migrated(EXAMPLE, spark, sf_dir), "1.0.0", "3.0.0")
+    return report.report_lines(_migrated(EXAMPLE, spark, sf_dir), "1.0.0", "2.5.1")
 
 
 @query("e4_preview")

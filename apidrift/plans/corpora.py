@@ -199,38 +199,38 @@ def _rule(change_type: str, **fields):
     return {"change_type": change_type, **fields}
 
 
-# The worked example: twelve rules from 1.0.0 to 3.0.0 of a small client library.
+# The worked example: a seed catalogue's library whose rules touch every kind of syntax once.
 EXAMPLE = Corpus(
     [
-        _rule("deprecate_function", old_name="fetch_data", replacement="get_data"),
-        _rule("rename_function", old_name="connect", new_name="create_connection"),
-        _rule("rename_class", old_name="Client", new_name="APIClient"),
-        _rule("rename_import", old_module="mylib", old_name="Client", new_module="mylib.client", new_name="APIClient"),
-        _rule("add_argument", function_name="create_connection", argument_name="timeout", default_value="30"),
-        _rule("rename_attribute", old_name="url", new_name="base_url"),
-        _rule("remove_argument", function_name="send_request", argument_name="verbose"),
-        _rule("move_to_module", old_name="Formatter", source_module="mylib.helpers", target_module="mylib.utils"),
-        _rule("replace_with_property", old_name="get_name", new_name="name"),
-        _rule("rename_function", old_name="send_request", new_name="request"),
-        _rule("add_decorator", function_name="on_response", decorator_name="handler"),
-        _rule("change_argument_default", function_name="create_connection", argument_name="timeout", default_value="60"),
+        _rule("rename_class", old_name="Packet", new_name="SeedPacket"),
+        _rule("rename_import", old_module="seedbank.stock", old_name="Shelf", new_module="seedbank.storage", new_name="Rack"),
+        _rule("rename_function", old_name="germinate", new_name="sprout"),
+        _rule("remove_argument", function_name="sprout", argument_name="quiet"),
+        _rule("add_argument", function_name="sow", argument_name="depth", default_value="2.5"),
+        _rule("rename_attribute", old_name="moisture", new_name="humidity"),
+        _rule("replace_with_property", old_name="get_label", new_name="label"),
+        _rule("deprecate_function", old_name="prune", replacement="trim"),
+        _rule("change_argument_default", argument_name="spacing", default_value="15"),
+        _rule("add_decorator", function_name="harvest", decorator_name="logged"),
+        _rule("move_to_module", old_name="Almanac", source_module="seedbank.misc", target_module="seedbank.calendar"),
+        _rule("rename_function", old_name="sow", new_name="plant"),
     ],
     (
-        "from mylib import Client\nfrom mylib.helpers import Formatter\nclient = Client()\n"
-        "def on_response(data, timeout=30):\n    return data",
-        "from mylib import APIClient\nfrom mylib.utils import Formatter\nclient = APIClient()\n"
-        "@handler\ndef on_response(data, timeout=60):\n    return data",
-        5,
+        "from seedbank.stock import Shelf, Packet\nfrom seedbank.misc import Almanac\n@cached\n"
+        "def harvest(bed, spacing=10):\n    return Packet(bed)",
+        "from seedbank.storage import Rack, SeedPacket\nfrom seedbank.calendar import Almanac\n@cached\n@logged\n"
+        "def harvest(bed, spacing=15):\n    return SeedPacket(bed)",
+        6,
     ),
     {
-        "click": ("'conn = connect(host=\"h' || user_id || '\", port=' || (event_id % 9000) || ')'",
-                  "'conn = create_connection(host=\"h' || user_id || '\", port=' || (event_id % 9000) || ', timeout=30)'", 2),
-        "error": ("'fetch_data()  # connect ' || event_id",
-                  "'# DEPRECATED: fetch_data() is deprecated. Use get_data instead.' || chr(10) || 'fetch_data()  # connect ' || event_id", 1),
-        "view": ("'r = send_request(conn, \"/e/' || event_id || '\", verbose=True)'",
-                 "'r = request(conn, \"/e/' || event_id || '\")'", 2),
-        "purchase": ("'print(client.url, ' || event_id || ')'", "'print(client.base_url, ' || event_id || ')'", 1),
-        "signup": ("'name = client.get_name()'", "'name = client.name'", 1),
+        "click": ("'bed = sow(\"b' || user_id || '\", rows=' || (event_id % 90) || ')'",
+                  "'bed = plant(\"b' || user_id || '\", rows=' || (event_id % 90) || ', depth=2.5)'", 2),
+        "error": ("'germinate(' || event_id || ', quiet=True)'", "'sprout(' || event_id || ')'", 2),
+        "view": ("'print(bed.moisture, f\"{bed.moisture:.1f} {{moisture}} ' || event_id || '\")'",
+                 "'print(bed.humidity, f\"{bed.humidity:.1f} {{moisture}} ' || event_id || '\")'", 2),
+        "purchase": ("'prune(bed)  # sow ' || event_id",
+                     "'# DEPRECATED: prune() is deprecated. Use trim instead.' || chr(10) || 'prune(bed)  # sow ' || event_id", 1),
+        "signup": ("'tag = bed.get_label()'", "'tag = bed.label'", 1),
     },
 )
 
@@ -239,103 +239,113 @@ Q = Corpus.quote
 # One corpus per rewrite operation, with hits, near misses and layouts.
 OPERATIONS = {
     "r1_rename_name": Corpus(
-        [_rule("rename_function", old_name="old_func", new_name="new_func")],
-        ("import old_func.a as old_func\ndef old_func(old_func=1): return 'old_func'",
-         "import new_func.a as new_func\ndef new_func(new_func=1): return 'old_func'", 4),
+        [_rule("rename_function", old_name="gather", new_name="collect")],
+        ("import gather.a as gather\ndef gather(gather=1): return 'gather'",
+         "import collect.a as collect\ndef collect(collect=1): return 'gather'", 4),
         {
-            "click": ("'x = old_func(' || event_id || ', old_func=a.old_func)  # old_func'",
-                      "'x = new_func(' || event_id || ', new_func=a.new_func)  # old_func'", 3),
-            "view": ("'old_func2(\"old_func ' || event_id || '\")'", "'old_func2(\"old_func ' || event_id || '\")'", 0),
-            "error": (Q('"""old_func\n"old_func" """; old_func'), Q('"""old_func\n"old_func" """; new_func'), 1),
+            "click": ("'x = gather(' || event_id || ', gather=a.gather)  # gather'",
+                      "'x = collect(' || event_id || ', collect=a.collect)  # gather'", 3),
+            "view": ("'gather2(\"gather ' || event_id || '\")'", "'gather2(\"gather ' || event_id || '\")'", 0),
+            "error": (Q('"""gather\n"gather" """; gather'), Q('"""gather\n"gather" """; collect'), 1),
+            "signup": ('\'print(f"{gather(\' || event_id || \')} {{gather}} {x.gather!r:>{gather}} gather")\'',
+                      '\'print(f"{collect(\' || event_id || \')} {{gather}} {x.collect!r:>{collect}} gather")\'', 3),
         },
     ),
     "r2_rename_class": Corpus(
-        [_rule("rename_class", old_name="Client", new_name="APIClient")],
-        ("class Client(Base): pass", "class APIClient(Base): pass", 1),
+        [_rule("rename_class", old_name="Boat", new_name="Barge")],
+        ("class Boat(Base): pass", "class Barge(Base): pass", 1),
         {
-            "click": ("'c: Client = Client(' || event_id || ')'", "'c: APIClient = APIClient(' || event_id || ')'", 2),
-            "view": ("'MyClient(' || event_id || ')'", "'MyClient(' || event_id || ')'", 0),
-            "error": (Q("from m import (Client,\n  Client as C)"), Q("from m import (APIClient,\n  APIClient as C)"), 2),
+            "click": ("'c: Boat = Boat(' || event_id || ')'", "'c: Barge = Barge(' || event_id || ')'", 2),
+            "view": ("'MyBoat(' || event_id || ')'", "'MyBoat(' || event_id || ')'", 0),
+            "error": (Q("from m import (Boat,\n  Boat as C)"), Q("from m import (Barge,\n  Barge as C)"), 2),
+            "signup": ("'log(f''{Boat.name} Boat {Boat(' || event_id || ')}'')'",
+                      "'log(f''{Barge.name} Boat {Barge(' || event_id || ')}'')'", 2),
         },
     ),
     "r3_rename_attribute": Corpus(
-        [_rule("rename_attribute", old_name="url", new_name="base_url")],
-        ("from .url import a\nfrom a.url import url", "from .url import a\nfrom a.base_url import url", 1),
+        [_rule("rename_attribute", old_name="hull", new_name="keel")],
+        ("from .hull import a\nfrom a.hull import hull", "from .hull import a\nfrom a.keel import hull", 1),
         {
-            "click": ("'print(client.url, url, f(url=' || event_id || ').url . url)'",
-                      "'print(client.base_url, url, f(url=' || event_id || ').base_url . base_url)'", 3),
-            "view": ("'url = ' || event_id || '.5; \"a.url\"'", "'url = ' || event_id || '.5; \"a.url\"'", 0),
-            "error": (Q("(a\n  .url)  # a.url"), Q("(a\n  .base_url)  # a.url"), 1),
+            "click": ("'print(client.hull, hull, f(hull=' || event_id || ').hull . hull)'",
+                      "'print(client.keel, hull, f(hull=' || event_id || ').keel . keel)'", 3),
+            "view": ("'hull = ' || event_id || '.5; \"a.hull\"'", "'hull = ' || event_id || '.5; \"a.hull\"'", 0),
+            "error": (Q("(a\n  .hull)  # a.hull"), Q("(a\n  .keel)  # a.hull"), 1),
+            "signup": ('\'print(f"{a.hull} {hull} a.hull \' || event_id || \'")\'',
+                      '\'print(f"{a.keel} {hull} a.hull \' || event_id || \'")\'', 1),
         },
     ),
     "r4_rename_import": Corpus(
-        [_rule("rename_import", old_module="mylib.core", old_name="Client", new_module="mylib.client", new_name="APIClient")],
-        ("from mylib.core import *\nimport mylib.core", "from mylib.client import *\nimport mylib.core", 0),
+        [_rule("rename_import", old_module="harbour.core", old_name="Boat", new_module="harbour.client", new_name="Barge")],
+        ("from harbour.core import *\nimport harbour.core", "from harbour.client import *\nimport harbour.core", 0),
         {
-            "click": ("'from mylib.core import Client as C' || event_id || ', Other'",
-                      "'from mylib.client import APIClient as C' || event_id || ', Other'", 1),
-            "view": ("'from mylib.core import Other' || event_id", "'from mylib.core import Other' || event_id", 0),
-            "purchase": ("'from ..mylib.core import Client'", "'from ..mylib.client import APIClient'", 1),
-            "error": (Q("from mylib.core import (\n    Client,  # Client\n    Other,\n)"),
-                      Q("from mylib.client import (\n    APIClient,  # Client\n    Other,\n)"), 1),
-            "signup": ("'from other.core import Client'", "'from other.core import Client'", 0),
+            "click": ("'from harbour.core import Boat as C' || event_id || ', Other'",
+                      "'from harbour.client import Barge as C' || event_id || ', Other'", 1),
+            "view": ("'from harbour.core import Other' || event_id", "'from harbour.core import Other' || event_id", 0),
+            "purchase": ("'from ..harbour.core import Boat'", "'from ..harbour.client import Barge'", 1),
+            "error": (Q("from harbour.core import (\n    Boat,  # Boat\n    Other,\n)"),
+                      Q("from harbour.client import (\n    Barge,  # Boat\n    Other,\n)"), 1),
+            "signup": ("'from other.core import Boat'", "'from other.core import Boat'", 0),
         },
     ),
     "r5_add_argument": Corpus(
-        [_rule("add_argument", function_name="connect", argument_name="timeout", default_value="30"),
+        [_rule("add_argument", function_name="moor", argument_name="slack", default_value="30"),
          _rule("add_argument", function_name="close", argument_name="force")],
-        ("def connect(a): pass", "def connect(a): pass", 0),
+        ("def moor(a): pass", "def moor(a): pass", 0),
         {
-            "click": ("'c = connect(host=\"h\", port=' || event_id || ')'",
-                      "'c = connect(host=\"h\", port=' || event_id || ', timeout=30)'", 1),
-            "view": ("'connect(' || event_id || ', timeout=1)'", "'connect(' || event_id || ', timeout=1)'", 0),
+            "click": ("'c = moor(host=\"h\", port=' || event_id || ')'",
+                      "'c = moor(host=\"h\", port=' || event_id || ', slack=30)'", 1),
+            "view": ("'moor(' || event_id || ', slack=1)'", "'moor(' || event_id || ', slack=1)'", 0),
             "purchase": ("'a.b.close()'", "'a.b.close(force=None)'", 1),
-            "error": ("'f(connect(connect(), lambda x, y: [x, ' || event_id || ']))'",
-                      "'f(connect(connect(timeout=30), lambda x, y: [x, ' || event_id || '], timeout=30))'", 2),
+            "error": ("'f(moor(moor(), lambda x, y: [x, ' || event_id || ']))'",
+                      "'f(moor(moor(slack=30), lambda x, y: [x, ' || event_id || '], slack=30))'", 2),
+            "signup": ('\'print(f"{moor(\' || event_id || \')} moor({{}})", f\'\'{moor(slack=1)}\'\')\'',
+                      '\'print(f"{moor(\' || event_id || \', slack=30)} moor({{}})", f\'\'{moor(slack=1)}\'\')\'', 1),
         },
     ),
     "r6_remove_argument": Corpus(
-        [_rule("remove_argument", function_name="send", argument_name="verbose")],
-        ("def send(verbose=1): pass", "def send(verbose=1): pass", 0),
+        [_rule("remove_argument", function_name="signal", argument_name="loud")],
+        ("def signal(loud=1): pass", "def signal(loud=1): pass", 0),
         {
-            "click": ("'send(url, verbose=g(1, ' || event_id || '))'", "'send(url)'", 1),
-            "view": ("'send(verbose=True, n=' || event_id || ')'", "'send(n=' || event_id || ')'", 1),
-            "purchase": ("'x.send(verbose=1).send(a, verbose=2, b=3,)'", "'x.send().send(a, b=3)'", 2),
-            "error": ("'send(verbose)'", "'send(verbose)'", 0),
+            "click": ("'signal(hull, loud=g(1, ' || event_id || '))'", "'signal(hull)'", 1),
+            "view": ("'signal(loud=True, n=' || event_id || ')'", "'signal(n=' || event_id || ')'", 1),
+            "purchase": ("'x.signal(loud=1).signal(a, loud=2, b=3,)'", "'x.signal().signal(a, b=3)'", 2),
+            "error": ("'signal(loud)'", "'signal(loud)'", 0),
+            "signup": ('\'print(f"{signal(\' || event_id || \', loud=2):>9} {{signal(loud=1)}}")\'',
+                      '\'print(f"{signal(\' || event_id || \'):>9} {{signal(loud=1)}}")\'', 1),
         },
     ),
     "r7_change_default": Corpus(
-        [_rule("change_argument_default", argument_name="timeout", default_value="60")],
-        ("def f(a, timeout: int = 30, *, b=lambda timeout, c=1: 2): return timeout",
-         "def f(a, timeout: int = 60, *, b=lambda timeout = 60, c=1: 2): return timeout", 2),
+        [_rule("change_argument_default", argument_name="slack", default_value="60")],
+        ("def f(a, slack: int = 30, *, b=lambda slack, c=1: 2): return slack",
+         "def f(a, slack: int = 60, *, b=lambda slack = 60, c=1: 2): return slack", 2),
         {
-            "click": ("'def g' || event_id || '(timeout=f(1, 2)): pass'", "'def g' || event_id || '(timeout=60): pass'", 1),
-            "view": ("'f(timeout=' || event_id || ')'", "'f(timeout=' || event_id || ')'", 0),
-            "error": ("'k = lambda *, timeout={1: 2}: ' || event_id", "'k = lambda *, timeout=60: ' || event_id", 1),
+            "click": ("'def g' || event_id || '(slack=f(1, 2)): pass'", "'def g' || event_id || '(slack=60): pass'", 1),
+            "view": ("'f(slack=' || event_id || ')'", "'f(slack=' || event_id || ')'", 0),
+            "error": ("'k = lambda *, slack={1: 2}: ' || event_id", "'k = lambda *, slack=60: ' || event_id", 1),
         },
     ),
     "r8_reorder_arguments": Corpus(
-        [_rule("reorder_arguments", function_name="send", new_order=["data", "url", "missing"])],
-        ("class A:\n    def send(self, url, data={1: 2}): pass", "class A:\n    def send(data={1: 2}, url, self): pass", 1),
+        [_rule("reorder_arguments", function_name="signal", new_order=["data", "hull", "missing"])],
+        ("class A:\n    def signal(self, hull, data={1: 2}): pass", "class A:\n    def signal(data={1: 2}, hull, self): pass", 1),
         {
-            "click": ("'def send(url: str,data, x=' || event_id || ', *a, k): pass'",
-                      "'def send(data, url: str, x=' || event_id || ', *a, k): pass'", 1),
-            "view": ("'send(url, data)'", "'send(url, data)'", 0),
-            "error": ("'def send(data, url): pass'", "'def send(data, url): pass'", 1),
-            "purchase": ("'def other(url, data): pass'", "'def other(url, data): pass'", 0),
+            "click": ("'def signal(hull: str,data, x=' || event_id || ', *a, k): pass'",
+                      "'def signal(data, hull: str, x=' || event_id || ', *a, k): pass'", 1),
+            "view": ("'signal(hull, data)'", "'signal(hull, data)'", 0),
+            "error": ("'def signal(data, hull): pass'", "'def signal(data, hull): pass'", 1),
+            "purchase": ("'def other(hull, data): pass'", "'def other(hull, data): pass'", 0),
         },
     ),
     "r9_deprecate_function": Corpus(
-        [_rule("deprecate_function", old_name="fetch", replacement="get")],
-        ("class A:\n    fetch()\n    if x: fetch()",
-         "class A:\n    # DEPRECATED: fetch() is deprecated. Use get instead.\n    fetch()\n    if x: fetch()", 1),
+        [_rule("deprecate_function", old_name="haul", replacement="get")],
+        ("class A:\n    haul()\n    if x: haul()",
+         "class A:\n    # DEPRECATED: haul() is deprecated. Use get instead.\n    haul()\n    if x: haul()", 1),
         {
-            "click": ("'api.fetch(' || event_id || ')'",
-                      "'# DEPRECATED: fetch() is deprecated. Use get instead.' || chr(10) || 'api.fetch(' || event_id || ')'", 1),
-            "view": ("'x = fetch(' || event_id || ')'", "'x = fetch(' || event_id || ')'", 0),
-            "error": ("'fetch(); fetch(' || event_id || ')'",
-                      "'# DEPRECATED: fetch() is deprecated. Use get instead.' || chr(10) || 'fetch(); fetch(' || event_id || ')'", 1),
-            "purchase": ("'fetch() + 1; fetch()()'", "'fetch() + 1; fetch()()'", 0),
+            "click": ("'api.haul(' || event_id || ')'",
+                      "'# DEPRECATED: haul() is deprecated. Use get instead.' || chr(10) || 'api.haul(' || event_id || ')'", 1),
+            "view": ("'x = haul(' || event_id || ')'", "'x = haul(' || event_id || ')'", 0),
+            "error": ("'haul(); haul(' || event_id || ')'",
+                      "'# DEPRECATED: haul() is deprecated. Use get instead.' || chr(10) || 'haul(); haul(' || event_id || ')'", 1),
+            "purchase": ("'haul() + 1; haul()()'", "'haul() + 1; haul()()'", 0),
         },
     ),
     "r10_remove_function": Corpus(
@@ -348,25 +358,25 @@ OPERATIONS = {
         },
     ),
     "r11_move_to_module": Corpus(
-        [_rule("move_to_module", old_name="Formatter", source_module="mylib.helpers", target_module="mylib.utils")],
-        ("from mylib.helpers import *", "from mylib.helpers import *", 0),
+        [_rule("move_to_module", old_name="Painter", source_module="harbour.sheds", target_module="harbour.docks")],
+        ("from harbour.sheds import *", "from harbour.sheds import *", 0),
         {
-            "click": ("'from mylib.helpers import Formatter as F' || event_id || ', Other'",
-                      "'from mylib.utils import Formatter as F' || event_id || ', Other'", 1),
-            "view": ("'from mylib.helpers import Other'", "'from mylib.helpers import Other'", 0),
-            "error": ("'from helpers import Formatter'", "'from helpers import Formatter'", 0),
+            "click": ("'from harbour.sheds import Painter as F' || event_id || ', Other'",
+                      "'from harbour.docks import Painter as F' || event_id || ', Other'", 1),
+            "view": ("'from harbour.sheds import Other'", "'from harbour.sheds import Other'", 0),
+            "error": ("'from sheds import Painter'", "'from sheds import Painter'", 0),
         },
     ),
     "r12_add_decorator": Corpus(
-        [_rule("add_decorator", function_name="on_response", decorator_name="handler")],
-        ("class A:\n    @other(1)\n    def on_response(self): pass",
-         "class A:\n    @other(1)\n    @handler\n    def on_response(self): pass", 1),
+        [_rule("add_decorator", function_name="on_tide", decorator_name="watched")],
+        ("class A:\n    @other(1)\n    def on_tide(self): pass",
+         "class A:\n    @other(1)\n    @watched\n    def on_tide(self): pass", 1),
         {
-            "click": ("'def on_response(x=' || event_id || '): pass'",
-                      "'@handler' || chr(10) || 'def on_response(x=' || event_id || '): pass'", 1),
-            "view": (Q("@handler\nasync def on_response(x): pass"), Q("@handler\nasync def on_response(x): pass"), 0),
-            "error": ("'class on_response: pass'", "'class on_response: pass'", 0),
-            "purchase": (Q("@m.handler\ndef on_response(x): pass"), Q("@m.handler\n@handler\ndef on_response(x): pass"), 1),
+            "click": ("'def on_tide(x=' || event_id || '): pass'",
+                      "'@watched' || chr(10) || 'def on_tide(x=' || event_id || '): pass'", 1),
+            "view": (Q("@watched\nasync def on_tide(x): pass"), Q("@watched\nasync def on_tide(x): pass"), 0),
+            "error": ("'class on_tide: pass'", "'class on_tide: pass'", 0),
+            "purchase": (Q("@m.watched\ndef on_tide(x): pass"), Q("@m.watched\n@watched\ndef on_tide(x): pass"), 1),
         },
     ),
     "r13_remove_decorator": Corpus(
@@ -380,22 +390,26 @@ OPERATIONS = {
         },
     ),
     "r14_replace_with_property": Corpus(
-        [_rule("replace_with_property", old_name="get_name", new_name="name")],
-        ("x = get_name()", "x = get_name()", 0),
+        [_rule("replace_with_property", old_name="get_rank", new_name="name")],
+        ("x = get_rank()", "x = get_rank()", 0),
         {
-            "click": ("'n = client.get_name( ).get_name()[' || event_id || ']'", "'n = client.name.name[' || event_id || ']'", 2),
-            "view": ("'n = client.get_name(' || event_id || ')'", "'n = client.get_name(' || event_id || ')'", 0),
-            "error": ("'f(client.get_name, client.get_name())'", "'f(client.get_name, client.name)'", 1),
+            "click": ("'n = client.get_rank( ).get_rank()[' || event_id || ']'", "'n = client.name.name[' || event_id || ']'", 2),
+            "view": ("'n = client.get_rank(' || event_id || ')'", "'n = client.get_rank(' || event_id || ')'", 0),
+            "error": ("'f(client.get_rank, client.get_rank())'", "'f(client.get_rank, client.name)'", 1),
+            "signup": ('\'print(f"{c.get_rank()} {c.get_rank(\' || event_id || \')} get_rank()")\'',
+                      '\'print(f"{c.name} {c.get_rank(\' || event_id || \')} get_rank()")\'', 1),
         },
     ),
     "r15_rename_argument": Corpus(
-        [_rule("rename_argument", function_name="send", argument_name="verbose", new_argument_name="debug")],
-        ("def send(verbose): pass", "def send(verbose): pass", 0),
+        [_rule("rename_argument", function_name="signal", argument_name="loud", new_argument_name="debug")],
+        ("def signal(loud): pass", "def signal(loud): pass", 0),
         {
-            "click": ("'send(verbose, verbose=verbose, n=' || event_id || ')'",
-                      "'send(verbose, debug=verbose, n=' || event_id || ')'", 1),
-            "view": ("'other(verbose=' || event_id || ')'", "'other(verbose=' || event_id || ')'", 0),
-            "error": ("'a.send(x, **k, verbose=(1, 2))'", "'a.send(x, **k, debug=(1, 2))'", 1),
+            "click": ("'signal(loud, loud=loud, n=' || event_id || ')'",
+                      "'signal(loud, debug=loud, n=' || event_id || ')'", 1),
+            "view": ("'other(loud=' || event_id || ')'", "'other(loud=' || event_id || ')'", 0),
+            "error": ("'a.signal(x, **k, loud=(1, 2))'", "'a.signal(x, **k, debug=(1, 2))'", 1),
+            "signup": ('\'print(f"{signal(loud=\' || event_id || \'):>{signal(loud=1)}}")\'',
+                      '\'print(f"{signal(debug=\' || event_id || \'):>{signal(debug=1)}}")\'', 2),
         },
     ),
     # a name made by one rule and used by later ones
@@ -438,8 +452,7 @@ OPERATIONS = {
 }
 
 # The example's changelog: versions with their rules, as they would be written down.
-EXAMPLE_VERSIONS = {"1.1.0": EXAMPLE.rules[:1], "2.0.0": EXAMPLE.rules[1:6], "2.1.0": EXAMPLE.rules[6:9],
-                    "3.0.0": EXAMPLE.rules[9:]}
+EXAMPLE_VERSIONS = {"1.2.0": EXAMPLE.rules[:2], "1.10.0": EXAMPLE.rules[2:7], "2.0.0": [], "2.5.1": EXAMPLE.rules[7:]}
 
 
 def second_changelog(spark: SparkSession) -> DataFrame:
@@ -458,12 +471,12 @@ def example_changelog(spark: SparkSession) -> DataFrame:
         for v, rules in EXAMPLE_VERSIONS.items()
     ]
     return spark.createDataFrame(
-        [("mylib", json.dumps({"library": "mylib", "versions": versions}))], "doc_id string, content string")
+        [("seedbank", json.dumps({"library": "seedbank", "versions": versions}))], "doc_id string, content string")
 
 
 # Half of the repositories upgrade, the others are up to date.
 REPO_PINS = """
-SELECT DISTINCT 'u' || (user_id % 20) AS repo, 'mylib' AS library,
-  CASE WHEN user_id % 20 < 10 THEN '1.0.0' ELSE '3.0.0' END AS from_version, 'latest' AS to_version
+SELECT DISTINCT 'u' || (user_id % 20) AS repo, 'seedbank' AS library,
+  CASE WHEN user_id % 20 < 10 THEN '1.0.0' ELSE '2.5.1' END AS from_version, 'latest' AS to_version
 FROM {events}
 """

@@ -30,8 +30,8 @@ CASES = {
     "rename_everywhere": (
         [RF("foo", "bar")],
         "import foo.x as foo\nfrom foo import foo as foo\nfoo.foo(foo=foo)\n# foo\ns = 'foo' + f\"{foo}\"\ndef g(foo): pass\n",
-        "import bar.x as bar\nfrom bar import bar as bar\nbar.bar(bar=bar)\n# foo\ns = 'foo' + f\"{foo}\"\ndef g(bar): pass\n",
-        10),
+        "import bar.x as bar\nfrom bar import bar as bar\nbar.bar(bar=bar)\n# foo\ns = 'foo' + f\"{bar}\"\ndef g(bar): pass\n",
+        11),
     "rename_class": ([RC("A", "B")], "class A(Base): pass\nx: A = A()\n", "class B(Base): pass\nx: B = B()\n", 3),
     "rename_chain": ([RF("a", "b"), RC("b", "c")], "a = b\n", "c = c\n", 3),
     "rename_swap": ([RF("a", "t"), RF("b", "a"), RF("t", "b")], "a, b\n", "b, a\n", 3),
