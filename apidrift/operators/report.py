@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from apidrift.functions.lexing import lexically_valid
+from apidrift.operators.diff import BREAKS, unified
 
 
 def summarize(results: DataFrame, by: str | None = "repo") -> DataFrame:
@@ -57,9 +54,9 @@ def changes(results: DataFrame) -> DataFrame:
 
 def line_count(text: Column) -> Column:
     """Lines as ``splitlines`` counts them: no empty line after a final newline."""
-    parts = F.size(F.split(text, r"\r\n|[\n\r\f\x0b\x1c-\x1e\x85\u2028\u2029]"))
+    parts = F.size(F.split(text, rf"\r\n|[{BREAKS}]"))
     return F.when(text == "", 0).otherwise(
-        parts - F.when(text.rlike(r"[\n\r\f\x0b\x1c-\x1e\x85\u2028\u2029]\z"), 1).otherwise(0))
+        parts - F.when(text.rlike(rf"[{BREAKS}]\z"), 1).otherwise(0))
 
 
 def validate_migration(results: DataFrame) -> DataFrame:
@@ -78,17 +75,9 @@ def validate_migration(results: DataFrame) -> DataFrame:
 
 def unified_diff(results: DataFrame) -> DataFrame:
     """Unified diff (three lines of context) of each modified file."""
-
-    def unified(before: pd.Series, after: pd.Series) -> pd.Series:
-        return pd.Series([
-            "".join(difflib.unified_diff(a.splitlines(True), b.splitlines(True), "original", "migrated"))
-            for a, b in zip(before, after)
-        ])
-
-    _unified = F.pandas_udf(unified, StringType())
-    return results.where("original_code <> transformed_code").select(
-        "path_id", "file_id", "repo", "path", "changes",
-        _unified("original_code", "transformed_code").alias("diff"))
+    keys = ["path_id", "file_id"]
+    texts = results.where("original_code <> transformed_code")
+    return texts.select(*keys, "repo", "path", "changes").join(unified(texts, keys, "original_code", "transformed_code"), keys)
 
 
 def preview(results: DataFrame) -> DataFrame:
