@@ -788,6 +788,46 @@ def a4(spark, sf_dir):
     return report.report_lines(_migrated(EXAMPLE, spark, sf_dir), "1.0.0", "2.5.1")
 
 
-@query("e4_preview")
+# The edit script of each file, known from how the corpus writes its lines: (order, [(kind, line)]).
+_HEAD_SCRIPT = [
+    (-6, [(1, "from seedbank.stock import Shelf, Packet"), (2, "from seedbank.storage import Rack, SeedPacket")]),
+    (-5, [(1, "from seedbank.misc import Almanac"), (2, "from seedbank.calendar import Almanac")]),
+    (-4, [(0, "@cached")]), (-3, [(2, "@logged")]),
+    (-2, [(1, "def harvest(bed, spacing=10):"), (2, "def harvest(bed, spacing=15):")]),
+    (-1, [(1, "    return Packet(bed)"), (2, "    return SeedPacket(bed)")]),
+]
+_HEAD_SQL = ", ".join(
+    "({}, [{}])".format(o, ", ".join(f"{{'k': {k}, 'l': '{line}'}}" for k, line in xs)) for o, xs in _HEAD_SCRIPT)
+
+
+def _range_sql(start, n):
+    return f"CASE WHEN {n} = 1 THEN ({start} + 1) || '' ELSE ({start} + CASE WHEN {n} = 0 THEN 0 ELSE 1 END) || ',' || {n} END"
+
+
+@query("e4_preview", f"""
+    WITH e AS (
+      SELECT 'pkg/f' || user_id || '_' || CAST(floor(event_id / {corpora.EVENTS}) AS BIGINT) || '.py' AS path, event_id AS o,
+             {EXAMPLE._case(0)} AS src, {EXAMPLE._case(1)} AS exp FROM events),
+    x AS (
+      SELECT path, o, CASE WHEN src = exp THEN [{{'k': 0, 'l': src}}]
+        WHEN ends_with(exp, chr(10) || src) THEN [{{'k': 2, 'l': exp[:len(exp) - len(src) - 1]}}, {{'k': 0, 'l': src}}]
+        ELSE [{{'k': 1, 'l': src}}, {{'k': 2, 'l': exp}}] END AS xs FROM e
+      UNION ALL SELECT f.path, h.o, h.xs FROM (SELECT DISTINCT path FROM e) f, (VALUES {_HEAD_SQL}) h(o, xs)),
+    y AS (SELECT path, o, j, xs[j].k AS k, xs[j].l AS l FROM x, unnest(range(1, len(xs) + 1)) AS r(j)),
+    s AS (SELECT *, count(*) FILTER (k = 0) OVER (PARTITION BY path ORDER BY o, j ROWS UNBOUNDED PRECEDING) AS same FROM y),
+    n AS (SELECT *, row_number() OVER w AS seq, count(*) FILTER (k <> 2) OVER b AS a0, count(*) FILTER (k <> 1) OVER b AS b0,
+                 max(CASE WHEN k > 0 THEN same END) OVER b AS last, min(CASE WHEN k > 0 THEN same END) OVER f AS next
+          FROM s WINDOW w AS (PARTITION BY path ORDER BY same, k, o, j),
+            b AS (PARTITION BY path ORDER BY same, k, o, j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+            f AS (PARTITION BY path ORDER BY same, k, o, j ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+    c AS (SELECT *, seq - row_number() OVER (PARTITION BY path ORDER BY seq) AS hunk FROM n
+          WHERE k > 0 OR coalesce(same - last <= 3, false) OR coalesce(next - same < 3, false)),
+    h AS (SELECT path, hunk, min(a0) AS a, count(*) FILTER (k <> 2) AS na, min(b0) AS b, count(*) FILTER (k <> 1) AS nb,
+                 string_agg([' ', '-', '+'][k + 1] || l || chr(10), '' ORDER BY seq) AS body FROM c GROUP BY path, hunk),
+    d AS (SELECT path, '--- original' || chr(10) || '+++ migrated' || chr(10) || string_agg('@@ -' || {_range_sql('a', 'na')} || ' +' ||
+                 {_range_sql('b', 'nb')} || ' @@' || chr(10) || body, '' ORDER BY hunk) AS diff FROM h GROUP BY path),
+    m AS (SELECT path, string_agg('  - ' || message, chr(10) ORDER BY o, i) AS listed
+          FROM (SELECT path, o, message, unnest(range(n)) AS i FROM ({_PER_FILE}) p) q GROUP BY path)
+    SELECT path, chr(10) || 'Changes:' || chr(10) || listed || chr(10) || chr(10) || diff AS preview FROM d JOIN m USING (path)""")
 def e4(spark, sf_dir):
     return report.preview(_migrated(EXAMPLE, spark, sf_dir)).select("path", "preview")
