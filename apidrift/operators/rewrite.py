@@ -4,7 +4,8 @@
 
 One shuffle: the candidate files, as whole texts, by ``file_id``. Tokens are exploded
 after it, so every window, grouping and join below finds its rows in place. Files
-that hold none of a path's names never leave their scan task.
+that hold none of a path's names never leave their scan task. Where all rules are
+renames, and few, none does: each file is rewritten within its row (``renamed``).
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from apidrift.functions.lexing import TRIVIA, identifiers, is_name, lexically_valid, token_pieces
+from apidrift.functions.lexing import TRIVIA, identifiers, is_name, let, lexically_valid, token_pieces, token_structs
 from apidrift.operators import entities
 from apidrift.session import settled, text_partitions
 from apidrift.operators.rulebook import (
@@ -42,6 +43,35 @@ def candidates(files: DataFrame) -> Column:
     )
 
 
+def _is_soft(tok: Column, next1: Column) -> Column:
+    """A word that an operand right after it makes a statement keyword."""
+    return tok.isin("match", "case", "type") & next1.rlike(
+        r"^[\p{L}\p{Nl}_0-9\"']") & ~next1.isin("in", "is", "and", "or", "if", "else", "for", "as", "async")
+
+
+def renamed(files: DataFrame) -> DataFrame:
+    """``code`` and ``hits`` of files with ``content`` and ``moves``: renames only, within the row.
+
+    What a rename does depends on a token and its neighbours, so no token leaves its file's row and nothing is shuffled.
+    """
+    def at(toks: Column, i: Column) -> Column:
+        return F.coalesce(F.get(toks, i)["tok"], F.lit(""))
+
+    def moved(toks: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            attr = (at(toks, i - 1) == ".") & ~at(toks, i - 2).isin("from", ".", "...")
+            found = F.try_element_at(F.col("moves"), F.concat(F.when(attr, ".").otherwise(""), x["tok"]))
+            return F.when(is_name(x["tok"]) & ~_is_soft(x["tok"], at(toks, i + 1)), found)
+
+        return let(F.transform(toks, one), lambda to: F.struct(
+            F.array_join(F.zip_with(toks, to, lambda x, m: F.concat(x["pre"], F.coalesce(m["final"], x["tok"]))), "").alias("code"),
+            F.transform(F.flatten(F.transform(F.filter(to, lambda m: m.isNotNull()), lambda m: m["hits"])), lambda h: F.struct(
+                h["o"].alias("o"), F.lit(1).alias("m"), h["c"].alias("c"))).alias("hits")))
+
+    return files.withColumn("done", let(token_structs(F.col("content")), moved)).select(
+        "*", F.col("done.code").alias("code"), F.col("done.hits").alias("hits")).drop("done", "moves")
+
+
 def _needs(kinds: frozenset) -> frozenset:
     need = {"names"}
     if kinds & (CALL_OPS | {"reorder", "default"}):
@@ -72,10 +102,7 @@ def occurrences(files: DataFrame, book: Rulebook, round_: int = 0) -> DataFrame:
     need = _needs(kinds)
     rows = structure(toks, need=need)
 
-    # an operand right after one of these words makes it a statement keyword
-    soft = c("tok").isin("match", "case", "type") & c("next1").rlike(
-        r"^[\p{L}\p{Nl}_0-9\"']") & ~c("next1").isin("in", "is", "and", "or", "if", "else", "for", "as", "async")
-    named = c("word") & ~soft & F.when(c("is_attr"), _bit("fl", ATTR_HIT)).otherwise(_bit("fl", PLAIN_HIT))
+    named = c("word") & ~_is_soft(c("tok"), c("next1")) & F.when(c("is_attr"), _bit("fl", ATTR_HIT)).otherwise(_bit("fl", PLAIN_HIT))
     kind_list = [F.when(named, F.struct(F.lit("n").alias("kind"), c("pos").alias("gid")))]
     none = F.lit(None).cast("int")
     # per kind: the name the rules are looked up by, whether it is an attribute, details
@@ -399,6 +426,10 @@ def _one_round(files: DataFrame, book: Rulebook, round_: int, only_modified: boo
     files = files.join(book.per_rule(info.select("path_id", "triggers")), "path_id", "left")
     acts = candidates(files)
     texts = book.per_rule(book.info.groupBy("path_id").agg(F.first("texts").alias("texts")))
+    if book.in_place:
+        kept = files.where(acts).select(*KEY, "repo", "path", "original", "content", "changes", "errors", "rules_applied")
+        new = _logged(renamed(kept.join(book.per_rule(book.moves(round_)), "path_id")).join(texts, "path_id", "left"))
+        return new if only_modified else new.unionByName(_untouched(files.where(~acts), texts, round_))
     # Both uses of the chosen files (tokens, stitching) take all columns, and arrays are
     # not pruned by element, so the two read one and the same shuffle.
     logged = round_ > 0 or book.failing is not None
@@ -415,8 +446,16 @@ def _one_round(files: DataFrame, book: Rulebook, round_: int, only_modified: boo
         part(1).alias("changes"), part(2).alias("errors"), part(3).alias("rules_applied"),
         *[F.coalesce(c(n), F.array()).alias(n) for n in ("segs", "layouts", "hits")],
     ).join(texts, "path_id", "left")
-    new = stitch(joined).select(
-        *KEY, "repo", "path", "original", c("code").alias("content"),
+    new = _logged(stitch(joined))
+    if only_modified:
+        return new
+    return new.unionByName(_untouched(files.where(~acts), texts, round_))
+
+
+def _logged(done: DataFrame) -> DataFrame:
+    """The new texts with what the rules did: a message for each change, types of the rules that changed something."""
+    return done.select(
+        *KEY, "repo", "path", "original", F.col("code").alias("content"),
         F.concat("changes", F.expr(f"""
             transform(array(hits), hits -> flatten(transform({_ORDINALS}, o -> array_repeat(
                element_at(texts, o).message,
@@ -426,9 +465,10 @@ def _one_round(files: DataFrame, book: Rulebook, round_: int, only_modified: boo
         F.concat("rules_applied", F.expr(
             f"transform({_ORDINALS}, o -> element_at(texts, o).change_type)")).alias("rules_applied"),
     )
-    if only_modified:
-        return new
-    rest = files.where(~acts)
+
+
+def _untouched(rest: DataFrame, texts: DataFrame, round_: int) -> DataFrame:
+    """Files that no rule acts on, with an error for each rule where they cannot be read."""
     if round_ == 0:
         failed = F.expr("""
             transform(filter(texts, t -> t.handled), t -> concat('Rule \\'', t.description,
@@ -436,8 +476,6 @@ def _one_round(files: DataFrame, book: Rulebook, round_: int, only_modified: boo
         """)
         rest = rest.join(texts, "path_id", "left").withColumn(
             "errors", F.concat("errors", F.when(
-                ~lexically_valid(c("content")), F.coalesce(failed, F.array())).otherwise(F.array()))
+                ~lexically_valid(F.col("content")), F.coalesce(failed, F.array())).otherwise(F.array()))
         )
-    return new.unionByName(
-        rest.select(*KEY, "repo", "path", "original", "content", "changes", "errors", "rules_applied")
-    )
+    return rest.select(*KEY, "repo", "path", "original", "content", "changes", "errors", "rules_applied")

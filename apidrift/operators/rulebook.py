@@ -51,6 +51,12 @@ PLAIN_HIT, ATTR_HIT, PLAIN_CALL, ATTR_CALL, DEF, PARAM = 1, 2, 4, 8, 16, 32
 BROADCAST_BYTES = 256 << 20
 
 
+# Rules of a path up to which renames are looked up within a file's own row (a map of a path's names is
+# searched for each name of the text); paths with more go by joins.
+IN_PLACE_RULES = 32
+RENAMES = frozenset({"rename", "rename_attr"})
+
+
 @dataclass
 class Rulebook:
     names: DataFrame
@@ -61,6 +67,18 @@ class Rulebook:
     few_rules: bool
     few_pairs: bool
     failing: DataFrame | None = None  # (path_id, bad): rules that cannot be applied, by the name they look for
+    most_rules: int = 0  # of a path
+
+    @property
+    def in_place(self) -> bool:
+        """All rules are renames, and few enough of a path to be looked up within a row."""
+        return self.kinds <= RENAMES and self.most_rules <= IN_PLACE_RULES
+
+    def moves(self, round_: int) -> DataFrame:
+        """path_id, moves: what becomes of a name (of an attribute under a key with a dot)."""
+        key = F.concat(F.when(F.col("is_attr"), ".").otherwise(""), "name")
+        return self.ops.where((F.col("round") == round_) & (F.col("kind") == "n")).groupBy("path_id").agg(
+            F.map_from_entries(F.collect_list(F.struct(key, F.struct("final", "hits")))).alias("moves"))
 
     def per_rule(self, table: DataFrame) -> DataFrame:
         """A lookup table whose size follows the number of rules."""
@@ -235,7 +253,7 @@ def compile_rules(path_rules: DataFrame) -> Rulebook:
         F.sum(F.octet_length(F.to_json(F.struct(*rules.columns)))).alias("bytes"), F.bool_or("bad").alias("bad"),
         F.collect_set(_op_of(F.col("change_type"))).alias("kinds"))
     stats = per_path.agg(
-        F.max("r").alias("r"), F.sum(F.col("n") * F.col("bytes")).alias("pair_bytes"), F.sum("bytes").alias("bytes"), F.bool_or("bad").alias("bad"),
+        F.max("r").alias("r"), F.max("n").alias("n"), F.sum(F.col("n") * F.col("bytes")).alias("pair_bytes"), F.sum("bytes").alias("bytes"), F.bool_or("bad").alias("bad"),
         F.array_distinct(F.flatten(F.collect_set("kinds"))).alias("kinds"),
     ).first()
     small = (stats["pair_bytes"] or 0) <= BROADCAST_BYTES
@@ -336,5 +354,5 @@ def compile_rules(path_rules: DataFrame) -> Rulebook:
         names=flags, ops=ops, info=info,
         rounds=(stats["r"] or 0) + 1, kinds=frozenset(stats["kinds"] or ()),
         few_rules=(stats["bytes"] or 0) <= BROADCAST_BYTES, few_pairs=small,
-        failing=failing if stats["bad"] else None,
+        failing=failing if stats["bad"] else None, most_rules=stats["n"] or 0,
     )

@@ -195,3 +195,30 @@ def test_large_file(spark):
     got = migrate(files_frame(spark, {1: source}), rules_frame(spark, {1: rules})).collect()[0]
     assert got.transformed_code == "x = send(u)\n" * n
     assert len(got.changes) == 2 * n
+
+
+def test_renames_within_the_row_like_renames_by_joins(spark, monkeypatch):
+    from apidrift.operators import rulebook
+    from apidrift.operators.rulebook import compile_rules
+
+    kinds = {"rename_function", "rename_class", "rename_attribute"}
+    names = [n for n in CASES if {r["change_type"] for r in CASES[n][0]} <= kinds]
+    sources = [CASES[n][1] for n in names] + ["from . import u\nfrom .a.u import u\nf'{u.u} {a.u!r}'\nmatch u:\n  case u: u.match\n", "u(", "none here\n", ""]
+    rules = [CASES[n][0] for n in names] + [[RF("u", "v"), RA("match", "m"), RA("u", "w"), RC("v", "a.b"), RF("b", "c")]] * 4
+    assert len(names) >= 8
+
+    def run():
+        files = files_frame(spark, dict(enumerate(sources)))
+        return sorted(tuple(r) for r in migrate(files, rules_frame(spark, dict(enumerate(rules)))).drop("repo").collect())
+
+    within = run()
+    book = compile_rules(rules_frame(spark, {0: [RF("u", "v")]}))
+    assert book.in_place and "Exchange" not in plan_of(migrate(files_frame(spark, {0: "u"}), None, only_modified=True, book=book))
+    monkeypatch.setattr(rulebook, "IN_PLACE_RULES", 0)
+    assert within == run()
+
+
+def plan_of(frame):
+    """The plan without the small tables of rules, which are broadcast."""
+    lines = frame._jdf.queryExecution().executedPlan().toString().split("\n")
+    return "\n".join(line for line in lines if "BroadcastExchange" not in line and "hashpartitioning(path_id" not in line)
