@@ -1,24 +1,27 @@
 """Licence scan with a positional index of rare words.
 
-The templates below are indexed as postings (word, template, position). All licence words of a file are looked up
-in the postings of its verified templates, weighted by inverse document frequency over all documents, and hits are
-intersected by relative position: words of one licence text keep their distances, so their ``file position -
-template position`` agrees up to a few inserted or lost words. A template with enough agreeing words is a candidate; a label is
-given when all its mandatory key phrases stand in the file word for word. No word of a file is left out, so neither other
-licences nor ordinary words in the same file cost a label.
-
-Files are split into words once, within their row. What is shuffled are positions of licence words.
+1. Document frequencies of the licence words are counted over all files; they give the words' IDF.
+2. The index holds, for each mandatory phrase of a template (and each base phrase), its ``PROBES`` words of highest IDF with their
+   places: postings (word, phrase, place). A file looks up only these words and intersects the postings by relative position: file position
+   less place is where the phrase would start. A start that all probes of a phrase (two, where it has more) agree on is a candidate.
+3. Only candidates are verified, word for word. A phrase that stands in a file has all its words at their places, so the index
+   loses nothing; scattered words of a licence agree on no start and are never compared.
+4. A template's label is given when all its mandatory phrases are verified. ``score`` says how much of the template stands
+   around a verified phrase, by IDF, at places that agree up to ``SLACK`` inserted or lost words.
+
+The index is a literal of a few hundred postings, so look-up, intersection and verification happen within a file's row: no file is shuffled.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from apidrift.llm.tables import whole, written
+from apidrift.llm.tables import whole
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What stands between words: ASCII that is no digit and no letter.
@@ -50,12 +53,12 @@ TEMPLATES: dict[str, tuple[str, tuple[str, ...]]] = {
     "gpl": (
         "this program is free software you can redistribute it and or modify it under the terms of the gnu "
         "general public license as published by the free software foundation",
-        ("under the terms of the gnu general public license",),
+        ("gnu general public license",),
     ),
     "lgpl": (
         "this library is free software you can redistribute it and or modify it under the terms of the gnu "
         "lesser general public license as published by the free software foundation",
-        ("under the terms of the gnu lesser general public license",),
+        ("gnu lesser general public license",),
     ),
     "mpl-2": (
         "this source code form is subject to the terms of the mozilla public license v 2 0",
@@ -70,6 +73,10 @@ TEMPLATES: dict[str, tuple[str, tuple[str, ...]]] = {
         "this is free and unencumbered software released into the public domain",
         ("free and unencumbered software released into the public domain",),
     ),
+    "all-rights-reserved": (
+        "copyright all rights reserved",
+        ("all rights reserved",),
+    ),
     "cc-by-nc": (
         "licensed under cc by nc 4 0",
         ("licensed under cc by nc",),
@@ -78,94 +85,119 @@ TEMPLATES: dict[str, tuple[str, tuple[str, ...]]] = {
 #: Function words that are no evidence of a licence.
 COMMON = frozenset("a and any are as by in into is it may of or or not that the this to with you can be 0".split())
 
-#: A candidate needs this share of its template's places (so many at most) on one diagonal, and two at least.
-LEAST_SHARE, MOST_PLACES = 0.25, 12
-#: Positions may differ by this many inserted or lost words.
+#: Words of a phrase that are looked up, and how many of them must agree on its start.
+PROBES, AGREEING = 3, 2
+#: Positions of a template's other words may differ by this many inserted or lost words.
 SLACK = 4
 
 
-def postings() -> list[tuple[str, str, int]]:
-    return [
-        (word, label, at) for label, (text, _) in TEMPLATES.items()
-        for at, word in enumerate(text.split()) if word not in COMMON
-    ]
+def phrases() -> list[tuple[str, str | None]]:
+    """All phrases of the index: the base phrases, then each template's with its label."""
+    return [(p, None) for p in BASE_PHRASES.values()] + [(p, label) for label, (_, keys) in TEMPLATES.items() for p in keys]
 
 
 def _vocabulary() -> list[str]:
-    return sorted({word for word, _, _ in postings()} | {w for p in BASE_PHRASES.values() for w in p.split()} - COMMON)
-
-
-def _places(phrase: str) -> Column:
-    """Starts of a phrase, found from the licence word in it that other texts use least (the longest)."""
-    words = phrase.split()
-    anchor = max((i for i, w in enumerate(words) if w not in COMMON), key=lambda i: (len(words[i]), -i))
-
-    def stands(hit: Column) -> Column:
-        return reduce(and_, (
-            F.get(F.col("words"), hit["at"] + (i - anchor)) == w for i, w in enumerate(words) if i != anchor))
-
-    hits = F.filter("hits", lambda h: (h["word"] == words[anchor]) & F.coalesce(stands(h), F.lit(False)))
-    return F.transform(hits, lambda h: h["at"] - anchor)
-
-
-def read_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per file: number of words, licence words with positions, base places, verified labels."""
-    lowered = F.translate(F.col("text"), UPPER, LOWER)
-    words = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text")).select(
-        "id", F.filter(F.split(lowered, NO_WORD), lambda w: w != "").alias("words"))
-    found = words.withColumn("hits", F.filter(
-        F.transform("words", lambda w, i: F.when(w.isin(_vocabulary()), F.struct(w.alias("word"), i.alias("at")))),
-        lambda h: h.isNotNull()))
-    key = lambda phrase: F.size(_places(phrase)) > 0
-    return found.select(
-        "id", F.size("words").cast("long").alias("n_words"), "hits",
-        *(_places(phrase).alias(f"base_{n}") for n, phrase in enumerate(BASE_PHRASES.values())),
-        F.array_compact(F.array(*(
-            F.when(reduce(and_, map(key, phrases)), F.lit(label)) for label, (_, phrases) in TEMPLATES.items()
-        ))).alias("verified"),
-    )
+    texts = [text for text, _ in TEMPLATES.values()] + [p for p, _ in phrases()]
+    return sorted({word for text in texts for word in text.split()} - COMMON)
+
+
+def words_of(text: Column) -> Column:
+    return F.filter(F.split(F.translate(text, UPPER, LOWER), NO_WORD), lambda w: w != "")
+
+
+def inverse_frequencies(docs: DataFrame, text_col: str = "text") -> dict[str, float]:
+    """IDF of the licence words over all files: one number for each, so their count is bounded by the templates."""
+    held = docs.select(F.explode(F.concat(
+        F.array(F.lit("")), F.array_intersect(words_of(whole(text_col)), F.array(*map(F.lit, _vocabulary()))))).alias("word"))
+    counts = {r["word"]: r["n"] for r in held.groupBy("word").agg(F.count("*").alias("n")).collect()}
+    total = counts.get("", 0)
+    return {word: math.log((total + 1) / (counts.get(word, 0) + 0.5)) for word in _vocabulary()}
+
+
+def probes(phrase: str, idf: dict[str, float]) -> list[tuple[str, int]]:
+    """The phrase's words of highest IDF with their places."""
+    places = [(word, at) for at, word in enumerate(phrase.split()) if word not in COMMON]
+    return sorted(places, key=lambda x: (-idf[x[0]], x[1]))[:PROBES]
+
+
+def _struct_array(rows: list[tuple], names: tuple[str, ...]) -> Column:
+    return F.array(*(F.struct(*(F.lit(v).alias(n) for v, n in zip(row, names, strict=True))) for row in rows))
+
+
+def _candidates(words: Column, idf: dict[str, float]) -> Column:
+    """(phrase, start) that enough probes agree on, in order."""
+    index: dict[str, list[tuple[int, int]]] = {}
+    needed = []
+    for number, (phrase, _) in enumerate(phrases()):
+        chosen = probes(phrase, idf)
+        needed.append(min(AGREEING, len(chosen)))
+        for word, place in chosen:
+            index.setdefault(word, []).append((number, place))
+    names = sorted(index)
+    postings = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*(_struct_array(index[n], ("phrase", "place")) for n in names)))
+    hits = F.array_compact(F.transform(words, lambda w, i: F.when(w.isin(names), F.struct(w.alias("word"), i.alias("at")))))
+    looked = F.flatten(F.transform(hits, lambda h: F.transform(
+        F.element_at(postings, h["word"]), lambda p: F.struct(p["phrase"].alias("phrase"), (h["at"] - p["place"]).alias("start")))))
+    least = F.array(*map(F.lit, needed))
+
+    def agreed(found: Column) -> Column:
+        # Equal entries lie side by side: the one that many places on is the same.
+        return F.array_distinct(F.filter(found, lambda x, i: F.coalesce(F.get(found, (i + F.get(least, x["phrase"]) - 1).cast("int")) == x, F.lit(False))))
+
+    return F.transform(F.array(F.array_sort(looked)), agreed)[0]
+
+
+def _verified(words: Column, candidates: Column) -> Column:
+    """The candidates whose phrase stands there."""
+    texts = F.array(*(F.array(*map(F.lit, p.split())) for p, _ in phrases()))
+    return F.filter(candidates, lambda c: (c["start"] >= 0) & (F.slice(
+        words, F.greatest(c["start"], F.lit(0)) + 1, F.size(F.get(texts, c["phrase"]))) == F.get(texts, c["phrase"])))
+
+
+def _shares(words: Column, verified: Column, idf: dict[str, float], given: Column) -> Column:
+    """Largest share of a given template's IDF that stands around one of its verified phrases."""
+    templates, starts = [], []
+    for phrase, label in phrases():
+        text = TEMPLATES[label][0].split() if label else []
+        starts.append(next((i for i in range(len(text)) if text[i:i + len(phrase.split())] == phrase.split()), 0))
+        full = sum(idf[w] for w in text if w not in COMMON)
+        templates.append([(w, i, idf[w] / full) for i, w in enumerate(text) if w not in COMMON])
+    empty = F.array().cast("array<struct<word:string,place:int,share:double>>")
+    held = F.array(*(_struct_array(t, ("word", "place", "share")) if t else empty for t in templates))
+    labels = F.array(*(F.lit(label) for _, label in phrases()))
+    around = F.array(*(F.lit(i) for i in range(-SLACK, SLACK + 1)))
+
+    def share(v: Column) -> Column:
+        origin = v["start"] - F.get(F.array(*map(F.lit, starts)), v["phrase"])
+        return F.aggregate(F.get(held, v["phrase"]), F.lit(0.0), lambda total, t: total + F.when(
+            F.exists(around, lambda q: F.coalesce(F.get(words, (origin + t["place"] + q).cast("int")) == t["word"], F.lit(False))), t["share"]).otherwise(0.0))
+
+    counted = F.filter(verified, lambda v: F.coalesce(F.array_contains(given, F.get(labels, v["phrase"])), F.lit(False)))
+    return F.coalesce(F.array_max(F.transform(counted, share)), F.lit(0.0))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per file: id, n_words, n_base, first_word, last_word, base_labels, labels, score.
+    """One row per file: id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_candidates.
 
     ``score`` is the largest share of a given template's weight (sum of word IDFs) that the file holds at
-    agreeing positions, 0 without such a label. A null or empty text has no words and no labels. Repeated rows
-    each get a result (rows are told apart by an own key); an empty table gives no rows. Other columns are ignored.
+    agreeing positions, 0 without such a label; ``n_candidates`` counts the starts that were verified. A null or empty text has no words and no labels.
+    Repeated rows each get a result; an empty table gives no rows. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    files = written(read_words(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "licence-words")
-    index = spark.createDataFrame(postings(), "word string, label string, place int")
-    # Document frequency over all files: one row per licence word, bounded by the templates.
-    total = F.greatest(F.lit(1), F.sum(F.when(F.col("word").isNull(), F.col("n"))).over(Window.partitionBy(F.lit(0))))
-    counts = files.select(F.explode(F.concat(
-        F.array(F.lit(None).cast("string")), F.array_distinct(F.transform("hits", lambda h: h["word"])))).alias("word"))
-    idf = counts.groupBy("word").agg(F.count("*").alias("n")).select(
-        "word", F.log((total + 1) / (F.col("n") + 0.5)).alias("idf")).where("word is not null")
-    weights = index.join(idf, "word", "left").withColumn("idf", F.coalesce("idf", F.lit(0.0)))
-    # Files without a verified phrase can have no label: nothing of them needs looking up.
-    few = files.where(F.size("verified") > 0).select("row", "verified", F.inline("hits"))
-    matched = few.join(F.broadcast(weights), "word").where(F.array_contains("verified", F.col("label"))).select(
-        "row", "label", "place", "idf", (F.col("at") - F.col("place")).alias("diagonal"))
-    # Diagonals within the slack meet in one of two overlapping bands.
-    banded = matched.select("*", F.explode(F.array(
-        F.floor(F.col("diagonal") / (2 * SLACK)) * 2, F.floor((F.col("diagonal") + SLACK) / (2 * SLACK)) * 2 + 1)).alias("band"))
-    full = weights.groupBy("label").agg(F.sum("idf").alias("full"), F.count("*").alias("n_places"))
-    agreed = banded.groupBy("row", "label", "band").agg(
-        F.collect_set(F.struct("place", "idf")).alias("places"),
-    ).select("row", "label", F.size("places").alias("n"), F.aggregate(
-        F.array_sort("places"), F.lit(0.0), lambda s, p: s + p["idf"]).alias("weight"))
-    needed = F.greatest(F.lit(2), F.ceil(LEAST_SHARE * F.least(F.col("n_places"), F.lit(MOST_PLACES))))
-    given = agreed.join(F.broadcast(full), "label").where(F.col("n") >= needed).groupBy("row").agg(
-        F.collect_set("label").alias("own"), F.max(F.try_divide("weight", "full")).alias("score"))
-    placed = F.flatten(F.array(*(F.col(f"base_{n}") for n in range(len(BASE_PHRASES)))))
-    base = F.array_compact(F.array(*(
-        F.when(F.size(f"base_{n}") > 0, F.lit(label)) for n, label in enumerate(BASE_PHRASES))))
-    joined = files.join(given.withColumnRenamed("row", "given_row"), F.col("row") == F.col("given_row"), "left")
-    return joined.select(
-        F.col("id").alias(id_col), "n_words", F.size(placed).cast("long").alias("n_base"),
-        F.array_min(placed).cast("long").alias("first_word"), F.array_max(placed).cast("long").alias("last_word"),
-        F.array_join(F.sort_array(base), ",").alias("base_labels"),
-        F.array_join(F.sort_array(F.array_union(base, F.coalesce("own", F.array().cast("array<string>")))), ",").alias("labels"),
-        F.least(F.lit(1.0), F.coalesce("score", F.lit(0.0))).alias("score"),
+    idf = inverse_frequencies(docs, text_col)
+    base, known = len(BASE_PHRASES), phrases()
+    files = docs.select(F.col(id_col).alias("id"), words_of(whole(text_col)).alias("words"))
+    files = files.withColumn("candidates", _candidates(F.col("words"), idf))
+    files = files.withColumn("verified", _verified(F.col("words"), F.col("candidates")))
+    stands = lambda number: F.exists("verified", lambda v: v["phrase"] == number)
+    numbers = {label: [i for i, (_, of) in enumerate(known) if of == label] for label in TEMPLATES}
+    files = files.withColumn("own", F.array_compact(F.array(*(
+        F.when(reduce(and_, map(stands, at)), F.lit(label)) for label, at in numbers.items()))))
+    found = F.array_compact(F.array(*(F.when(stands(i), F.lit(label)) for i, label in enumerate(BASE_PHRASES))))
+    places = F.transform(F.filter("verified", lambda v: v["phrase"] < base), lambda v: v["start"])
+    return files.select(
+        F.col("id").alias(id_col), F.size("words").cast("long").alias("n_words"), F.size(places).cast("long").alias("n_base"),
+        F.array_min(places).cast("long").alias("first_word"), F.array_max(places).cast("long").alias("last_word"),
+        F.array_join(F.sort_array(found), ",").alias("base_labels"), F.array_join(F.sort_array(F.array_union(found, F.col("own"))), ",").alias("labels"),
+        F.least(F.lit(1.0), _shares(F.col("words"), F.col("verified"), idf, F.col("own"))).alias("score"),
+        F.size("candidates").cast("long").alias("n_candidates"),
     )

@@ -73,24 +73,65 @@ def licence_base(text):
     return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
 
 
+def plain_licences(texts):
+    """Labels, scores and base places of all files, every phrase compared at every place."""
+    split = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts]
+    idf = lambda w: math.log((len(texts) + 1) / (sum(w in x for x in split) + 0.5))
+    out = []
+    for words in split:
+        at = lambda phrase: [i for i in range(len(words)) if words[i:i + len(phrase)] == phrase]  # noqa: B023, E731
+        labels, score = set(), 0.0
+        for label, (text, keys) in license_scan.TEMPLATES.items():
+            text = text.split()
+            if not all(at(k.split()) for k in keys):
+                continue
+            labels.add(label)
+            rare = [(i, w) for i, w in enumerate(text) if w not in license_scan.COMMON]
+            for key in keys:
+                first = next(i for i in range(len(text)) if text[i:i + len(key.split())] == key.split())
+                for start in at(key.split()):
+                    near = lambda i: words[max(0, start - first + i - license_scan.SLACK):max(0, start - first + i + license_scan.SLACK + 1)]  # noqa: B023, E731
+                    score = max(score, sum(idf(w) for i, w in rare if w in near(i)) / sum(idf(w) for _, w in rare))
+        base = [(i, label) for label, p in license_scan.BASE_PHRASES.items() for i in at(p.split())]
+        labels |= {label for _, label in base}
+        out.append((",".join(sorted(labels)), score))
+    return out
+
+
 def test_licences(spark, odd, none):
     mit = license_scan.TEMPLATES["mit"][0]
     texts = [
         "Under the MIT License. under the mit-license", "under the mit", "CC BY-NC 4.0 cc by nc", "Apache License, Version 2.0",
         f"(c) X\n{mit.capitalize()}!", "Redistribution and use in source and binary forms is fine", "Licensed under the Apache License, Version 2.0",
-        "the software without charge any person permission",
+        "the software without charge any person permission", "This work is licensed under the GNU General Public License, version 3.", "All Rights Reserved",
+        "permission is hereby granted free of charge", "gnu lesser general public license and gnu general public license",
     ]
+    rnd = random.Random(8)
+    pool = [w for t, _ in license_scan.TEMPLATES.values() for w in t.split()]
+    for _ in range(150):  # pieces of licences with words lost, doubled and inserted
+        piece = []
+        for _ in range(rnd.randrange(1, 4)):
+            text = rnd.choice([*license_scan.BASE_PHRASES.values(), *(t for t, _ in license_scan.TEMPLATES.values())]).split()
+            piece += [w for w in text for _ in range(rnd.choice([1] * 40 + [0, 2]))] + [rnd.choice(pool) for _ in range(rnd.randrange(4))]
+        texts.append(" ".join(piece))
     made = spark.createDataFrame([(100 + i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     docs = odd.select("doc_id", "text").union(made)
-    known = {r.doc_id: r.text for r in docs.collect()}
-    rows = {r.doc_id: r for r in license_scan.scan(docs.union(made)).collect()}
-    for i, r in rows.items():
-        assert licence_base(known[i]) == (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels)
-        assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
-    assert [rows[100 + i].labels for i in range(8)] == ["mit", "", "cc-by-nc", "apache-2", "mit", "bsd", "apache-2", ""]
-    assert rows[104].score > 0.8  # the rarest words only are looked up
+    rows = docs.collect()
+    got = {r.doc_id: r for r in license_scan.scan(docs).collect()}
+    for row, (labels, score) in zip(rows, plain_licences([r.text for r in rows]), strict=True):
+        r = got[row.doc_id]
+        assert licence_base(row.text) == (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels)
+        assert r.labels == labels and abs(r.score - score) < 1e-9, row.text
+    assert [got[100 + i].labels for i in range(12)] == [
+        "mit", "", "cc-by-nc", "apache-2", "mit", "bsd", "apache-2", "", "gpl", "all-rights-reserved", "", "gpl,lgpl"]
+    assert got[104].score == 1
+    # The index rejects scattered words; verification rejects what agrees but for one word.
+    assert got[107].n_candidates == 0
+    near = spark.createDataFrame([(1, "license mit is under"), (2, "under a mit license"), (3, "gnu general common license")], "doc_id long, text string")
+    assert {r.doc_id: (r.n_candidates > 0, r.labels) for r in license_scan.scan(near.union(made)).where("doc_id < 10").collect()} == {
+        1: (False, ""), 2: (True, ""), 3: (True, "")}
     assert license_scan.scan(none).count() == 0
-    assert license_scan.scan(odd).count() == odd.count()
+    assert license_scan.scan(docs.union(docs)).count() == 2 * len(rows)
 
 
 def test_shards_are_even_gapless_and_stable(spark, odd, none):
