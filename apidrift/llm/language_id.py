@@ -7,7 +7,8 @@
   rows is learned from all of them. What a language has not been seen with gets the share of first occurrences in its text;
 * background: text of no language, all trigrams alike. Its posterior counts against that of the languages, so that
   a text whose trigrams no language has is rejected;
-* declared language: how often each declaration meets each language by text, over all rows;
+* declared language: how often each declaration meets each language by text, over all rows. Only a declaration whose primary subtag has two
+  letters is one (``en`` of ``en-GB``), so there are 676 at most; any other string counts as none;
 * host: language counts by host over all rows, smoothed towards those of the host's address suffix,
   which are smoothed towards those of the whole table.
 
@@ -40,8 +41,9 @@ TEMPER = 0.2
 SMOOTHING = 10.0
 #: Least posterior of a row that is kept, and least number of letters.
 LEAST_POSTERIOR, LEAST_LETTERS = 0.6, 3
-#: Parts that a hot declaration is dealt to when the small table of declarations is joined.
-SALTS = 16
+#: Parts that a hot declaration or host is dealt to when the small table of declarations or hosts is joined; a host is hot
+#: from this share of all rows on, so there are no more of them than its inverse.
+SALTS, HOT_SHARE = 16, 0.001
 
 #: Log-probability of each trigram in the background.
 UNIFORM = -BITS * float(np.log(2))
@@ -204,7 +206,8 @@ def identify(rows: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
     get a result; an empty table gives no rows. Other columns are ignored.
     """
     small_batches(rows.sparkSession)
-    rows = rows.select(*keys, whole("text").alias("text"), "declared", "suffix", "host")
+    subtag = F.regexp_extract(F.lower(F.trim("declared")), "^([a-z]{2})(?:[-_].*)?$", 1)
+    rows = rows.select(*keys, whole("text").alias("text"), F.when(subtag != "", subtag).alias("declared"), "suffix", "host")
     model = fit(rows, keys)
     langs, n = model.langs, len(model.langs)
     if not n:
@@ -219,15 +222,20 @@ def identify(rows: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
     overall = F.array(*(F.lit((seen[i] + 1) / (total + n)) for i in range(n)))
     suffixes = _by_language(scored, "suffix", n, "s").select("s_key", _smoothed(F.col("s"), overall).alias("s"))
     hosts = _by_language(scored, "host", n, "h")
+    hot = [r["host"] for r in scored.groupBy("host").agg(F.count("*").alias("n")).where(
+        (F.col("n") >= HOT_SHARE * (total + 1)) & F.col("host").isNotNull()).orderBy(F.desc("n")).limit(int(1 / HOT_SHARE)).collect()]
+    dealt = lambda key: F.col(key).isin(hot) if hot else F.lit(False)
     hosts = hosts.join(suffixes, F.col("h_suffix") == F.col("s_key"), "left").select(
-        "h_key", _smoothed(F.col("h"), F.coalesce("s", overall)).alias("h"))
+        "h_key", _smoothed(F.col("h"), F.coalesce("s", overall)).alias("h"),
+        F.explode(F.when(dealt("h_key"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("h_salt"))
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     declared = _by_language(scored, "declared", n, "d")
     kinds = declared.count()
     spoken = declared.select("d_key", F.transform("d", lambda c, i: F.log(
         (c + 1) / (F.get(F.array(*(F.lit(float(seen[j])) for j in range(n))), i) + kinds))).alias("d"),
         F.log((F.aggregate("d", F.lit(0.0), lambda a, c: a + c) + 1) / (total + kinds)).alias("d_noise"), salts.alias("d_salt"))
-    fused = scored.join(hosts, F.col("host") == F.col("h_key"), "left").join(
+    host_salt = F.when(dealt("host"), F.col("salt")).otherwise(0)
+    fused = scored.join(hosts, (F.col("host") == F.col("h_key")) & (host_salt == F.col("h_salt")), "left").join(
         spoken, (F.col("declared") == F.col("d_key")) & (F.col("salt") == F.col("d_salt")), "left",
     )
     none = F.transform("scores", lambda _: F.lit(0.0))
