@@ -8,6 +8,9 @@ front of the interval. The capacities add up to the number of rows and differ by
 so shard counts do as well (law ``rows``), while a key moves only if its arc changes hands or
 an interval border passes over it.
 
+Law ``rows`` bounds counts, so equal texts cannot always share a shard (a third of all rows may be one text); they are placed by
+their own keys, as all rows are.
+
 The ring is cut into cells (high bits of the hash). Counts per cell, nodes and the pieces
 of cells that go to one shard are tables bounded by ``cells + 2 * shards * virtual_nodes`` rows, whatever
 the input; the piece table is broadcast for that reason. Rows are ranked within their cell.
@@ -20,8 +23,9 @@ from pyspark.sql import functions as F
 
 from apidrift.llm.tables import whole
 
-#: High bits of a hash that name its cell: 4096 cells.
-CELL_BITS = 12
+#: High bits of a hash that name its cell: 12 at least, more for more than so many rows a cell, 20 at most (the table of
+#: pieces is broadcast: about 40 MB then, and cells of 10^11 rows hold 100,000 each).
+LEAST_BITS, MOST_BITS, CELL_ROWS = 12, 20, 1 << 16
 
 
 def shard(
@@ -30,26 +34,28 @@ def shard(
     """One row per input row: id, size, text_crc32, law, shard, slot, grown_shard, home_shard.
 
     ``home_shard`` is the ring's own choice before loads are bounded; rows with another ``shard``
-    overflowed. A null text has size 1 and the checksum of the empty text. A null id is hashed like a value
-    of its own. Repeated rows are placed one by one (ties in the ring order take any order:
+    overflowed. A null text has size 1 and the checksum of the empty text. A row without id is hashed by its
+    text's checksum. Repeated rows are placed one by one (ties in the ring order take any order:
     such rows are equal in every returned column but shard and slot). An empty table gives no rows. Other
     columns are ignored.
     """
     if shards < 1 or virtual_nodes < 1:
         raise ValueError("shards and virtual_nodes must be positive")
     spark = docs.sparkSession
+    bits = max(LEAST_BITS, min(MOST_BITS, (docs.count() // CELL_ROWS).bit_length()))
     keys = docs.select(
         F.col(id_col).alias("key"),
         (F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(whole(text_col)).alias("crc"),
-        F.xxhash64(F.lit("key"), F.col(id_col)).alias("point"),
-    ).withColumn("cell", F.shiftrightunsigned("point", 64 - CELL_BITS).cast("int"))
+        F.when(F.col(id_col).isNull(), F.xxhash64(F.lit("none"), F.crc32(whole(text_col)))).otherwise(
+            F.xxhash64(F.lit("key"), F.col(id_col))).alias("point"),
+    ).withColumn("cell", F.shiftrightunsigned("point", 64 - bits).cast("int"))
 
     counts = keys.groupBy("cell").agg(F.count("*").alias("n"))
     # A node's id holds its shard, so it keeps its place when shards are added.
     nodes = spark.range(shards * virtual_nodes).select(
         F.floor(F.col("id") / virtual_nodes).cast("int").alias("shard"), F.xxhash64(F.lit("node"), "id").alias("point"),
-    ).withColumn("cell", F.shiftrightunsigned("point", 64 - CELL_BITS).cast("int"))
+    ).withColumn("cell", F.shiftrightunsigned("point", 64 - bits).cast("int"))
     pieces = _pieces(_walk(counts, nodes, shards), counts)
 
     rank = F.row_number().over(Window.partitionBy("cell").orderBy("point", "key", "crc", "size")) - 1
