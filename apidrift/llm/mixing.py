@@ -32,12 +32,10 @@ TRAIN_ROWS = 8_000
 BITS = 16
 EPOCHS, LEARNING_RATE, DECAY = 60, 0.05, 1e-3
 RIDGE = 1e-3
-#: The solver stops at this relative miss of the targets, or after so many steps.
-TOLERANCE, MOST_STEPS = 2e-3, 60
+#: The solver stops at this relative miss of the targets, or after so many steps; ``target_miss`` tells what was reached.
+TOLERANCE, MOST_STEPS = 2e-3, 200
 #: Words whose bucket a task remembers.
 KNOWN_WORDS = 100_000
-#: No document is repeated more often.
-MOST_COPIES = 8.0
 
 _SYMBOLS = re.compile(rb"[#*$%&|<>]")
 _SPLIT = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -125,6 +123,8 @@ def fit(docs: DataFrame, domains: DataFrame, id_col: str, text_col: str) -> tupl
     texts = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
     sample = texts.join(F.broadcast(chosen), F.col("id") == F.col("label_id")).select("id", "text", "domain").mapInArrow(
         frugal(extract), f"id {kind}, at array<int>, domain string")
+    # An id may stand at several rows, however many: one of them is enough, and only one leaves its task.
+    sample = sample.groupBy("id", "domain").agg(F.min("at").alias("at"))
     held = sorted(sample.toArrow().to_pylist(), key=lambda r: (str(r["id"]), r["domain"], r["at"]))
     names = sorted({r["domain"] for r in held})
     if not held:
@@ -137,7 +137,7 @@ def _replay(p: np.ndarray, history: list[list[float]]) -> tuple[np.ndarray, np.n
     """Rates and the accelerated point after the recorded steps; a step's residuals are all it needs."""
     rate = ahead = np.ones(len(p))
     for i, pull in enumerate(history):
-        new = np.clip(ahead - (p @ np.array(pull) + RIDGE * (ahead - 1)) / (1 + RIDGE), 0, MOST_COPIES)
+        new = np.maximum(ahead - (p @ np.array(pull) + RIDGE * (ahead - 1)) / (1 + RIDGE), 0)
         ahead = new + i / (i + 3) * (new - rate)
         rate = new
     return rate, ahead
@@ -163,13 +163,14 @@ def mix(
     docs: DataFrame, domains: DataFrame, targets: Mapping[str, float], headroom: float = 1.0, id_col: str = "doc_id", text_col: str = "text",
     anchor: str | None = None, row_col: str | None = None,
 ) -> DataFrame:
-    """One row per input row: id, n_tokens (words), posteriors (map by domain), rate, copies; and ``row_col``, if one is named.
+    """One row per input row: id, n_tokens (words), posteriors (map by domain), rate, copies, target_miss; and ``row_col``, if one is named.
 
     ``domains`` is the labelled table (id, domain); ``targets`` weighs its domains, the missing ones with 0. The wanted total
     is ``headroom`` times the largest that no domain has to be repeated for. With an ``anchor`` it is ``headroom`` times the total for
     which that domain is used once: the others are wanted at their weight, or as a whole where they have less, and if no label names
     the anchor all rates are 1. A null or empty text has no tokens and bears on no total;
-    it gets the rate of its posteriors. Without labelled documents all rates are 1 and posteriors null. Repeated
+    it gets the rate of its posteriors. ``target_miss`` (the same in all rows) is the largest miss of a wanted domain total at the rates, relative to the
+    largest total: above ``TOLERANCE`` the targets cannot be met with nonnegative rates, or not in ``MOST_STEPS`` steps. Without labelled documents all rates are 1 and posteriors null. Repeated
     rows each get a result; an empty table gives no rows. Other columns are ignored.
     """
     small_batches(docs.sparkSession)
@@ -194,9 +195,9 @@ def mix(
     if not model:
         return scored.select(
             F.col("id").alias(id_col), F.col("n").alias("n_tokens"), F.lit(None).cast("map<string,double>").alias("posteriors"),
-            F.lit(1.0).alias("rate"), F.lit(1).alias("copies"), *named)
+            F.lit(1.0).alias("rate"), F.lit(1).alias("copies"), F.lit(0.0).alias("target_miss"), *named)
     scored = written(scored, "posteriors")
-    history = solve(scored, names, targets, headroom, anchor)
+    history, miss = solve(scored, names, targets, headroom, anchor)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,26 +207,26 @@ def mix(
     rated = scored.mapInArrow(frugal(rate), f"id {kind}, n long, p array<double>{own_type}, rate double")
     return rated.select(
         F.col("id").alias(id_col), F.col("n").alias("n_tokens"),
-        F.map_from_arrays(F.array(*map(F.lit, names)), "p").alias("posteriors"), "rate", _rounded(F.col("rate"), F.col("id")).alias("copies"), *named)
+        F.map_from_arrays(F.array(*map(F.lit, names)), "p").alias("posteriors"), "rate", _rounded(F.col("rate"), "id", "n", "p").alias("copies"), F.lit(miss).alias("target_miss"), *named)
 
 
 def solve(
     scored: DataFrame, names: list[str], targets: Mapping[str, float], headroom: float, anchor: str | None = None,
-) -> list[list[float]]:
-    """Residual history of the accelerated projected gradient over documents (n, p)."""
+) -> tuple[list[list[float]], float]:
+    """Residual history of the accelerated projected gradient over documents (n, p), and the relative miss it leaves."""
     k = len(names)
     weights = np.array([targets.get(name, 0.0) for name in names])
     now, _ = _totals(scored, k, [])
     total = now.sum()
     if not weights.sum() or not total:
-        return []
+        return [], 0.0
     weights = weights / weights.sum()
     share = np.maximum(now / total, 1e-9)
     some = weights > 0
     if anchor is None:
         want = headroom * weights * (share[some] / weights[some]).min()
     elif anchor not in names or not targets.get(anchor):
-        return []
+        return [], 0.0
     else:
         of = names.index(anchor)
         want = headroom * weights * share[of] / weights[of]
@@ -235,12 +236,13 @@ def solve(
     for _ in range(MOST_STEPS):
         history.append(((ahead - want) / share).tolist())
         at, ahead = (x / total for x in _totals(scored, k, history))
-        if np.abs(at - want).max() <= TOLERANCE * want.max():
+        miss = float(np.abs(at - want).max() / want.max())
+        if miss <= TOLERANCE:
             break
-    return history
+    return history, miss
 
 
-def _rounded(rate: Column, key: Column) -> Column:
+def _rounded(rate: Column, *key: str) -> Column:
     """Rate rounded up with the probability of its fraction, by the hash of the key."""
-    chance = F.shiftrightunsigned(F.xxhash64(F.lit("mix"), key), 11) / float(1 << 53)
+    chance = F.shiftrightunsigned(F.xxhash64(F.lit("mix"), *key), 11) / float(1 << 53)
     return (F.floor(rate) + (chance < rate - F.floor(rate)).cast("int")).cast("int")
