@@ -5,11 +5,11 @@
 2. Each of a number of independent trees branches the classes: at a node a class goes to the children of the minwise tokens (coordinate, value)
    whose hash with the node falls below 1 / (similarity x coordinates), one and a quarter on average. Similar classes keep meeting, others part.
    Trees are as many as the target recall needs, by the branching process of a pair exactly at the threshold.
-3. A node of up to ``SMALL`` classes is compared exhaustively; larger ones branch again. What still is large
-   after ``MOST_LEVELS`` (a dense family without links) is compared in pairs of blocks, so nothing is left out.
-4. No node emits all its pairs. First each class meets only the node's leader; verified links give components, and from
-   then on only classes of different components are compared, first the best pair of each class (twice), then
-   all that are left. A family of near copies is one component after its first node.
+3. No node emits all its pairs. First each class meets only the leader of each of its first nodes; verified links give components, and from
+   then on only nodes with several components count. A family of near copies is one component by then.
+4. A node of up to ``SMALL`` classes is compared exhaustively, across components; larger ones branch again. What still is large
+   after ``MOST_LEVELS`` (a dense family without links) is compared in pairs of blocks, so nothing is left out. Of all
+   these pairs the best one of each class is verified first (twice), then all whose components still differ.
 5. Sketches only propose (similarity less five standard deviations); every link is confirmed on full sets.
 
 Node tables hold keys and digests only. Node sizes, leaders and labels come from aggregates that combine before their shuffle, so a
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +30,11 @@ from pyspark.sql import functions as F
 
 from apidrift.llm.components import components
 from apidrift.llm.jaccard_join import _mixed, _Words, shingle_set
-from apidrift.llm.tables import slices, small_batches, whole, written
+from apidrift.llm.tables import frugal, slices, small_batches, whole, written
 
 COORDINATES = 128
 #: Classes of a node that are compared exhaustively, and levels after which larger nodes are compared in blocks.
-SMALL, MOST_LEVELS = 256, 12
+SMALL, MOST_LEVELS = 1024, 12
 #: Recall that the trees aim at for a pair at the threshold that parts only after so many levels.
 TARGET_RECALL, TARGET_LEVELS = 0.9995, 3
 #: Standard deviations of the agreement of two sketches by which a proposed pair may fall below the threshold.
@@ -182,7 +183,7 @@ class _Join:
             return
         # An id may stand at several texts; what counts is the digest.
         texts = self.texts.join(needed.select(F.col("class_id").alias("of")), F.col("id") == F.col("of"), "left_semi").select("text")
-        found = texts.mapInArrow(_full_sets(self.width), "digest binary, tokens array<long>")
+        found = texts.mapInArrow(frugal(_full_sets(self.width)), "digest binary, tokens array<long>")
         found = written(found.join(needed.select("digest"), "digest", "left_semi"), "path-sets")
         self.sets = found if self.sets is None else self.sets.union(found)
 
@@ -208,7 +209,7 @@ class _Join:
 
     def mixed(self, members: DataFrame, name: str) -> DataFrame:
         """Members of nodes with several components."""
-        named = self.labelled(members)
+        named = self.labelled(members.drop("label"))
         several = named.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("node")
         return written(named.join(several, "node"), name)
 
@@ -217,7 +218,7 @@ class _Join:
         pairs = members.where(F.col("digest") != F.col("leader")).select(F.col("digest").alias("u"), F.col("leader").alias("v")).distinct()
         with_sketches = pairs.join(self.short.select(F.col("digest").alias("u"), F.col("short").alias("su")), "u").join(
             self.short.select(F.col("digest").alias("v"), F.col("short").alias("sv")), "v")
-        self.verify(with_sketches.mapInArrow(_agreeing(self.least), "u binary, v binary"), "path-stars")
+        self.verify(with_sketches.mapInArrow(frugal(_agreeing(self.least)), "u binary, v binary"), "path-stars")
 
     def exhaust(self, members: DataFrame) -> None:
         """All pairs of different components within the nodes; before that each class's best pair, twice, so that few are left."""
@@ -226,7 +227,7 @@ class _Join:
             if members.isEmpty():
                 return
             dealt = members.join(self.short, "digest").select("node", "digest", "label", "short").repartition("node").sortWithinPartitions("node")
-            self.verify(dealt.mapInArrow(_compared(self.least, all_pairs), "u binary, v binary"), "path-pairs")
+            self.verify(dealt.mapInArrow(frugal(_compared(self.least, all_pairs)), "u binary, v binary"), "path-pairs")
 
 
 def _in_blocks(members: DataFrame, small: int) -> DataFrame:
@@ -252,28 +253,33 @@ def near_duplicates(
     small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     texts = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
-    rows = written(texts.mapInArrow(_sketches(width), f"id {kind}, n long, digest binary, sketch binary, short binary"), "path-sketches")
+    rows = written(texts.mapInArrow(frugal(_sketches(width)), f"id {kind}, n long, digest binary, sketch binary, short binary"), "path-sketches")
     classes = written(rows.where("n > 0").groupBy("digest").agg(
         F.min("id").alias("class_id"), F.first("sketch").alias("sketch"), F.first("short").alias("short")), "path-classes")
     state = _Join(texts, classes, width, percent)
     linkable = classes.where("class_id is not null")
     trees = trees_for(TARGET_RECALL, TARGET_LEVELS)
-    nodes = linkable.select("digest", "sketch").mapInArrow(_children(percent / 100, trees), "node long, digest binary")
+    nodes = linkable.select("digest", "sketch").mapInArrow(frugal(_children(percent / 100, trees)), "node long, digest binary")
+    held_in = []  # nodes that are small enough, of all levels
     for level in range(levels + 1):
         nodes = written(nodes, "path-nodes")
         met = nodes.groupBy("node").agg(F.count("*").alias("held"), F.min("digest").alias("leader")).where("held > 1")
-        members = written(nodes.join(met, "node"), "path-members")
-        state.stars(members)
-        several = state.mixed(members.where("held > 2"), "path-several")
-        state.exhaust(several.where(F.col("held") <= small))
+        members = nodes.join(met, "node")
+        if not level:
+            members = written(members, "path-members")
+            state.stars(members)
+            members = members.where("held > 2")
+        several = state.mixed(members, "path-several")
+        held_in.append(several.where(F.col("held") <= small).select("node", "digest"))
         large = several.where(F.col("held") > small)
         if large.isEmpty():
             break
         if level == levels:
-            state.exhaust(_in_blocks(large, small))
+            held_in.append(_in_blocks(large, small))
             break
         nodes = large.select("node", "digest").join(classes.select("digest", "sketch"), "digest").mapInArrow(
-            _children(percent / 100, None), "node long, digest binary")
+            frugal(_children(percent / 100, None)), "node long, digest binary")
+    state.exhaust(reduce(DataFrame.union, held_in))
     named = state.labelled(classes.select("digest", "class_id"))
     least = named.groupBy("label").agg(F.min("class_id").alias("component"))
     known = named.join(least, "label").select(F.col("digest").alias("of"), "class_id", "component")

@@ -86,7 +86,7 @@ def test_odd_tables(spark, odd, none):
     assert result(near_duplicates(odd)) == plain(rows, 4, 80)
     assert near_duplicates(none).count() == 0
     assert result(near_duplicates(odd.union(odd))) == plain(rows + rows, 4, 80)
-    unknown = spark.createDataFrame([(None, "a b c d e"), (5, "a b c d e"), (None, "x"), (7, "y y y"), (7, "z z z z z")], "doc_id long, text string")
+    unknown = spark.createDataFrame([(None, "a b c d e"), (5, "a b c d e"), (None, "x"), (7, "y y y"), (7, "z y z z w")], "doc_id long, text string")
     got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(unknown).collect()}
     assert got == {(None, 2, 5, False), (5, 2, 5, True), (None, 1, None, True), (7, 1, 7, True), (7, 2, 7, True)}
 
