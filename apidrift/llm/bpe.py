@@ -262,7 +262,7 @@ def _run(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, measu
     rows = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, -(-size // BUCKET_BYTES))
-    blocks = written_by(rows.mapInArrow(frugal(_blocks(vocabulary, buckets, kind)), BLOCK_SCHEMA.format(kind=kind)), "word-blocks", "block")
+    blocks = written_by(rows.mapInArrow(frugal(_blocks(vocabulary, buckets, kind)), BLOCK_SCHEMA.format(kind=kind)), "word-blocks", "block", size)
     encoded = blocks.where("kind = 1").select("block", "bucket", "codes", "words").groupBy("bucket").applyInArrow(
         frugal_groups(_encoder(vocabulary)), "block string, codes binary, counts binary, flat binary")
     held = blocks.where("kind = 0").select("block", "ids", "lengths", "codes")

@@ -12,7 +12,8 @@ Two sets link when their intersection is at least ``percent`` % of their union.
    elements are counted exactly and ordered rarest first, and lists are kept for the prefix a partner must hit. Larger
    sets probe, smaller ones are found in their shorter indexing prefix.
 4. A list does not emit all its pairs. Each set is verified against the list's leader (the set with the
-   fewest elements of its own); sets that link to the same leader need no test among themselves. Pairs across leaders
+   fewest elements of its own). Verified links make components, and sets of one component need no test among themselves. Then the
+   sets of a list's smaller components meet one set of its largest, ``MEETINGS`` times. Pairs across components that are left then
    are all verified. Sizes and positions prune pairs that cannot reach the threshold.
 
 Element counts come from blocks: a block (at most ``BLOCK_BYTES`` of text) sends each distinct element once, and gets its count
@@ -44,6 +45,8 @@ SHORT_BITS = 48
 BUCKET_BYTES, LEAST_BUCKETS = 16 << 20, 64
 #: Bytes of text of a block.
 BLOCK_BYTES = 4 << 20
+#: How often the smaller components of a list meet a set of its largest.
+MEETINGS = 2
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -267,10 +270,10 @@ def _heavy_links(sets: DataFrame, percent: int) -> DataFrame:
     stars = lists.join(leaders, F.col("token") == F.col("of")).where(
         (F.col("id") != F.col("lead")) & _may_link(F.col("n"), F.col("lead_n"), F.col("pos"), F.col("lead_pos"), percent),
     ).select(F.col("id").alias("u"), F.col("lead").alias("v")).distinct()
-    star_links = written(_verified(stars, sets, percent), "star-links")
-    label = star_links.groupBy(F.col("u").alias("labelled")).agg(F.min("v").alias("label"))
-    named = lists.join(label, F.col("id") == F.col("labelled"), "left").select(
-        "token", "id", "n", "pos", "indexed", F.coalesce("label", "id").alias("label"))
+    links = written(_verified(stars, sets, percent), "star-links")
+    for turn in range(MEETINGS):
+        links = written(_components_of(links).select("u", "v").union(_meetings(lists, links, sets, percent, turn)), "met-links")
+    named = _named(lists, links)
     mixed = named.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select(
         F.col("token").alias("of"))
     # The largest partner that the elements from this position on leave possible.
@@ -285,7 +288,35 @@ def _heavy_links(sets: DataFrame, percent: int) -> DataFrame:
     pairs = apart.join(ones, ["token", "lp"]).join(others, ["token", "li"]).where(
         (F.col("un") >= F.col("vn")) & _may_link(F.col("un"), F.col("vn"), F.col("up"), F.col("vp"), percent),
     ).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    return star_links.union(_verified(pairs, sets, percent))
+    return links.union(_verified(pairs, sets, percent))
+
+
+def _components_of(links: DataFrame) -> DataFrame:
+    """Each set's link to the smallest of its component: as good as the links themselves."""
+    return components(links).where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
+
+
+def _named(lists: DataFrame, links: DataFrame) -> DataFrame:
+    """Lists with the component of each set."""
+    label = components(links).select(F.col("node").alias("labelled"), F.col("component").alias("label"))
+    return lists.join(label, F.col("id") == F.col("labelled"), "left").select(
+        "token", "id", "n", "pos", "indexed", F.coalesce("label", "id").alias("label"))
+
+
+def _meetings(lists: DataFrame, links: DataFrame, sets: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Verified links between the sets of a list's smaller components and one set of its largest, another one every turn.
+
+    A set meets as many members of a large family as it has lists, so few sets of a family are left outside.
+    """
+    named = written(_named(lists, links), "named-lists")
+    held = named.groupBy("token", "label").agg(
+        F.count("*").alias("held"), F.min_by(F.struct("id", "n"), F.xxhash64(F.lit(turn), "token", "id")).alias("one"))
+    largest = held.groupBy("token").agg(F.max(F.struct("held", "label", "one")).alias("top"), F.count("*").alias("labels")).where("labels > 1").select(
+        F.col("token").alias("of"), F.col("top.label").alias("most"), F.col("top.one.id").alias("v"), F.col("top.one.n").alias("vn"))
+    fits = 100 * F.least("n", "vn") >= percent * F.greatest("n", "vn")
+    pairs = named.join(largest, F.col("token") == F.col("of")).where((F.col("label") != F.col("most")) & fits).select(
+        F.col("id").alias("u"), "v").distinct()
+    return _verified(pairs, sets, percent)
 
 
 def link_groups(
@@ -311,7 +342,7 @@ def link_groups(
     def head(s: np.ndarray) -> np.ndarray:
         return s[:2 * rule.prefix(len(s)) - 1]
 
-    blocks = written_by(texts.mapInArrow(frugal(_blocks(width, head, buckets, SHORT_BITS, LIGHT_MOST)), block_schema), "shingle-heads", "block")
+    blocks = written_by(texts.mapInArrow(frugal(_blocks(width, head, buckets, SHORT_BITS, LIGHT_MOST)), block_schema), "shingle-heads", "block", size)
     rows = blocks.where("kind = 0").select(F.explode(F.arrays_zip("ids", "sizes", "digests", "small")).alias("x")).select(
         F.col("x.ids").alias("id"), F.col("x.sizes").alias("n"), F.col("x.digests").alias("digest"), F.col("x.small").alias("small"))
     classes = written(rows.where("n > 0").groupBy("digest").agg(
@@ -330,7 +361,7 @@ def link_groups(
     heavy = written(classes.join(linkable, F.col("class_id") == F.col("linkable"), "left_semi").select(
         F.col("class_id").alias("heavy_id")), "heavy-sets")
     full = texts.join(heavy, F.col("id") == F.col("heavy_id"), "left_semi")
-    full_blocks = written_by(full.mapInArrow(frugal(_blocks(width, lambda s: s, buckets, 64, 2**31)), block_schema), "shingle-sets", "block")
+    full_blocks = written_by(full.mapInArrow(frugal(_blocks(width, lambda s: s, buckets, 64, 2**31)), block_schema), "shingle-sets", "block", size)
 
     def ordered(found: list, id_type: pa.DataType) -> pa.Table:
         """Sets with enough shared elements, rarest element first."""

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 BLANKS = " \t\n\x0b\f\r"
 #: Bytes of an Arrow batch of texts.
 BATCH_BYTES = 8 << 20
+#: Bytes of text behind one bucket of a bucketed table.
+BUCKET_TEXT = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,14 +59,16 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
-def written_by(frame: DataFrame, name: str, key: str) -> DataFrame:
+def written_by(frame: DataFrame, name: str, key: str, size: int = 0) -> DataFrame:
     """Like ``written``, bucketed by a key: what groups by the key afterwards needs no shuffle of this table.
 
-    The table is external, in the shared folder, under a name of its own in the session's catalog.
+    Buckets are not split later on, so their number follows ``size``, the bytes of text behind the table (``BUCKET_TEXT`` each), up
+    to what Spark permits. The table is external, in the shared folder, under a name of its own in the session's catalog.
     """
     spark = frame.sparkSession
     unique = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
-    buckets = min(int(spark.conf.get(f"spark.sql.{limit}")) for limit in ("shuffle.partitions", "sources.bucketing.maxBuckets"))
+    least, most = (int(spark.conf.get(f"spark.sql.{limit}")) for limit in ("shuffle.partitions", "sources.bucketing.maxBuckets"))
+    buckets = min(most, max(least, -(-size // BUCKET_TEXT)))
     frame.write.format("parquet").bucketBy(buckets, key).options(**_PARQUET).option(
         "path", f"{shared_folder(spark).rstrip('/')}/{unique}").saveAsTable(unique)
     return spark.table(unique)

@@ -117,6 +117,26 @@ def test_groups_match_brute_force(spark):
         assert len({c for _, c in want.values()}) < len(rows) - 100
 
 
+def test_template_pages_verify_few_pairs(spark, monkeypatch):
+    """400 pages of one template, most pairs just below the threshold."""
+    from apidrift.llm import jaccard_join
+
+    rnd = random.Random(5)
+    fixed = [[f"f{b}x{i}" for i in range(20)] for b in range(30)]
+    rows = [(i, " ".join(" ".join([*block, rnd.choice("abc")]) for block in fixed)) for i in range(400)]
+    asked = []
+    verified = jaccard_join._verified
+
+    def counted(pairs, sets, percent):
+        asked.append(pairs.count())
+        return verified(pairs, sets, percent)
+
+    monkeypatch.setattr(jaccard_join, "_verified", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in link_groups(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80).collect()}
+    assert got == groups_of(rows, 4, 80)
+    assert sum(asked) < 400 * 399 / 2 / 4
+
+
 def test_groups_of_odd_tables(spark, odd, none):
     out = {r.doc_id: r for r in link_groups(odd).collect()}
     assert {i: out[i].component_id for i in (0, 1, 2, 3, 4, 5, 6)} == {0: 0, 1: 1, 2: 2, 3: 3, 4: 3, 5: 5, 6: 5}
