@@ -23,9 +23,3 @@ def version_key(version) -> Column:
 
 def is_version(version) -> Column:
     return _col(version).rlike(r"^\d+\.\d+\.\d+\z")
-
-
-def fuzzy_match(query, available) -> Column:
-    """One string is a prefix of the other."""
-    q, v = _col(query), _col(available)
-    return v.startswith(q) | q.startswith(v)
