@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,23 +20,27 @@ def session(master: str = "local[*]", name: str = "apidrift", **conf: str) -> Sp
     return builder.getOrCreate()
 
 
-def settled(frame: DataFrame) -> DataFrame:
-    """Cut the lineage of a table that is read several times.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    The copy goes to the shared folder the cluster names in ``spark.checkpoint.dir``, so
-    it outlives executors. In local mode without that setting a scratch folder is made;
-    a cluster must name one.
+    A local session without that setting gets a scratch folder; a cluster must name one.
     """
-    spark = frame.sparkSession
-    context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None and context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="apidrift-"))
-    elif context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return frame.checkpoint()
+        folder = tempfile.mkdtemp(prefix="apidrift-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def settled(frame: DataFrame) -> DataFrame:
+    """Cut the lineage of a table that is read several times: written as Parquet to the shared folder and
+    read back, so it outlives executors and later plans start from its files."""
+    spark = frame.sparkSession
+    path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
 
 
 def text_partitions(files: DataFrame) -> int:
