@@ -29,6 +29,8 @@ z     like ``h``; the text differs if ``txt`` is not what ``src`` spans
 
 from __future__ import annotations
 
+from apidrift.operators.rulebook import OPERATIONS
+
 EDIT_TYPE = "struct<k:string,pos:int,end:int,o:int,m:int,c:boolean,txt:string,src:array<int>>"
 NONE = f"cast(array() as array<{EDIT_TYPE}>)"
 LATEST = 2147483647
@@ -83,8 +85,21 @@ def name_edits() -> str:
     return f"concat(array({t}), transform(hits, v -> {h}))"
 
 
+_ARG = "named_struct('s', a.s, 'e', a.e, 'kw', {kw}, 'dead', {dead}, 'h', {h}, 're', {re})"
+
+
+def drop_argument(name: str = "r.b") -> str:
+    """The arguments of a call without that keyword."""
+    return f"transform(s.args, a -> if(a.dead is null and a.kw = {name}, {_ARG.format(kw='a.kw', dead='r.o', h='a.h', re='a.re')}, a))"
+
+
+def append_argument(name: str = "r.b", tokens: str = "r.toks") -> str:
+    """The arguments to add to a call, with one more keyword."""
+    return f"array_append(filter(s.add, d -> d.kw <> {name}), named_struct('kw', {name}, 'toks', {tokens}))"
+
+
 def call_edits() -> str:
-    """Calls: added, removed and renamed keyword arguments, properties, deprecation."""
+    """Calls: added, removed and renamed keyword arguments, properties, deprecation, registered operations."""
     args = f"""
       filter(transform(filter(rows, x -> x.tok <> ')'), (x, i) -> named_struct(
                's', x.pos + 1, 'e', rows[i + 1].pos - 1,
@@ -103,7 +118,11 @@ def call_edits() -> str:
     )
     marks = f"({mine} and ok and r.op = 'deprecate')"
     cal_hit = f"(r.a = s.cal and ({_REN} or (attr and {_ATTR})))"
-    arg = "named_struct('s', a.s, 'e', a.e, 'kw', {kw}, 'dead', {dead}, 'h', {h}, 're', {re})"
+    arg = _ARG
+    own = {name: f"({mine} and r.op = '{name}' and {operation.acts})" for name, operation in OPERATIONS.items()}
+    result = lambda part: " ".join(
+        f"when {own[name]} then {value}" for name, operation in OPERATIONS.items() if (value := getattr(operation, part)))
+    noted = " ".join(f"when {acts} then array_append(s.ev, {_event('r.o', '1', 'true')})" for acts in own.values())
     add_hits = (
         f"aggregate(s.add, 0, (n, d) -> n + if({_REN} and d.kw = r.a, 1, 0) + {_rename_count('d.toks')})"
     )
@@ -113,11 +132,11 @@ def call_edits() -> str:
                      'add', cast(array() as array<struct<kw:string,toks:array<string>>>),
                      'ev', {_EVENTS}, 'dep', cast(array() as array<struct<o:int,t:string>>)),
         (s, r) -> named_struct(
-          'cal', if({cal_hit} or {prop}, r.b, s.cal),
+          'cal', case {result('callee')} when {cal_hit} or {prop} then r.b else s.cal end,
           'ch', if({cal_hit}, array_append(s.ch, r.o), s.ch),
           'live', s.live and not {prop},
           'p', if({prop}, r.o, s.p),
-          'args', case
+          'args', case {result('args')}
              when {_REN} then transform(s.args, a -> if(a.dead is null and a.kw = r.a,
                {arg.format(kw='r.b', dead='a.dead', h='array_append(a.h, r.o)', re='a.re')}, a))
              when {drops} then transform(s.args, a -> if(a.dead is null and a.kw = r.b,
@@ -125,7 +144,7 @@ def call_edits() -> str:
              when {moves} then transform(s.args, a -> if(a.dead is null and a.kw = r.b,
                {arg.format(kw='r.c', dead='a.dead', h='a.h', re='true')}, a))
              else s.args end,
-          'add', case
+          'add', case {result('add')}
              when {_REN} or {_ATTR} then transform(s.add, d -> named_struct(
                 'kw', if({_REN} and d.kw = r.a, r.b, d.kw), 'toks', {_renamed('d.toks')}))
              when {adds} then array_append(s.add, named_struct('kw', r.b, 'toks', r.toks))
@@ -133,7 +152,7 @@ def call_edits() -> str:
              when {moves} then transform(s.add, d -> named_struct(
                 'kw', if(d.kw = r.b, r.c, d.kw), 'toks', d.toks))
              else s.add end,
-          'ev', case
+          'ev', case {noted}
              when ({_REN} or {_ATTR}) and size(s.add) > 0 and {add_hits} > 0
                then array_append(s.ev, {_event('r.o', add_hits, 'r.a <> r.b')})
              when {adds} or {drops} or {prop} then array_append(s.ev, {_event('r.o', '1', 'true')})

@@ -17,13 +17,12 @@ from apidrift.functions.lexing import TRIVIA, identifiers, is_name, let, lexical
 from apidrift.operators import entities
 from apidrift.session import settled, text_partitions
 from apidrift.operators.rulebook import (
-    ATTR_CALL, ATTR_HIT, DEF, PARAM, PLAIN_CALL, PLAIN_HIT, Rulebook, compile_rules,
+    ATTR_CALL, ATTR_HIT, DEF, PARAM, PLAIN_CALL, PLAIN_HIT, Rulebook, call_operations, compile_rules,
 )
 from apidrift.operators.structure import (
     HEAD_CALL, HEAD_DEF, HEAD_PARAMS, KEY, LINE_COMPOUND, LINE_DECORATOR, LINE_DEF, enclosing, structure, tokens,
 )
 
-CALL_OPS = {"add_arg", "remove_arg", "rename_arg", "deprecate", "property"}
 IMPORT_OPS = {"import", "move"}
 DECORATOR_OPS = {"add_decorator", "remove_decorator"}
 _CALL, _DEF, _DEFAULT, _IMPORT, _DECO = 1, 2, 4, 8, 16
@@ -74,7 +73,7 @@ def renamed(files: DataFrame) -> DataFrame:
 
 def _needs(kinds: frozenset) -> frozenset:
     need = {"names"}
-    if kinds & (CALL_OPS | {"reorder", "default"}):
+    if kinds & {*call_operations(), "reorder", "default"}:
         need.add("depth")
     if "deprecate" in kinds:
         need.add("alone")
@@ -233,7 +232,7 @@ def entity_edits(groups: DataFrame, book: Rulebook, round_: int = 0) -> DataFram
     ops = book.per_pair(book.ops.where(F.col("round") == round_).drop("round"))
     joined = groups.join(ops, ["path_id", "kind", "name", "is_attr"]).withColumnRenamed("is_attr", "attr")
     choice = F.when(F.col("kind") == "n", F.expr(entities.name_edits()))
-    if kinds & CALL_OPS:
+    if kinds & set(call_operations()):
         choice = choice.when(F.col("kind") == "c", F.expr(entities.call_edits()))
     if "reorder" in kinds:
         choice = choice.when(F.col("kind") == "d", F.expr(entities.definition_edits()))

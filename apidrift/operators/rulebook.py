@@ -14,6 +14,8 @@ out once per path and name here, instead of once per occurrence in the corpus:
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -42,6 +44,37 @@ HANDLERS = {
     "replace_with_property": "property",
 }
 
+@dataclass(frozen=True)
+class CallOperation:
+    """An operation on calls that a further change type brings along: SQL that the fold over a call includes.
+
+    A rule ``r`` has ``a`` (its function_name), ``b`` and ``c`` (from the columns ``second`` and ``third``), ``toks`` (the tokens of the
+    column ``expression``) and ``o`` (its ordinal). A call ``s`` has ``cal`` (current callee), ``args`` (structs s, e, kw, dead, h, re), ``add``
+    (structs kw, toks); ``attr`` says whether it is called on an object. ``acts`` is the condition beside the callee's
+    name; ``callee``, ``args`` and ``add`` are the values after the rule; ``message`` is SQL over the rule's columns. See
+    ``entities.drop_argument`` and ``entities.append_argument``.
+    """
+
+    acts: str
+    message: str
+    second: str = "argument_name"
+    third: str | None = None
+    expression: str | None = None
+    callee: str | None = None
+    args: str | None = None
+    add: str | None = None
+
+
+#: Operations of further change types, by change type.
+OPERATIONS: dict[str, CallOperation] = {}
+_CALLS = ("add_arg", "remove_arg", "rename_arg", "deprecate")
+
+
+def call_operations() -> tuple[str, ...]:
+    """Operations that are folded over calls."""
+    return (*_CALLS, "property", *OPERATIONS)
+
+
 # Bits of the per-name flag word.
 PLAIN_HIT, ATTR_HIT, PLAIN_CALL, ATTR_CALL, DEF, PARAM = 1, 2, 4, 8, 16, 32
 
@@ -99,6 +132,24 @@ def register_handler(change_type: str, operation: str) -> None:
     HANDLERS[change_type] = operation
 
 
+def register_operation(change_type: str, operation: CallOperation) -> None:
+    """Extension point: a change type with an operation and a message of its own."""
+    if change_type in HANDLERS:
+        raise ValueError(f"There is an operation for {change_type} already")
+    HANDLERS[change_type] = change_type
+    OPERATIONS[change_type] = operation
+
+
+@contextmanager
+def registered(change_type: str, operation: CallOperation) -> Iterator[None]:
+    """The operation is known to migrations that are planned within the block."""
+    register_operation(change_type, operation)
+    try:
+        yield
+    finally:
+        del HANDLERS[change_type], OPERATIONS[change_type]
+
+
 def _op_of(change_type: Column) -> Column:
     pairs = [F.lit(x) for kv in HANDLERS.items() for x in kv]
     return F.create_map(*pairs)[change_type]
@@ -145,6 +196,7 @@ def message_column() -> Column:
             "Replaced %s() with property %s", c("old_name"), c("new_name")
         ),
     }
+    table |= {name: F.expr(operation.message) for name, operation in OPERATIONS.items()}
     out = None
     for kind, text in table.items():
         out = F.when(c("change_type") == kind, text) if out is None else out.when(c("change_type") == kind, text)
@@ -179,17 +231,22 @@ def with_rounds(path_rules: DataFrame) -> DataFrame:
     rules = _complete(path_rules)
     op = _op_of(c("change_type"))
     plain = lambda name: c(name).rlike(r"^[\p{L}\p{Nl}_][\p{L}\p{Nl}\p{M}\p{N}_]*\z")
-    called = op.isin("add_arg", "remove_arg", "rename_arg", "deprecate", "property")
+    called = op.isin(*call_operations())
     # Names that rules look for, and names that a rule writes as new syntax, meet by path and name.
     looked_for = rules.select("path_id", F.explode(F.array(
         *(F.struct(c(name).alias("looked"), as_call.alias("called")) for name, as_call in (
             ("function_name", called), ("old_name", called), ("argument_name", F.lit(False)))),
     )).alias("x")).select(c("path_id").alias("by"), "x.looked", F.coalesce("x.called", F.lit(False)).alias("called")).where(
         "looked is not null").distinct()
-    holds_syntax = op.isin("add_arg", "default") & c("default_value").rlike(r"[\p{L}\p{N}_)\]]\s*\(|\.\s*\p{L}|lambda")
+    value = c("default_value")
+    for name, operation in OPERATIONS.items():
+        if operation.expression:
+            value = F.when(op == name, c(operation.expression)).otherwise(value)
+    writers = ["add_arg", "default", *(name for name, operation in OPERATIONS.items() if operation.expression)]
+    holds_syntax = op.isin(*writers) & value.rlike(r"[\p{L}\p{N}_)\]]\s*\(|\.\s*\p{L}|lambda")
     written = rules.select(
         "path_id", "ordinal", (op == "property").alias("as_call"),
-        F.explode(F.when(holds_syntax, identifiers(c("default_value"))).when(op == "property", F.array("new_name"))).alias("name"))
+        F.explode(F.when(holds_syntax, identifiers(value)).when(op == "property", F.array("new_name"))).alias("name"))
     met = written.join(looked_for, (c("path_id") == c("by")) & (c("name") == c("looked"))).where(
         "called or not as_call").select(c("path_id").alias("met_path"), c("ordinal").alias("met")).distinct()
     new_name = (
@@ -209,13 +266,26 @@ def _slim(rules: DataFrame) -> DataFrame:
     default = F.trim(F.coalesce(F.nullif(c("default_value"), F.lit("")), F.lit("None")))
     kind = _op_of(c("change_type"))
     fn = F.when(kind.isin("deprecate", "property", "rename", "rename_attr", "import", "move"), c("old_name"))
+    own = {name: operation for name, operation in OPERATIONS.items()}
+    for name, operation in own.items():
+        if operation.expression:
+            default = F.when(kind == name, F.trim(operation.expression)).otherwise(default)
     pieces = F.when(
-        kind.isin("add_arg", "default"),
+        kind.isin("add_arg", "default", *(name for name, operation in own.items() if operation.expression)),
         F.filter(
             F.flatten(F.zip_with(token_trivia(default), token_texts(default), lambda p, t: F.array(p, t))),
             lambda x: x != "",
         ),
     )
+    second = F.when(
+        kind.isin("add_arg", "remove_arg", "rename_arg", "default"), c("argument_name"),
+    ).when(kind.isin("add_decorator", "remove_decorator"), c("decorator_name")).when(
+        kind == "deprecate", F.coalesce(F.nullif(c("replacement"), F.lit("")), F.lit("N/A")))
+    third = F.when(kind == "import", c("old_module")).when(kind == "move", c("source_module")).when(
+        kind == "rename_arg", c("new_argument_name"))
+    for name, operation in own.items():
+        second = second.when(kind == name, c(operation.second))
+        third = third.when(kind == name, c(operation.third) if operation.third else F.lit(None).cast("string"))
     return rules.withColumn("kind", kind).where(
         "kind is not null and not (kind = 'default' and default_value is null)"
     ).select(
@@ -224,15 +294,8 @@ def _slim(rules: DataFrame) -> DataFrame:
             c("ordinal").cast("int").alias("o"),
             c("kind").alias("op"),
             F.coalesce(fn, c("function_name")).alias("a"),
-            F.coalesce(
-                F.when(kind.isin("add_arg", "remove_arg", "rename_arg", "default"), c("argument_name"))
-                .when(kind.isin("add_decorator", "remove_decorator"), c("decorator_name"))
-                .when(kind == "deprecate", F.coalesce(F.nullif(c("replacement"), F.lit("")), F.lit("N/A")))
-                .otherwise(c("new_name")),
-            ).alias("b"),
-            F.when(kind == "import", c("old_module"))
-            .when(kind == "move", c("source_module"))
-            .when(kind == "rename_arg", c("new_argument_name")).alias("c"),
+            second.otherwise(c("new_name")).alias("b"),
+            third.alias("c"),
             F.when(kind == "import", c("new_module")).when(kind == "move", c("target_module")).alias("d"),
             pieces.alias("toks"),
             F.when(kind == "reorder", c("new_order")).alias("order"),
@@ -240,6 +303,10 @@ def _slim(rules: DataFrame) -> DataFrame:
     )
 
 
+def _quoted(names: tuple[str, ...]) -> str:
+    return ", ".join(f"'{name}'" for name in names)
+
+
 def compile_rules(path_rules: DataFrame) -> Rulebook:
     """Compile ``path_rules(path_id, ordinal, rule columns...)``.
 
@@ -289,7 +356,7 @@ def compile_rules(path_rules: DataFrame) -> Rulebook:
                         then r.b else s.cur end,
             'hits', case when (r.op = 'rename' or (is_attr and r.op = 'rename_attr')) and r.a = s.cur
                          then array_append(s.hits, named_struct('o', r.o, 'c', r.a <> r.b)) else s.hits end,
-            'call', s.call or (r.op in ('add_arg','remove_arg','rename_arg','deprecate') and r.a = s.cur)
+            'call', s.call or (r.op in ({_quoted(_CALLS + tuple(OPERATIONS))}) and r.a = s.cur)
                            or (is_attr and r.op = 'property' and r.a = s.cur),
             'def', s.def or (not is_attr and r.op in ('reorder','add_decorator','remove_decorator')
                              and r.a = s.cur),
@@ -325,8 +392,8 @@ def compile_rules(path_rules: DataFrame) -> Rulebook:
           case when r.op in ('import','move') then array(element_at(split(r.c, '[.]'), -1))
                when r.op = 'default' then array(r.b) else array(r.a) end)))
     """)
-    bits = F.expr("""
-        if(exists(ops, r -> r.op in ('add_arg','remove_arg','rename_arg','deprecate','property')), 1, 0)
+    bits = F.expr(f"""
+        if(exists(ops, r -> r.op in ({_quoted(call_operations())})), 1, 0)
         + if(exists(ops, r -> r.op = 'reorder'), 2, 0)
         + if(exists(ops, r -> r.op = 'default'), 4, 0)
         + if(exists(ops, r -> r.op in ('import','move')), 8, 0)

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from apidrift.functions.lexing import lexically_valid
-from apidrift.operators import paths, report, validation
+from apidrift.operators import entities, index, paths, report, rulebook, validation
 from apidrift.operators.rewrite import migrate
 from apidrift.operators.rulebook import HANDLERS, handler_table
 from apidrift.operators.structure import structure, tokens
 from apidrift.plans import corpora
 from apidrift.plans.corpora import EXAMPLE, OPERATIONS, table
-from apidrift.session import text_partitions
+from apidrift.session import shared_folder, text_partitions
 from apidrift.sources import changelogs, files, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -581,6 +582,25 @@ def j8(spark, sf_dir):
         "page_id", F.arrays_overlap(identifiers(F.col("html")), names).alias("kept"))
 
 
+_NAME_SQL = "regexp_extract_all(html, '[\\pL\\p{Nl}_][\\pL\\p{Nl}\\p{Mn}\\p{Mc}\\p{Nd}\\p{Pc}]*')"
+
+
+@query("j8_index_update", f"""
+    WITH old AS (SELECT CASE WHEN page_id % 10 = 3 THEN html || ' changed' ELSE html END AS html FROM pages),
+    t AS (SELECT page_id, html NOT IN (SELECT html FROM old WHERE html IS NOT NULL) AS fresh, unnest({_NAME_SQL}) AS name FROM pages)
+    SELECT page_id, name, count(*) AS n, any_value(fresh) AS fresh FROM t JOIN {_WORD_SQL} ON name = old_name GROUP BY page_id, name""")
+def j8_index(spark, sf_dir):
+    """An index of the pages with a tenth of them in an older form, brought up to date, and asked for the names of some rules."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("content"))
+    older = pages.withColumn("content", F.when(F.col("page_id") % 10 == 3, F.concat("content", F.lit(" changed"))).otherwise(F.col("content")))
+    folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    index.build(older, ["page_id"]).save(folder)
+    now, fresh = index.update(index.Index.load(spark, folder, ["page_id"]), pages)
+    found = index.occurrences(now, _word_rules(spark).select(F.col("old_name").alias("name")))
+    read = now.files.join(fresh.withColumn("fresh", F.lit(True)), "digest", "left").select("page_id", F.coalesce("fresh", F.lit(False)).alias("fresh"))
+    return found.join(read, "page_id").select("page_id", "name", "n", "fresh")
+
+
 # brackets cancel pairwise until nothing changes
 _LEXICAL = f"""
     WITH RECURSIVE t AS ({_token_sql('{source}', '{key}', '{text}')}),
@@ -630,6 +650,23 @@ def _register_operation(name, corpus):
 for _name, _corpus in OPERATIONS.items():
     _register_operation(_name, _corpus)
 
+# A change type of the caller's own: a keyword argument that calls give gets another value.
+SET_ARGUMENT = rulebook.CallOperation(
+    acts="exists(s.args, a -> a.dead is null and a.kw = r.b)", expression="default_value", args=entities.drop_argument(), add=entities.append_argument(),
+    message="format_string('Set argument \\'%s=%s\\' of %s()', argument_name, default_value, function_name)")
+_OWN = corpora.OWN_OPERATION
+
+
+@query("x1_own_operation", f"""
+    SELECT path, content AS transformed_code, CASE WHEN n_changes > 0 THEN 'Set argument ''slack=LIMIT'' of moor()' ELSE '' END AS messages,
+      CAST(n_changes AS INT) AS n_changes FROM ({_OWN.expected_sql()}) f""")
+def x1(spark, sf_dir):
+    with rulebook.registered("set_argument", SET_ARGUMENT):
+        done = _migrated(_OWN, spark, sf_dir)
+    return done.select("path", "transformed_code", F.array_join(F.array_distinct(F.filter(
+        "changes", lambda m: m.startswith("Set"))), "|").alias("messages"), F.size("changes").alias("n_changes"))
+
+
 _EXPECTED, _SOURCE = EXAMPLE.expected_sql(), EXAMPLE.source_sql()
 
 

@@ -451,6 +451,22 @@ OPERATIONS = {
     ),
 }
 
+# An operation that the library does not have, before and after one of its own rules.
+OWN_OPERATION = Corpus(
+    [
+        _rule("rename_function", old_name="tie", new_name="moor"),
+        _rule("set_argument", function_name="moor", argument_name="slack", default_value="LIMIT"),
+        _rule("rename_function", old_name="LIMIT", new_name="NONE"),
+    ],
+    ("moor(a, slack=1)", "moor(a, slack=NONE)", 2),
+    {
+        "click": ("'x = tie(slack=' || event_id || ', h=f(slack=2))'", "'x = moor(h=f(slack=2), slack=NONE)'", 3),
+        "view": ("'moor(' || event_id || ')'", "'moor(' || event_id || ')'", 0),
+        "error": ("'print(f\"{b.moor(slack=g(' || event_id || ', 2))}\")'", "'print(f\"{b.moor(slack=NONE)}\")'", 2),
+        "purchase": ("'def moor(slack=' || event_id || '): pass'", "'def moor(slack=' || event_id || '): pass'", 0),
+    },
+)
+
 # The example's changelog: versions with their rules, as they would be written down.
 EXAMPLE_VERSIONS = {"1.2.0": EXAMPLE.rules[:2], "1.10.0": EXAMPLE.rules[2:7], "2.0.0": [], "2.5.1": EXAMPLE.rules[7:]}
 
