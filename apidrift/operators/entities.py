@@ -122,18 +122,20 @@ def call_edits() -> str:
     own = {name: f"({mine} and r.op = '{name}' and {operation.acts})" for name, operation in OPERATIONS.items()}
     result = lambda part: " ".join(
         f"when {own[name]} then {value}" for name, operation in OPERATIONS.items() if (value := getattr(operation, part)))
+    named = " or ".join(["false", *(own[name] for name, operation in OPERATIONS.items() if operation.callee)])
     noted = " ".join(f"when {acts} then array_append(s.ev, {_event('r.o', '1', 'true')})" for acts in own.values())
     add_hits = (
         f"aggregate(s.add, 0, (n, d) -> n + if({_REN} and d.kw = r.a, 1, 0) + {_rename_count('d.toks')})"
     )
     fold = f"""
       aggregate(ops,
-        named_struct('cal', name, 'ch', {_INTS}, 'live', true, 'p', {_NULL_INT}, 'args', {args},
+        named_struct('cal', name, 'ch', {_INTS}, 'written', false, 'live', true, 'p', {_NULL_INT}, 'args', {args},
                      'add', cast(array() as array<struct<kw:string,toks:array<string>>>),
                      'ev', {_EVENTS}, 'dep', cast(array() as array<struct<o:int,t:string>>)),
         (s, r) -> named_struct(
           'cal', case {result('callee')} when {cal_hit} or {prop} then r.b else s.cal end,
           'ch', if({cal_hit}, array_append(s.ch, r.o), s.ch),
+          'written', s.written or {named},
           'live', s.live and not {prop},
           'p', if({prop}, r.o, s.p),
           'args', case {result('args')}
@@ -178,6 +180,9 @@ def call_edits() -> str:
            array({edit('w', close_pos, txt=f"concat(if(size(v) > 0, ', ', ''), {added})")}), {NONE}),
         if(size(v) > 0 and v[0].s <> s.args[0].s,
            array({edit('q', 'v[0].s', txt='rows[0].next_pre')}), {NONE}),
+        if(s.written, concat(
+           array({edit('T', f'{open_pos} - 1', txt='s.cal')}),
+           transform(s.ch, o -> {edit('H', f'{open_pos} - 1', o='o', m='1', c='true')})), {NONE}),
         if(s.p is not null, concat(
            array({edit('x', open_pos, close_pos, o='s.p')}, {edit('T', f'{open_pos} - 1', txt='s.cal')}),
            transform(s.ch, o -> {edit('H', f'{open_pos} - 1', o='o', m='1', c='true')})), {NONE}),
