@@ -196,18 +196,19 @@ def call_edits() -> str:
     return _let(fold, "s", _let(live, "v", body))
 
 
-def parameter_edits() -> str:
-    """One parameter: its default value."""
-    sets = "(r.op = 'default' and r.b = s.cur)"
+def parameter_edits(scoped: bool = False) -> str:
+    """One parameter: its default value. ``scoped``: only where the rule names the definition that has the parameter."""
+    sets = "(r.op = 'default' and r.b = s.cur" + (" and coalesce(r.a = s.fn, false))" if scoped else ")")
     eq, end = "rows[0].x1", "rows[0].x2"
     star = "if(rows[0].next1 in ('*', '**'), 2, 1)"
     new = "array_join(r.toks, '')"
     fold = f"""
       aggregate(ops,
-        named_struct('cur', name, 'toks', cast(null as array<string>), 'o', {_NULL_INT},
+        named_struct('cur', name, 'fn', fn, 'toks', cast(null as array<string>), 'o', {_NULL_INT},
                      'ev', cast(array() as array<struct<o:int,m:int,c:boolean,txt:string>>)),
         (s, r) -> named_struct(
           'cur', if({_REN} and r.a = s.cur, r.b, s.cur),
+          'fn', if({_REN} and r.a = s.fn, r.b, s.fn),
           'toks', case when {sets} then r.toks when s.toks is not null then {_renamed('s.toks')} end,
           'o', if({sets}, coalesce(s.o, r.o), s.o),
           'ev', case

@@ -107,6 +107,7 @@ def occurrences(files: DataFrame, book: Rulebook, round_: int = 0) -> DataFrame:
     # per kind: the name the rules are looked up by, whether it is an attribute, details
     name, attr, x1, x2 = {"n": c("tok")}, {"n": c("is_attr")}, {}, {}
     ok, indent, keep = F.lit(None).cast("boolean"), F.lit(None).cast("string"), named
+    fn = F.lit(None).cast("string")  # the definition that a parameter belongs to
     line_pos = c("line_pos") if "line_pos" in rows.columns else none
 
     brackets = "depth" in need
@@ -193,6 +194,7 @@ def occurrences(files: DataFrame, book: Rulebook, round_: int = 0) -> DataFrame:
             after = lambda n: F.shiftright(f"after{n}", 1).cast("int")
             has_eq = _bit("after1", 1)
             kind_list.append(F.when(param, F.struct(F.lit("p").alias("kind"), c("pos").alias("gid"))))
+            fn = F.when((c("kind") == "p") & (c("lam") == 0), c("dn_name"))
             name["p"] = F.when(starred, c("next2")).otherwise(c("next1"))
             x1["p"] = F.when(has_eq, after(1))
             x2["p"] = F.when(has_eq, after(2)).otherwise(after(1)) - 1
@@ -211,7 +213,7 @@ def occurrences(files: DataFrame, book: Rulebook, round_: int = 0) -> DataFrame:
         .select(
             *KEY, "kind", "gid", by_kind(name, F.lit(None).cast("string")).alias("name"),
             by_kind(attr, F.when(~c("kind").isin("n", "c"), F.lit(False))).alias("is_attr"),
-            ok.alias("ok"), line_pos.alias("line_pos"), indent.alias("line_indent"),
+            ok.alias("ok"), line_pos.alias("line_pos"), indent.alias("line_indent"), fn.alias("fn"),
             F.struct("pos", "tok", "pre", "prev1", "next1", optional("next2").alias("next2"),
                      optional("next_pre").alias("next_pre"), "word",
                      by_kind(x1, none).alias("x1"), by_kind(x2, none).alias("x2")).alias("row"),
@@ -221,12 +223,12 @@ def occurrences(files: DataFrame, book: Rulebook, round_: int = 0) -> DataFrame:
             F.array_sort(F.collect_list("row")).alias("rows"),
             F.max("name").alias("name"), F.max("is_attr").alias("is_attr"),
             F.coalesce(F.bool_and("ok"), F.lit(False)).alias("ok"),
-            F.max("line_pos").alias("line_pos"), F.max("line_indent").alias("indent"),
+            F.max("line_pos").alias("line_pos"), F.max("line_indent").alias("indent"), F.max("fn").alias("fn"),
         )
     )
 
 
-def entity_edits(groups: DataFrame, book: Rulebook, round_: int = 0) -> DataFrame:
+def entity_edits(groups: DataFrame, book: Rulebook, round_: int = 0, scoped: bool = False) -> DataFrame:
     """Fold the rules over each entity; one row per edit."""
     kinds = book.kinds
     ops = book.per_pair(book.ops.where(F.col("round") == round_).drop("round"))
@@ -237,7 +239,7 @@ def entity_edits(groups: DataFrame, book: Rulebook, round_: int = 0) -> DataFram
     if "reorder" in kinds:
         choice = choice.when(F.col("kind") == "d", F.expr(entities.definition_edits()))
     if "default" in kinds:
-        choice = choice.when(F.col("kind") == "p", F.expr(entities.parameter_edits()))
+        choice = choice.when(F.col("kind") == "p", F.expr(entities.parameter_edits(scoped)))
     if kinds & DECORATOR_OPS:
         choice = choice.when(F.col("kind") == "e", F.expr(entities.decorator_edits()))
     if kinds & IMPORT_OPS:
@@ -368,7 +370,7 @@ _ORDINALS = "array_sort(array_distinct(transform(filter(hits, h -> h.c), h -> h.
 
 
 def migrate(files: DataFrame, path_rules: DataFrame, only_modified: bool = False,
-            dry_run: bool = False, book: Rulebook | None = None, partitions: int | None = None) -> DataFrame:
+            dry_run: bool = False, book: Rulebook | None = None, partitions: int | None = None, scoped: bool = False) -> DataFrame:
     """Apply ``path_rules`` to ``files(path_id, file_id, [repo, path,] content, [error])``.
 
     A file with an ``error`` (it could not be decoded) is a failed result with an empty text.
@@ -380,7 +382,8 @@ def migrate(files: DataFrame, path_rules: DataFrame, only_modified: bool = False
     Returns ``path_id, file_id, repo, path, original_code, transformed_code, changes,
     errors, rules_applied, was_modified, success``. With ``dry_run`` the text stays
     as it was and ``would_modify`` tells what a run would do. ``only_modified`` leaves
-    out the files no rule acts on, and with them the second pass over their text.
+    out the files no rule acts on, and with them the second pass over their text. With ``scoped`` a changed default concerns only
+    parameters of definitions named as the rule's ``function_name``, else all parameters of the name, lambdas included.
 
     ``partitions`` (default: ``text_partitions``) is fixed, because the
     texts grow about fiftyfold as token rows: sized by their compressed bytes, as
@@ -407,7 +410,7 @@ def migrate(files: DataFrame, path_rules: DataFrame, only_modified: bool = False
     for round_ in range(book.rounds):
         if round_:  # the next round reads the texts several times
             result = settled(result)
-        result = _one_round(result, book, round_, only_modified and book.rounds == 1, partitions)
+        result = _one_round(result, book, round_, only_modified and book.rounds == 1, partitions, scoped)
     out = result.select(
         "path_id", "file_id", "repo", "path", F.col("original").alias("original_code"),
         (F.col("original") if dry_run else F.col("content")).alias("transformed_code"),
@@ -419,7 +422,7 @@ def migrate(files: DataFrame, path_rules: DataFrame, only_modified: bool = False
     return out.where("original_code <> transformed_code or size(changes) > 0") if only_modified else out
 
 
-def _one_round(files: DataFrame, book: Rulebook, round_: int, only_modified: bool, partitions: int) -> DataFrame:
+def _one_round(files: DataFrame, book: Rulebook, round_: int, only_modified: bool, partitions: int, scoped: bool) -> DataFrame:
     c = F.col
     info = book.info.where((c("round") == round_) | c("round").isNull())
     files = files.join(book.per_rule(info.select("path_id", "triggers")), "path_id", "left")
@@ -437,7 +440,7 @@ def _one_round(files: DataFrame, book: Rulebook, round_: int, only_modified: boo
     chosen = files.where(acts).select(
         *KEY, F.array(F.array(*strings), *log).alias("payload")
     ).repartition(partitions, "file_id")
-    edits = file_edits(entity_edits(occurrences(chosen, book, round_), book, round_))
+    edits = file_edits(entity_edits(occurrences(chosen, book, round_), book, round_, scoped))
     part = lambda i: c("payload")[i] if logged else F.array().cast("array<string>")
     joined = chosen.join(edits.drop("path_id"), "file_id", "inner" if only_modified else "left").select(
         *KEY, c("payload")[0][0].alias("repo"), c("payload")[0][1].alias("path"),

@@ -667,6 +667,11 @@ def x1(spark, sf_dir):
         "changes", lambda m: m.startswith("Set"))), "|").alias("messages"), F.size("changes").alias("n_changes"))
 
 
+@query("r7_scoped_default", f"SELECT path, content AS transformed_code, CAST(n_changes AS INT) AS n_changes FROM ({corpora.SCOPED.expected_sql()}) f")
+def r7_scoped(spark, sf_dir):
+    return _migrated(corpora.SCOPED, spark, sf_dir, scoped=True).select("path", "transformed_code", F.size("changes").alias("n_changes"))
+
+
 _EXPECTED, _SOURCE = EXAMPLE.expected_sql(), EXAMPLE.source_sql()
 
 

@@ -467,6 +467,22 @@ OWN_OPERATION = Corpus(
     },
 )
 
+# Defaults of one definition's parameters only, which an earlier rule renames.
+SCOPED = Corpus(
+    [
+        _rule("rename_function", old_name="berth", new_name="dock"),
+        _rule("change_argument_default", function_name="dock", argument_name="slack", default_value="60"),
+    ],
+    ("class A:\n    async def berth(self, slack: int = 1, *, f=lambda slack=2: slack):\n        def other(slack=3): pass\n        def berth(slack): pass",
+     "class A:\n    async def dock(self, slack: int = 60, *, f=lambda slack=2: slack):\n        def other(slack=3): pass\n        def dock(slack = 60): pass", 4),
+    {
+        "click": ("'def berth(a, b=(1, ' || event_id || '), slack=f(1, 2)): return slack'", "'def dock(a, b=(1, ' || event_id || '), slack=60): return slack'", 2),
+        "view": ("'def wharf(slack=' || event_id || '): pass'", "'def wharf(slack=' || event_id || '): pass'", 0),
+        "error": ("'k = lambda slack=' || event_id || ': berth(slack=1)'", "'k = lambda slack=' || event_id || ': dock(slack=1)'", 1),
+        "signup": ("'def berth(x=lambda slack=1: 2): x = ' || event_id", "'def dock(x=lambda slack=1: 2): x = ' || event_id", 1),
+    },
+)
+
 # The example's changelog: versions with their rules, as they would be written down.
 EXAMPLE_VERSIONS = {"1.2.0": EXAMPLE.rules[:2], "1.10.0": EXAMPLE.rules[2:7], "2.0.0": [], "2.5.1": EXAMPLE.rules[7:]}
 
