@@ -270,10 +270,10 @@ def _heavy_links(sets: DataFrame, percent: int) -> DataFrame:
     stars = lists.join(leaders, F.col("token") == F.col("of")).where(
         (F.col("id") != F.col("lead")) & _may_link(F.col("n"), F.col("lead_n"), F.col("pos"), F.col("lead_pos"), percent),
     ).select(F.col("id").alias("u"), F.col("lead").alias("v")).distinct()
-    links = written(_verified(stars, sets, percent), "star-links")
+    labels = written(components(_verified(stars, sets, percent)), "star-labels")
     for turn in range(MEETINGS):
-        links = written(_components_of(links).select("u", "v").union(_meetings(lists, links, sets, percent, turn)), "met-links")
-    named = _named(lists, links)
+        labels = written(components(_as_links(labels).union(_meetings(lists, labels, sets, percent, turn))), "met-labels")
+    named = _named(lists, labels)
     mixed = named.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select(
         F.col("token").alias("of"))
     # The largest partner that the elements from this position on leave possible.
@@ -288,27 +288,27 @@ def _heavy_links(sets: DataFrame, percent: int) -> DataFrame:
     pairs = apart.join(ones, ["token", "lp"]).join(others, ["token", "li"]).where(
         (F.col("un") >= F.col("vn")) & _may_link(F.col("un"), F.col("vn"), F.col("up"), F.col("vp"), percent),
     ).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    return links.union(_verified(pairs, sets, percent))
+    return _as_links(labels).union(_verified(pairs, sets, percent))
 
 
-def _components_of(links: DataFrame) -> DataFrame:
-    """Each set's link to the smallest of its component: as good as the links themselves."""
-    return components(links).where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
+def _as_links(labels: DataFrame) -> DataFrame:
+    """Each set's link to the smallest of its component: as good as the links that made it."""
+    return labels.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
 
 
-def _named(lists: DataFrame, links: DataFrame) -> DataFrame:
+def _named(lists: DataFrame, labels: DataFrame) -> DataFrame:
     """Lists with the component of each set."""
-    label = components(links).select(F.col("node").alias("labelled"), F.col("component").alias("label"))
+    label = labels.select(F.col("node").alias("labelled"), F.col("component").alias("label"))
     return lists.join(label, F.col("id") == F.col("labelled"), "left").select(
         "token", "id", "n", "pos", "indexed", F.coalesce("label", "id").alias("label"))
 
 
-def _meetings(lists: DataFrame, links: DataFrame, sets: DataFrame, percent: int, turn: int) -> DataFrame:
+def _meetings(lists: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, turn: int) -> DataFrame:
     """Verified links between the sets of a list's smaller components and one set of its largest, another one every turn.
 
     A set meets as many members of a large family as it has lists, so few sets of a family are left outside.
     """
-    named = written(_named(lists, links), "named-lists")
+    named = written(_named(lists, labels), "named-lists")
     held = named.groupBy("token", "label").agg(
         F.count("*").alias("held"), F.min_by(F.struct("id", "n"), F.xxhash64(F.lit(turn), "token", "id")).alias("one"))
     largest = held.groupBy("token").agg(F.max(F.struct("held", "label", "one")).alias("top"), F.count("*").alias("labels")).where("labels > 1").select(
