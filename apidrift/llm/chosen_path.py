@@ -10,7 +10,8 @@
 4. A node of up to ``SMALL`` classes is compared exhaustively, across components; larger ones branch again. What still is large
    after ``MOST_LEVELS`` (a dense family without links) is compared in pairs of blocks, so nothing is left out. Of all
    these pairs the best one of each class is verified first (twice), then all whose components still differ.
-5. Sketches only propose (similarity less five standard deviations); every link is confirmed on full sets.
+5. Sketches only propose (similarity less five standard deviations). Within a node they are followed by profiles, the up to ``PROFILE`` smallest
+   hashes of a set, so that hardly any pair leaves its node that does not link. Every link is confirmed on full sets.
 
 Node tables hold keys and digests only. Node sizes, leaders and labels come from aggregates that combine before their shuffle, so a
 passage of a third of all documents costs no task more than others.
@@ -40,6 +41,8 @@ TARGET_RECALL, TARGET_LEVELS = 0.9995, 3
 #: Standard deviations of the agreement of two sketches by which a proposed pair may fall below the threshold.
 DEVIATIONS = 5
 BLOCK_BYTES = 4 << 20
+#: Elements of a profile: the whole set where it is no larger, else its smallest hashes.
+PROFILE = 512
 #: Elements that meet all coordinates at a time, and tokens of the branching step.
 ELEMENTS, BRANCHED = 512, 2048
 
@@ -97,6 +100,46 @@ def _full_sets(width: int):
     return cut
 
 
+def _profiles(width: int):
+    """Digest, profile (upper halves of the smallest hashes) and size of sets."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in (part for whole_batch in batches for part in slices(whole_batch, "text", BLOCK_BYTES)):
+            words = _Words()
+            rows = []
+            for text in batch.column("text").to_pylist():
+                s = shingle_set(text, width, words)
+                digest = xxhash.xxh3_128_digest(s.tobytes())
+                if digest not in seen:
+                    seen.add(digest)
+                    rows.append((digest, (s[:PROFILE] >> np.uint64(32)).astype(np.uint32).tobytes(), len(s)))
+            yield pa.RecordBatch.from_arrays([
+                pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.int64()),
+            ], names=["digest", "profile", "n"])
+    return cut
+
+
+def similarity(mine: np.ndarray, my_limit: int, others: list[np.ndarray], limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Estimated similarity of one profile to others, and its standard deviation: 0 where both are whole sets.
+
+    A limit is the largest hash that a profile would hold; two profiles are compared up to the smaller one.
+    """
+    sizes = np.array([len(o) for o in others])
+    flat = np.concatenate(others)
+    limit = np.minimum(limits, my_limit)
+    within = flat <= np.repeat(limit, sizes)
+    at = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
+    starts = np.cumsum(sizes) - sizes
+    both = np.add.reduceat((mine[at] == flat) & within, starts, dtype=np.int64)
+    union = np.add.reduceat(within, starts, dtype=np.int64) + np.searchsorted(mine, limit, "right") - both
+    union = np.maximum(union, 1)
+    # One element of room: two elements of a set may share their upper half.
+    return (both + 1) / union, np.where(limit == _NO_LIMIT, 0, np.sqrt(0.25 / union))
+
+
+_NO_LIMIT = 2**32 - 1
+
+
 def _children(similarity: float, trees: int | None):
     """Classes to the nodes they choose: at the roots of all trees, or below the node that each row names."""
     limit = np.uint64(int(2.0 ** 64 / (similarity * COORDINATES)))
@@ -128,9 +171,9 @@ def _agreeing(least: float):
     return keep
 
 
-def _compared(least: float, all_pairs: bool):
-    """Proposed pairs of different labels within nodes (rows sorted by node)."""
-    def one(digests: list, labels: np.ndarray, short: np.ndarray) -> list[tuple]:
+def _compared(least: float, share: float, all_pairs: bool):
+    """Proposed pairs of different labels within nodes (rows sorted by node): sketches first, then profiles."""
+    def one(digests: list, labels: np.ndarray, short: np.ndarray, profiles: list[np.ndarray], limits: np.ndarray) -> list[tuple]:
         names, label = np.unique(labels, return_inverse=True)
         found = []
         for i in range(len(digests)):
@@ -138,25 +181,33 @@ def _compared(least: float, all_pairs: bool):
             others = np.arange(i + 1, len(digests)) if all_pairs else np.arange(len(digests))
             others = others[label[others] != label[i]]
             agree = (short[others] == short[i]).sum(axis=1)
-            others, agree = others[agree >= least], agree[agree >= least]
+            others = others[agree >= least]
+            if not len(others):
+                continue
+            near, deviation = similarity(profiles[i], limits[i], [profiles[j] for j in others.tolist()], limits[others])
+            fits = near >= share - DEVIATIONS * deviation
+            others, near = others[fits], near[fits]
             if not all_pairs:
-                others = others[np.argsort(-agree, kind="stable")[:1]]
+                others = others[np.argsort(-near, kind="stable")[:1]]
             found += [(min(digests[i], digests[j]), max(digests[i], digests[j])) for j in others.tolist()]
         return found
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node, held = None, ([], [], [])
+        node, held = None, ([], [], [], [], [])
 
         def closed() -> Iterator[pa.RecordBatch]:
             if len(held[0]) > 1:
-                pairs = set(one(held[0], np.array(held[1], object), np.frombuffer(b"".join(held[2]), np.uint8).reshape(-1, COORDINATES)))
+                profiles = [np.frombuffer(p, np.uint32) for p in held[3]]
+                limits = np.array([int(p[-1]) if n > PROFILE else _NO_LIMIT for p, n in zip(profiles, held[4], strict=True)])
+                short = np.frombuffer(b"".join(held[2]), np.uint8).reshape(-1, COORDINATES)
+                pairs = set(one(held[0], np.array(held[1], object), short, profiles, limits))
                 yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], names=["u", "v"])
 
         for batch in batches:
-            for key, *row in zip(*(batch.column(c).to_pylist() for c in ("node", "digest", "label", "short")), strict=True):
+            for key, *row in zip(*(batch.column(c).to_pylist() for c in ("node", "digest", "label", "short", "profile", "n")), strict=True):
                 if key != node:
                     yield from closed()
-                    node, held = key, ([], [], [])
+                    node, held = key, ([], [], [], [], [])
                 for part, value in zip(held, row, strict=True):
                     part.append(value)
         yield from closed()
@@ -222,12 +273,17 @@ class _Join:
 
     def exhaust(self, members: DataFrame) -> None:
         """All pairs of different components within the nodes; before that each class's best pair, twice, so that few are left."""
+        members = self.mixed(members.select("node", "digest"), "path-mixed")
+        ids = self.classes.join(members.select("digest").distinct(), "digest", "left_semi").select(F.col("class_id").alias("of"))
+        texts = self.texts.join(ids, F.col("id") == F.col("of"), "left_semi").select("text")
+        profiles = written(texts.mapInArrow(frugal(_profiles(self.width)), "digest binary, profile binary, n long").groupBy("digest").agg(
+            F.first("profile").alias("profile"), F.first("n").alias("n")), "path-profiles")
         for all_pairs in (False, False, True):
             members = self.mixed(members.select("node", "digest"), "path-mixed")
             if members.isEmpty():
                 return
-            dealt = members.join(self.short, "digest").select("node", "digest", "label", "short").repartition("node").sortWithinPartitions("node")
-            self.verify(dealt.mapInArrow(frugal(_compared(self.least, all_pairs)), "u binary, v binary"), "path-pairs")
+            dealt = members.join(self.short, "digest").join(profiles, "digest").select("node", "digest", "label", "short", "profile", "n").repartition("node").sortWithinPartitions("node")
+            self.verify(dealt.mapInArrow(frugal(_compared(self.least, self.percent / 100, all_pairs)), "u binary, v binary"), "path-pairs")
 
 
 def _in_blocks(members: DataFrame, small: int) -> DataFrame:

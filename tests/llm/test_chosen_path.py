@@ -98,3 +98,20 @@ def test_sketches_agree_like_the_sets():
         a, b = pool[:900], pool[100:]
         assert abs((sketch(a) == sketch(b)).mean() - 0.8) < 0.16
     assert trees_for(0.9995, 3) == 17 and trees_for(0.5, 1) == 1
+
+
+def test_profiles_estimate_similarity():
+    rnd = np.random.default_rng(2)
+    for size in (5, 300, 512, 513, 4000):
+        pool = np.unique(rnd.integers(0, 2**63, 3 * size).astype(np.uint64))
+        sets = [np.sort(rnd.choice(pool, size, replace=False)) for _ in range(6)] + [pool[:3]]
+        profiles = [(s[:module.PROFILE] >> np.uint64(32)).astype(np.uint32) for s in sets]
+        limits = np.array([int(p[-1]) if len(s) > module.PROFILE else module._NO_LIMIT for s, p in zip(sets, profiles)])
+        near, deviation = module.similarity(profiles[0], limits[0], profiles, limits)
+        for s, got, spread, limit in zip(sets, near, deviation, limits):
+            both = len(np.intersect1d(sets[0], s))
+            union = len(sets[0]) + len(s) - both
+            if max(len(sets[0]), len(s)) <= module.PROFILE:
+                assert spread == 0 and got == (both + 1) / union
+            else:
+                assert spread > 0 and abs(got - both / union) <= 5 * spread + 0.01
