@@ -35,7 +35,7 @@ from apidrift.llm.tables import frugal, slices, small_batches, whole, written
 
 COORDINATES = 128
 #: Classes of a node that are compared exhaustively, and levels after which larger nodes are compared in blocks.
-SMALL, MOST_LEVELS = 1024, 12
+SMALL, MOST_LEVELS = 2048, 12
 #: Recall that the trees aim at for a pair at the threshold that parts only after so many levels.
 TARGET_RECALL, TARGET_LEVELS = 0.9995, 3
 #: Standard deviations of the agreement of two sketches by which a proposed pair may fall below the threshold.
@@ -274,6 +274,8 @@ class _Join:
     def exhaust(self, members: DataFrame) -> None:
         """All pairs of different components within the nodes; before that each class's best pair, twice, so that few are left."""
         members = self.mixed(members.select("node", "digest"), "path-mixed")
+        if members.isEmpty():
+            return
         ids = self.classes.join(members.select("digest").distinct(), "digest", "left_semi").select(F.col("class_id").alias("of"))
         texts = self.texts.join(ids, F.col("id") == F.col("of"), "left_semi").select("text")
         profiles = written(texts.mapInArrow(frugal(_profiles(self.width)), "digest binary, profile binary, n long").groupBy("digest").agg(
