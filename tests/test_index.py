@@ -6,8 +6,9 @@ from collections import Counter
 
 import pytest
 
-from apidrift.operators import entities, index, rulebook
+from apidrift.operators import entities, index, paths, rulebook
 from apidrift.operators.paths import loose_matches, resolve_pins
+from apidrift.sources import changelogs
 from apidrift.operators.rewrite import migrate
 from apidrift.functions.versions import version_key
 from tests.helpers import files_frame, rule, rules_frame
@@ -62,6 +63,29 @@ def test_pins_of_one_library_are_answered_once(spark):
     assert got["x"] == ("0.0.0", "7", True) and got["y"][:2] == ("1", None) and got["z"][:2] == (None, "1.9.0")
 
 
+def test_only_hot_libraries_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(paths, "HOT_PINS", 100)
+    listed = spark.createDataFrame([(lib, v) for lib in "ab" for v in ("1.0.0", "1.10.0")], "library string, version string").withColumn(
+        "version_key", version_key("version"))
+    pins = spark.createDataFrame(
+        [(f"r{i}", "a", "1.0", "latest") for i in range(200)] + [("s", "b", "1.0.0", "1.1"), ("t", None, "1", "2"), (None, "b", "1", "2")],
+        "repo string, library string, from_version string, to_version string")
+    got = sorted((str(r.library), r.source_version, r.target_version) for r in resolve_pins(pins, listed).collect())
+    assert got[0] == ("None", None, None) and got[1:201] == [("a", "1.0.0", "1.10.0")] * 200
+    assert got[201:] == [("b", "1.0.0", "1.10.0"), ("b", "1.0.0", "2")]
+
+
+def test_paths_parse_versions_once(spark, capsys):
+    content = '{"library": "a", "versions": [{"version": "1.0.0", "rules": []}, {"version": "2.0.0", "rules": []}]}'
+    docs = spark.createDataFrame([("d", content)], "doc_id string, content string")
+    pins = spark.createDataFrame([("r", "a", "1.0.0", "latest")], "repo string, library string, from_version string, to_version string")
+    versions = paths.listed(changelogs.versions(docs))
+    passed = paths.version_range(resolve_pins(pins, versions), versions)
+    passed.explain()
+    assert "from_json" not in capsys.readouterr().out
+    assert [(r.version, r.n_rules, r.vpos, r.doc_id) for r in passed.collect()] == [("2.0.0", 0, 1, "d")]
+
+
 def test_own_operation(spark):
     second = rulebook.CallOperation(
         acts="not attr and size(s.args) = 0", message="concat('Closed ', function_name)", callee="r.b", second="new_name")
