@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from apidrift.session import settled
+
 #: Unchanged lines around a change.
 CONTEXT = 3
 # What ends a line.
@@ -67,7 +69,7 @@ _ENDS = f"""
 def _matched(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The edit script: gap, off (order within), kind, line."""
     held = rows.where("not anchor").groupBy(*keys, "gap").agg(*(
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("i", "line")))), lambda x: x["line"]).alias(name)
+        F.transform(F.sort_array(F.collect_list(F.when(F.col("side") == side, F.struct("i", "line")))), lambda x: x["line"]).alias(name)
         for side, name in ((0, "a"), (1, "b"))))
     # Sides of different length differ somewhere, so both positions below exist.
     sized = held.withColumn("p", F.expr(f"cast(if(size(a) = size(b), 0, {_SHARED.format('a', 'b')}) as int)")).withColumn("q", F.expr(
@@ -86,8 +88,9 @@ def script(files: DataFrame, keys: Sequence[str], before: str, after: str) -> Da
     first = _anchors(rows, keys, keys)
     rows = _gaps(rows.join(first, [*keys, "side", "i"], "left").withColumn("anchor", F.coalesce("anchor", F.lit(False))), keys)
     second = _anchors(rows.where("not anchor"), [*keys, "gap"], keys).withColumnRenamed("anchor", "more")
-    rows = _gaps(rows.drop("gap").join(second, [*keys, "side", "i"], "left").withColumn(
-        "anchor", F.col("anchor") | F.coalesce("more", F.lit(False))).drop("more"), keys)
+    # matched twice below: by anchors and by what lies between
+    rows = settled(_gaps(rows.drop("gap").join(second, [*keys, "side", "i"], "left").withColumn(
+        "anchor", F.col("anchor") | F.coalesce("more", F.lit(False))).drop("more"), keys))
     order = Window.partitionBy(*keys).orderBy("gap", "off", "kind").rowsBetween(Window.unboundedPreceding, 0)
     matched = _matched(rows, keys).withColumn("same", F.sum((F.col("kind") == SAME).cast("int")).over(order))
     # All removed lines between two unchanged ones come before all added ones.
@@ -121,8 +124,8 @@ def unified(files: DataFrame, keys: Sequence[str], before: str, after: str, name
     sign = F.element_at(F.array(*map(F.lit, " -+")), F.col("kind") + 1)
     each = near.groupBy(*keys, "hunk").agg(
         F.min("before_a").alias("a"), F.count_if(F.col("kind") != NEW).alias("na"), F.min("before_b").alias("b"), F.count_if(F.col("kind") != GONE).alias("nb"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.concat(sign, "line").alias("text")))), lambda x: x["text"]), "").alias("body"))
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", F.concat(sign, "line").alias("text")))), lambda x: x["text"]), "").alias("body"))
     text = F.concat(F.lit("@@ -"), _range(F.col("a"), F.col("na")), F.lit(" +"), _range(F.col("b"), F.col("nb")), F.lit(" @@\n"), "body")
     return each.groupBy(*keys).agg(F.concat(
         F.lit(f"--- {names[0]}\n+++ {names[1]}\n"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("hunk", text.alias("text")))), lambda x: x["text"]), "")).alias("diff"))
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("hunk", text.alias("text")))), lambda x: x["text"]), "")).alias("diff"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from apidrift.functions.lexing import lexically_valid
 from apidrift.operators.diff import BREAKS, unified
+from apidrift.session import settled
 
 
 def summarize(results: DataFrame, by: str | None = "repo") -> DataFrame:
@@ -24,8 +25,10 @@ def summarize(results: DataFrame, by: str | None = "repo") -> DataFrame:
 def report_lines(results: DataFrame, source_version: str, target_version: str) -> DataFrame:
     """The report of each repository as ordered rows ``repo, part, path, seq, line``.
 
-    Rows, not one text: a report grows with the repository.
+    Rows, not one text: a report grows with the repository. What it tells of the results is settled,
+    because head and body read it.
     """
+    results = settled(results.select("repo", "path", "changes", "errors", "was_modified"))
     head = summarize(results.where("repo is not null"), "repo").where("repo is not null")
     lines = [
         F.lit(f"Migration Report: v{source_version} -> v{target_version}"), F.lit("=" * 50),
@@ -73,15 +76,26 @@ def validate_migration(results: DataFrame) -> DataFrame:
     )
 
 
+_TEXTS = ("path_id", "file_id", "repo", "path", "changes", "original_code", "transformed_code")
+_DIFFER = "original_code <> transformed_code"
+
+
 def unified_diff(results: DataFrame) -> DataFrame:
-    """Unified diff (three lines of context) of each modified file."""
+    """Unified diff (three lines of context) of each modified file.
+
+    The texts are settled, because matching their lines reads them several times.
+    """
+    return _diffs(settled(results.where(_DIFFER).select(*_TEXTS)))
+
+
+def _diffs(texts: DataFrame) -> DataFrame:
     keys = ["path_id", "file_id"]
-    texts = results.where("original_code <> transformed_code")
     return texts.select(*keys, "repo", "path", "changes").join(unified(texts, keys, "original_code", "transformed_code"), keys)
 
 
 def preview(results: DataFrame) -> DataFrame:
     """Change list and unified diff per file; a fixed sentence where nothing changes."""
+    results = settled(results.select(*_TEXTS))
     same = results.where("original_code = transformed_code").select(
         "path_id", "file_id", "repo", "path", F.lit("No changes would be made.").alias("preview"))
     text = F.concat(
@@ -89,7 +103,7 @@ def preview(results: DataFrame) -> DataFrame:
             F.lit("\nChanges:\n"),
             F.array_join(F.transform("changes", lambda c: F.concat(F.lit("  - "), c)), "\n"), F.lit("\n\n"),
         )).otherwise(F.lit("")), "diff")
-    return unified_diff(results).select(
+    return _diffs(results.where(_DIFFER)).select(
         "path_id", "file_id", "repo", "path", text.alias("preview")).unionByName(same)
 
 
