@@ -4,7 +4,11 @@ import difflib
 import random
 import re
 
+from pyspark.sql import functions as F
+
+from apidrift.operators import report
 from apidrift.operators.diff import unified
+from apidrift.operators.rewrite import file_edits
 
 
 def diffs(spark, pairs):
@@ -67,3 +71,22 @@ def test_patches_give_the_new_text(spark):
     for i, (a, b) in enumerate(pairs):
         assert (i in got) == (a != b)
         assert a == b or patched(a, got[i]) == b, (a, b)
+
+
+def test_results_are_computed_once(spark, capsys):
+    changed = F.col("id") > 0
+    results = spark.range(3).select(
+        F.lit(1).alias("path_id"), F.col("id").alias("file_id"), F.lit("r").alias("repo"), F.concat(F.lit("f"), "id").alias("path"),
+        F.lit("a\nb\n").alias("original_code"), F.when(changed, "a\nc\n").otherwise("a\nb\n").alias("transformed_code"),
+        F.array(F.lit("m")).alias("changes"), F.array().cast("array<string>").alias("errors"), changed.alias("was_modified"))
+    shown, listed, diffs = report.preview(results), report.report_lines(results, "1", "2"), report.unified_diff(results)
+    for frame in (shown, listed, diffs):
+        frame.explain()
+        assert "Range (" not in capsys.readouterr().out
+    assert shown.count() == 3 and listed.count() == 7 + 4 and diffs.count() == 2
+
+
+def test_edits_by_position_are_sorted_once(spark, capsys):
+    edits = spark.createDataFrame([], "path_id int, file_id long, k string, pos int, end int, o int, m int, c boolean, txt string, src array<int>")
+    file_edits(edits).explain()
+    assert capsys.readouterr().out.count("Sort [") == 2
