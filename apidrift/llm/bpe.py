@@ -2,7 +2,7 @@
 
 1. Each text is cut into the tokenizer's words. A block of documents (at most ``BLOCK_BYTES`` of text in a scan
    task) keeps its distinct words, and every document becomes word codes of its block. Both are written once,
-   bucketed by block, so the codes are never shuffled.
+   bucketed by block, so the codes, of documents and of words, are never shuffled.
 2. Words meet in buckets by hash. A bucket encodes each distinct word once, however many blocks hold it.
 3. Ids go back to the blocks that asked for the word and are put in place by position. Decoding joins ids with
    the pieces of the vocabulary, a table of fixed size, and pieces with positions.
@@ -27,6 +27,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark.sql import DataFrame
@@ -197,14 +198,16 @@ def _encoder(vocabulary: Vocabulary) -> Callable[[pa.Table], pa.Table]:
         ids = dict(zip(distinct, vocabulary.encode([w.decode("utf-8", "surrogatepass") for w in distinct]), strict=True))
         counts = [_pack(np.fromiter((len(ids[w]) for w in words), np.uint32, len(words))) for words in asked]
         flat = [_pack(np.fromiter((i for w in words for i in ids[w]), np.uint32)) for words in asked]
-        return pa.table({"block": part.column("block"), "codes": part.column("codes"), "counts": counts, "flat": flat})
+        return pa.table({"block": part.column("block"), "bucket": part.column("bucket"), "counts": counts, "flat": flat})
     return encode
 
 
 def _placer(vocabulary: Vocabulary, measure: Callable, names: list[str]) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
-    def place(_: tuple, docs: pa.Table, words: pa.Table) -> pa.Table:
-        pieces = vocabulary.pieces
-        n = sum(map(len, parts := [_unpack(b) for b in words.column("codes").to_pylist()]))
+    def place(_: tuple, held: pa.Table, words: pa.Table) -> pa.Table:
+        pieces, named = vocabulary.pieces, pc.greater_equal(held.column("bucket"), 0)
+        docs, asked = held.filter(pc.invert(named)), held.filter(named)
+        codes_of = dict(zip(asked.column("bucket").to_pylist(), asked.column("codes").to_pylist(), strict=True))
+        n = sum(map(len, parts := [_unpack(codes_of[b]) for b in words.column("bucket").to_pylist()]))
         sizes, starts, flat, at = np.zeros(n, np.int64), np.zeros(n, np.int64), [], 0
         shown, decoded = [b""] * n, [b""] * n
         for codes, counts, ids in zip(parts, *(map(_unpack, words.column(c).to_pylist()) for c in ("counts", "flat")), strict=True):
@@ -263,9 +266,9 @@ def _run(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, measu
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, -(-size // BUCKET_BYTES))
     blocks = written_by(rows.mapInArrow(frugal(_blocks(vocabulary, buckets, kind)), BLOCK_SCHEMA.format(kind=kind)), "word-blocks", "block", size)
-    encoded = blocks.where("kind = 1").select("block", "bucket", "codes", "words").groupBy("bucket").applyInArrow(
-        frugal_groups(_encoder(vocabulary)), "block string, codes binary, counts binary, flat binary")
-    held = blocks.where("kind = 0").select("block", "ids", "lengths", "codes")
+    encoded = blocks.where("kind = 1").select("block", "bucket", "words").groupBy("bucket").applyInArrow(
+        frugal_groups(_encoder(vocabulary)), "block string, bucket int, counts binary, flat binary")
+    held = blocks.select("block", "bucket", "ids", "lengths", "codes")
     return held.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(
         frugal_groups(_placer(vocabulary, measure, names)), f"id {kind}, {schema}").withColumnRenamed("id", id_col)
 

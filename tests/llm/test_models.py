@@ -4,12 +4,13 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from apidrift.llm import language_id, mixing
+from apidrift.llm import bpe, language_id, mixing
 from apidrift.llm.bpe import encode, encode_digests
 from apidrift.llm.queries import tokenizer_path
 
@@ -125,6 +126,18 @@ def test_bpe_is_the_library(spark, odd, none):
         encode_digests(odd, tokenizer_path().replace("byte_bpe_50k", "word_bpe_49k"))
 
 
+def test_bpe_codes_stay_in_their_block():
+    """Words alone go to the buckets and come back; the codes wait where the block is."""
+    with open(tokenizer_path(), encoding="utf-8") as file:
+        vocabulary = bpe.Vocabulary(file.read())
+    words = [b" tide", b"harbour", " \u00e9t\u00e9".encode()]
+    asked = pa.table({"block": ["b", "c"], "bucket": pa.array([3, 3], pa.int32()), "words": [bpe._pack_words(words), bpe._pack_words(words[1:])]})
+    done = bpe._encoder(vocabulary)(asked)
+    assert done.column_names == ["block", "bucket", "counts", "flat"]
+    ids = vocabulary.encode([w.decode() for w in words])
+    assert [bpe._unpack(b).tolist() for b in done.column("flat").to_pylist()] == [sum(ids, []), sum(ids[1:], [])]
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
