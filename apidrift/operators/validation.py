@@ -45,16 +45,16 @@ def _at_rule() -> Column:
 
 
 def _problems(kind: str, details: Column, location: Column, rule_id: Column) -> Column:
-    """Array of problem structs for an array of details (null details are no problem)."""
+    """Array of problem structs for an array of details (null details are no problem); no problem has a ``value``."""
     return F.transform(
         F.filter(details, lambda d: d.isNotNull()),
         lambda d: F.struct(location.alias("location"), rule_id.alias("rule_id"), F.lit(kind).alias("kind"),
-                           d.alias("detail")),
+                           d.alias("detail"), F.lit(None).cast("string").alias("value")),
     )
 
 
 def _rows(frame: DataFrame, problems: Column) -> DataFrame:
-    return frame.select("doc_id", F.explode(problems).alias("p")).select("doc_id", "p.*")
+    return frame.select("doc_id", F.explode(problems).alias("p")).select("doc_id", "p.*").drop("value")
 
 
 def _at(kind: str, details: Column) -> Column:
@@ -122,9 +122,19 @@ def _default() -> Column:
     return _at("bad_default", F.array(F.when(~expression_valid(F.col("default_value")), F.col("default_value"))))
 
 
+# A rule's schema as text where every field is plain and of its type; most rules are told by this alone.
+_SHAPES = {"string": "STRING", "int": "BIGINT", "array<string>": "ARRAY<(?:STRING|VOID)>"}
+_RIGHT = "|".join(f"{f}: (?:VOID|{_SHAPES[t]})" for f, t in RULE_FIELDS.items() if f != "extra")
+_RIGHT += f"|(?!(?:{'|'.join(RULE_FIELDS)}):)[A-Za-z0-9_]+: [A-Z]+"
+WELL_TYPED = rf"^OBJECT<(?:{_RIGHT})(?:, (?:{_RIGHT}))*+>\z"
+
+
 def _types() -> Column:
     """Fields that are there (and not null) in the raw rule but are not of their type."""
     def checks(rule):
+        return F.when(F.schema_of_variant(rule).rlike(WELL_TYPED), F.array().cast("array<string>")).otherwise(each(rule))
+
+    def each(rule):
         allowed = {"string": ("STRING",), "int": ("BIGINT",), "array<string>": ("ARRAY<STRING>", "ARRAY<VOID>")}
         details = []
         for f, t in RULE_FIELDS.items():
@@ -193,7 +203,7 @@ def validate_changelogs(docs: DataFrame, strict: bool = False) -> DataFrame:
     version's or document's own problems ride on its first row.
     """
     none = F.lit(None).cast("string")
-    empty = F.array().cast("array<struct<location:string,rule_id:string,kind:string,detail:string>>")
+    nothing = F.array().cast("array<struct<location:string,rule_id:string,kind:string,detail:string,value:string>>")
     rows = rule_rows(docs)
     first_rule = F.coalesce(F.col("pos"), F.lit(0)) == 0
     first_version = first_rule & (F.coalesce(F.col("vpos"), F.lit(0)) == 0)
@@ -208,28 +218,24 @@ def validate_changelogs(docs: DataFrame, strict: bool = False) -> DataFrame:
     key = lambda kind, detail, rule_id, value: F.array(F.struct(
         F.lit("versions").alias("location"), rule_id.alias("rule_id"), F.lit(kind).alias("kind"),
         detail.alias("detail"), value.alias("value")))
-    plain = F.transform(
-        F.concat(
-            F.when(first_version, document).otherwise(empty),
-            F.when(first_rule & F.col("vpos").isNotNull(), version).otherwise(empty),
-            F.when(F.col("pos").isNotNull(), rule).otherwise(empty),
-        ),
-        lambda p: F.struct(p["location"], p["rule_id"], p["kind"], p["detail"], none.alias("value")),
-    )
-    nothing = F.array().cast("array<struct<location:string,rule_id:string,kind:string,detail:string,value:string>>")
+    # no lambda around the whole: what is within one is not compiled
     records = F.concat(
-        plain,
+        F.when(first_version, document).otherwise(nothing),
+        F.when(first_rule & F.col("vpos").isNotNull(), version).otherwise(nothing),
+        F.when(F.col("pos").isNotNull(), rule).otherwise(nothing),
         F.when(F.col("id").isNotNull(), key("duplicate_id", none, F.col("id"), none)).otherwise(nothing),
         F.when(
             F.col("change_type").isin(*RENAMES_CHECKED),
             key("conflicting_rename", F.concat_ws(" ", "change_type", "old_name"), none, F.col("new_name")),
         ).otherwise(nothing),
     )
+    # values are counted, not compared: smallest and largest texts would need all rows sorted, twice
+    same = ("doc_id", "location", "rule_id", "kind", "detail")
     out = (
         rows.select("doc_id", F.explode(records).alias("p")).select("doc_id", "p.*")
-        .groupBy("doc_id", "location", "rule_id", "kind", "detail")
-        .agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
-        .where("(kind = 'duplicate_id' and n > 1) or (kind = 'conflicting_rename' and lo <> hi)"
+        .groupBy(*same, "value").agg(F.count("*").alias("n"))
+        .groupBy(*same).agg(F.sum("n").alias("n"), F.count("value").alias("values"))
+        .where("(kind = 'duplicate_id' and n > 1) or (kind = 'conflicting_rename' and values > 1)"
                " or kind not in ('duplicate_id', 'conflicting_rename')")
         .select("doc_id", "location", "rule_id", "kind", F.when(
             F.col("kind") == "duplicate_id", F.col("n").cast("string")).otherwise(F.col("detail")).alias("detail"))

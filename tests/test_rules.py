@@ -127,6 +127,30 @@ def test_validation(spark):
     assert validation.validate_changelogs(docs(spark, a=good["good"]), strict=True).count() == 0
 
 
+def test_report_needs_no_sorted_rows(spark, capsys):
+    """The checks across rules count texts by hash; values of a rename differ, agree or are missing."""
+    renames = [("a", "b"), ("a", "c"), ("a", "b"), ("d", "e"), ("d", "e"), ("d", None), ("f", None), ("f", None)]
+    rules = [{"id": f"R{i % 7}", "change_type": "rename_class", "version_introduced": "1.0.0", "description": "d",
+              "old_name": old, **({"new_name": new} if new else {})} for i, (old, new) in enumerate(renames)]
+    out = validation.validate_changelogs(docs(spark, lib={"library": "lib", "versions": [{"version": "1.0.0", "rules": rules}]}))
+    out.explain()
+    assert "SortAggregate" not in capsys.readouterr().out
+    assert sorted((r.kind, r.detail) for r in out.collect()) == [
+        ("conflicting_rename", "rename_class a"), ("duplicate_id", "2"), *[("missing_field", "new_name")] * 3]
+
+
+def test_types_by_shape_agree_with_each_field(spark, monkeypatch):
+    """What a rule's shape settles at once is what a look at every field says."""
+    odd = ['{"id": "a", "description": "d"}', '{"id": 5, "tags": ["x"]}', '{"tags": [], "new_order": ["a", 1]}', '{"tags": null, "argument_position": 3}',
+           '{"argument_position": 3.5}', '{"argument_position": "3"}', '{"extra": {"a": 1}}', '{"extra": "x"}', '{"odd key, id: STRING": 1, "old_name": true}',
+           '{"unknown": {"id": 1}, "safety": 2}', '{"unknown": "x", "safety": "safe"}', '{"idx": 1, "id": []}', "{}", "[]", "7", "no json", None]
+    rows = spark.createDataFrame([(str(i), t, i, i, "r") for i, t in enumerate(odd)], "doc_id string, raw_rule string, vpos int, pos int, id string")
+    found = lambda: sorted((r.doc_id, r.detail) for r in validation.bad_types(rows).collect())
+    by_shape = found()
+    monkeypatch.setattr(validation, "WELL_TYPED", "^never$")
+    assert by_shape == found() and len({d for d, _ in by_shape}) >= 7
+
+
 def test_expressions(spark):
     good = ["1", "-x", "f(a, b=1)", "[1, 2]", "'a' 'b'", "not x", "a if b else c", "lambda x: x + 1", "{'a': 1}", "None"]
     bad = ["", "class class", "f(", "a b", "1 2", "x =1", "'a", "return 1", "a +", "* a", "(]", "x;y"]
