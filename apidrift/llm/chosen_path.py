@@ -45,6 +45,8 @@ BLOCK_BYTES = 4 << 20
 PROFILE = 512
 #: Elements that meet all coordinates at a time, and tokens of the branching step.
 ELEMENTS, BRANCHED = 512, 2048
+#: Bytes of sketches of a node that are held against all others at a time.
+AGREED_BYTES = 4 << 20
 
 _random = np.random.default_rng(20240229)
 _FACTORS = _random.integers(0, 2**63, COORDINATES, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -171,46 +173,66 @@ def _agreeing(least: float):
     return keep
 
 
+def _partners(labels: list, short: list[bytes], least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Of each member of a node those of other labels whose short sketches agree often enough, if any."""
+    label = np.unique(np.array(labels, object), return_inverse=True)[1]
+    held = np.frombuffer(b"".join(short), np.uint8).reshape(-1, COORDINATES)
+    step = max(1, AGREED_BYTES // held.size)
+    for at in range(0, len(held), step):
+        agree = np.bitwise_count(np.packbits(held[at:at + step, None] == held, axis=2)).sum(axis=2, dtype=np.int64)
+        fits = (agree >= least) & (label[at:at + step, None] != label)
+        for i in np.flatnonzero(fits.any(axis=1)).tolist():
+            yield at + i, np.flatnonzero(fits[i])
+
+
+def _nodes(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple[int, list[list]]]:
+    """Nodes of several members (rows sorted by node), as lists by column."""
+    node, held = None, [[] for _ in columns]
+    for batch in batches:
+        for key, *row in zip(*(batch.column(c).to_pylist() for c in ("node", *columns)), strict=True):
+            if key != node:
+                if len(held[0]) > 1:
+                    yield node, held
+                node, held = key, [[] for _ in columns]
+            for part, value in zip(held, row, strict=True):
+                part.append(value)
+    if len(held[0]) > 1:
+        yield node, held
+
+
+def _meeting(least: float):
+    """Members that agree with one of another label in their node (rows sorted by node), by sketches alone."""
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for node, (digests, labels, short) in _nodes(batches, ("digest", "label", "short")):
+            kept = [i for i, _ in _partners(labels, short, least)]
+            if kept:
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([node] * len(kept), pa.int64()), pa.array([digests[i] for i in kept], pa.binary()),
+                    pa.array([labels[i] for i in kept], pa.binary())], names=["node", "digest", "label"])
+    return meet
+
+
 def _compared(least: float, share: float, all_pairs: bool):
     """Proposed pairs of different labels within nodes (rows sorted by node): sketches first, then profiles."""
-    def one(digests: list, labels: np.ndarray, short: np.ndarray, profiles: list[np.ndarray], limits: np.ndarray) -> list[tuple]:
-        names, label = np.unique(labels, return_inverse=True)
-        found = []
-        for i in range(len(digests)):
-            # All pairs once; for its best one a class looks at all others.
-            others = np.arange(i + 1, len(digests)) if all_pairs else np.arange(len(digests))
-            others = others[label[others] != label[i]]
-            agree = (short[others] == short[i]).sum(axis=1)
-            others = others[agree >= least]
-            if not len(others):
-                continue
-            near, deviation = similarity(profiles[i], limits[i], [profiles[j] for j in others.tolist()], limits[others])
-            fits = near >= share - DEVIATIONS * deviation
-            others, near = others[fits], near[fits]
-            if not all_pairs:
-                others = others[np.argsort(-near, kind="stable")[:1]]
-            found += [(min(digests[i], digests[j]), max(digests[i], digests[j])) for j in others.tolist()]
-        return found
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node, held = None, ([], [], [], [], [])
-
-        def closed() -> Iterator[pa.RecordBatch]:
-            if len(held[0]) > 1:
-                profiles = [np.frombuffer(p, np.uint32) for p in held[3]]
-                limits = np.array([int(p[-1]) if n > PROFILE else _NO_LIMIT for p, n in zip(profiles, held[4], strict=True)])
-                short = np.frombuffer(b"".join(held[2]), np.uint8).reshape(-1, COORDINATES)
-                pairs = set(one(held[0], np.array(held[1], object), short, profiles, limits))
-                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], names=["u", "v"])
-
-        for batch in batches:
-            for key, *row in zip(*(batch.column(c).to_pylist() for c in ("node", "digest", "label", "short", "profile", "n")), strict=True):
-                if key != node:
-                    yield from closed()
-                    node, held = key, ([], [], [], [], [])
-                for part, value in zip(held, row, strict=True):
-                    part.append(value)
-        yield from closed()
+        for node, (digests, labels, short, packed, sizes) in _nodes(batches, ("digest", "label", "short", "profile", "n")):
+            profiles = [np.frombuffer(p, np.uint32) for p in packed]
+            limits = np.array([int(p[-1]) if n > PROFILE else _NO_LIMIT for p, n in zip(profiles, sizes, strict=True)])
+            found = set()
+            for i, others in _partners(labels, short, least):
+                if all_pairs:  # each pair once; for its best one a class looks at all others
+                    others = others[others > i]
+                    if not len(others):
+                        continue
+                near, deviation = similarity(profiles[i], limits[i], [profiles[j] for j in others.tolist()], limits[others])
+                fits = near >= share - DEVIATIONS * deviation
+                others, near = others[fits], near[fits]
+                if not all_pairs:
+                    others = others[np.argsort(-near, kind="stable")[:1]]
+                found.update((min(digests[i], digests[j]), max(digests[i], digests[j])) for j in others.tolist())
+            if found:
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([node] * len(found), pa.int64()), *(pa.array([p[k] for p in found], pa.binary()) for k in (0, 1))], names=["node", "u", "v"])
     return compare
 
 
@@ -272,20 +294,31 @@ class _Join:
         self.verify(with_sketches.mapInArrow(frugal(_agreeing(self.least)), "u binary, v binary"), "path-stars")
 
     def exhaust(self, members: DataFrame) -> None:
-        """All pairs of different components within the nodes; before that each class's best pair, twice, so that few are left."""
+        """All pairs of different components within the nodes; before that each class's best pair, twice, so that few are left.
+
+        Components only grow, so who has no partner left in a node never gets one there again: sketches leave out most members before
+        any profile is read, and a turn goes on with the members of the pairs that the turn before it proposed.
+        """
         members = self.mixed(members.select("node", "digest"), "path-mixed")
         if members.isEmpty():
             return
-        ids = self.classes.join(members.select("digest").distinct(), "digest", "left_semi").select(F.col("class_id").alias("of"))
+        dealt = members.join(self.short, "digest").select("node", "digest", "label", "short").repartition("node").sortWithinPartitions("node")
+        members = written(dealt.mapInArrow(frugal(_meeting(self.least)), "node long, digest binary, label binary"), "path-meeting")
+        if members.isEmpty():
+            return
+        ids = written(self.classes.join(members.select("digest").distinct(), "digest", "left_semi").select(F.col("class_id").alias("of")), "path-met")
         texts = self.texts.join(ids, F.col("id") == F.col("of"), "left_semi").select("text")
         profiles = written(texts.mapInArrow(frugal(_profiles(self.width)), "digest binary, profile binary, n long").groupBy("digest").agg(
             F.first("profile").alias("profile"), F.first("n").alias("n")), "path-profiles")
-        for all_pairs in (False, False, True):
-            members = self.mixed(members.select("node", "digest"), "path-mixed")
-            if members.isEmpty():
-                return
+        for turn, all_pairs in enumerate((False, False, True)):
+            if turn:
+                members = self.mixed(members, "path-mixed")
+                if members.isEmpty():
+                    return
             dealt = members.join(self.short, "digest").join(profiles, "digest").select("node", "digest", "label", "short", "profile", "n").repartition("node").sortWithinPartitions("node")
-            self.verify(dealt.mapInArrow(frugal(_compared(self.least, self.percent / 100, all_pairs)), "u binary, v binary"), "path-pairs")
+            found = written(dealt.mapInArrow(frugal(_compared(self.least, self.percent / 100, all_pairs)), "node long, u binary, v binary"), "path-found")
+            self.verify(found.select("u", "v"), "path-pairs")
+            members = found.select("node", F.explode(F.array("u", "v")).alias("digest")).distinct()
 
 
 def _in_blocks(members: DataFrame, small: int) -> DataFrame:

@@ -115,3 +115,35 @@ def test_profiles_estimate_similarity():
                 assert spread == 0 and got == (both + 1) / union
             else:
                 assert spread > 0 and abs(got - both / union) <= 5 * spread + 0.01
+
+
+def test_profiles_are_read_where_sketches_agree(spark, monkeypatch):
+    rnd = random.Random(11)
+    word = lambda: f"w{rnd.randrange(5000)}"
+    passage = [word() for _ in range(40)]
+    apart = [(i, " ".join([word() for _ in range(30)] + passage)) for i in range(200)]
+    base = [word() for _ in range(200)]
+    # Three edits link, some fourteen do not but leave the sketches near.
+    close = [" ".join([*base[:at], *(word() for _ in range(n)), *base[at + n:]]) for at, n in [(0, 3), (90, 16), (20, 15), (150, 17)]]
+    rows = apart + list(enumerate(close, 200))
+    sizes = {}
+    written = module.written
+
+    def noted(frame, name):
+        out = written(frame, name)
+        sizes.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(module, "written", noted)
+    assert result(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == plain(rows, 4, 80)
+    assert sum(sizes.get("path-profiles", [])) <= len(close) < max(sizes["path-mixed"])
+
+
+def test_partners_of_large_nodes(monkeypatch):
+    rnd = np.random.default_rng(3)
+    short = rnd.integers(0, 3, (50, module.COORDINATES)).astype(np.uint8)
+    labels = [bytes([i % 4]) for i in range(50)]
+    want = {i: js for i in range(50) if (js := [j for j in range(50) if labels[i] != labels[j] and (short[i] == short[j]).sum() >= 45])}
+    for room in (1, 20_000, 4 << 20):
+        monkeypatch.setattr(module, "AGREED_BYTES", room)
+        assert {i: js.tolist() for i, js in module._partners(labels, [s.tobytes() for s in short], 45)} == want and want
